@@ -189,101 +189,140 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     parts = max(input_partitions(docs), ceil(count.n / 2_500_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles by the partition that counts them; a row holds those of many sets, so its cost does not grow with the partitions."""
         heavy_h, heavy_c = sent.value
+
+        def flush(sids: list[int], sets_: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sid = np.array(sids, dtype=np.int64)
+            n = np.array([len(h) for h in sets_])
+            h, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), n)
+            p = (h % np.uint64(parts)).astype(np.int64)
+            hot = np.zeros(len(h), dtype=bool)
+            packed = np.empty(0, dtype=_PACKED)
+            if len(heavy_h):
+                at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
+                hot = heavy_h[at] == h
+                packed = _pack(_key(h[hot], p[hot]), heavy_c[at[hot]])
+            owed = np.concatenate(([0], np.cumsum(np.bincount(owner[hot], minlength=len(sid)))))
+            home = sid % parts
+            rows_ = []
+            for g in np.unique(home).tolist():  # each set's size and frequent shingles go straight to where it is put together
+                mine = np.flatnonzero(home == g)
+                heads = np.stack([n[mine], owed[mine + 1] - owed[mine]], axis=1).astype(np.uint32)
+                rows_.append((g, True, sid[mine].tobytes(), heads.tobytes(), b"".join(packed[owed[i] : owed[i + 1]].tobytes() for i in mine)))
+            h, p, owner = h[~hot], p[~hot], owner[~hot]
+            order = np.argsort(p, kind="stable")
+            h, p, owner = h[order], p[order], owner[order]
+            six = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 0) | (np.diff(owner) != 0)))) if len(p) else np.empty(0, dtype=np.int64)
+            lens = np.diff(np.append(new, len(p))).astype(np.uint32)
+            cuts = np.searchsorted(p[new], np.arange(parts + 1)) if len(new) < parts else np.concatenate(([0], np.cumsum(np.bincount(p[new], minlength=parts))))
+            ends = np.append(new, len(p))
+            for g in np.flatnonzero(np.diff(cuts)).tolist():
+                i, j = cuts[g], cuts[g + 1]
+                rows_.append((g, False, sid[owner[new[i:j]]].tobytes(), lens[i:j].tobytes(), six[ends[i] : ends[j]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), _ROUTED, strict=True)], schema=_ROUTED)
+
         for batch in batches:
-            seen: set[int] = set()
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            seen: dict[int, np.ndarray] = {}
+            held = 0
             for v in batch.column(1):
                 h = shingles(v.as_py(), k)
-                if not len(h) or (sid := _set_id(h)) in seen:
-                    continue
-                seen.add(sid)
-                n = len(h)
-                ready = b""
-                if len(heavy_h):
-                    at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
-                    hot = heavy_h[at] == h
-                    p = (h[hot] % np.uint64(parts)) & np.uint64(0xFFFF)
-                    ready = _pack((h[hot] >> np.uint64(16) << np.uint64(16)) | p, heavy_c[at[hot]])
-                    h = h[~hot]
-                p = (h % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                h, p = h[order], p[order]
-                six = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                cuts = np.flatnonzero(np.diff(p)) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
-                    if b > a:
-                        for column, x in zip(out, (int(p[a]), sid, n, six[a:b].tobytes(), None), strict=True):
-                            column.append(x)
-                if ready:
-                    for column, x in zip(out, (sid % parts, sid, n, None, ready), strict=True):
-                        column.append(x)
-            for a in range(0, len(out[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["p", "sid", "n", "six", "ready"])
+                if len(h) and (sid := _set_id(h)) not in seen:
+                    seen[sid] = h
+                    held += len(h)
+                    if held >= 1_000_000:
+                        yield from flush(list(seen), list(seen.values()))
+                        seen, held = {}, 0
+            if seen:
+                yield from flush(list(seen), list(seen.values()))
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the shingles dealt to this partition, those in two sets or more, by set."""
-        held = []
+        sids, lens, blobs, place = [], [], [], []
         for batch in batches:
-            hot = batch.column(4).is_valid()
-            if hot.true_count:
-                yield batch.filter(hot).select(["sid", "n", "ready"])
-            held.append(batch.filter(pa.compute.invert(hot)).select(["p", "sid", "n", "six"]))
-        if not held or not (whole := pa.Table.from_batches(held)).num_rows:
+            heads = batch.column(1)
+            if heads.true_count:
+                yield batch.filter(heads)
+            for p, s, m, b in zip(*(batch.filter(pa.compute.invert(heads)).column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
+                sids.append(np.frombuffer(s, dtype=np.int64))
+                lens.append(np.frombuffer(m, dtype=np.uint32))
+                blobs.append(b)
+                place.append(np.full(len(sids[-1]), p, dtype=np.int64))
+        if not sids:
             return
-        p, sid, n = (whole.column(c).to_numpy() for c in ("p", "sid", "n"))
-        _, one = np.unique(np.stack([p.astype(np.int64), sid]), axis=1, return_index=True)
-        blobs = whole.column("six").take(pa.array(one)).to_pylist()
-        p, sid, n = p[one], sid[one], n[one]
-        lens = np.array([len(b) // 6 for b in blobs])
-        wide = np.zeros((int(lens.sum()), 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
-        del blobs, held, whole
-        owner = np.repeat(np.arange(len(sid)), lens)
-        keys = (wide.view(np.uint64).ravel() << np.uint64(16)) | (p[owner].astype(np.uint64) & np.uint64(0xFFFF))
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        c = counts[inverse]
-        keep = c > 1
-        keys, c, owner = keys[keep], c[keep], owner[keep]
-        ends = np.cumsum(np.bincount(owner, minlength=len(sid)))
-        begins = np.concatenate(([0], ends[:-1]))
-        some = np.flatnonzero(ends > begins)
-        for a in range(0, len(some), 50_000):
-            part = some[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[part]), pa.array(n[part]), pa.array([_pack(keys[begins[i] : ends[i]], c[begins[i] : ends[i]]) for i in part], pa.binary())], ["sid", "n", "ready"])
+        sid, size, p = np.concatenate(sids), np.concatenate(lens).astype(np.int64), np.concatenate(place)
+        six = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+        del blobs, sids, lens, place
+        wide = np.zeros((len(six), 8), dtype=np.uint8)
+        wide[:, :6] = six
+        del six
+        once = np.zeros(len(sid), dtype=bool)  # a set comes from each batch that has a copy of it; one counts
+        order = np.lexsort((sid, p))
+        once[order[np.concatenate(([True], (np.diff(sid[order]) != 0) | (np.diff(p[order]) != 0)))]] = True
+        owner = np.repeat(np.arange(len(sid)), size)
+        keep = once[owner]
+        owner = owner[keep]
+        keys = _key(wide.view(np.uint64).ravel()[keep] << np.uint64(16), p[owner])
+        del wide
+        order = np.argsort(keys, kind="stable")
+        first = np.concatenate(([True], np.diff(keys[order]) != 0))
+        counts = np.diff(np.append(np.flatnonzero(first), len(keys)))
+        c = np.empty(len(keys), dtype=np.int64)
+        c[order] = np.repeat(counts, counts)
+        del order, first
+        keys, owner, c = keys[c > 1], owner[c > 1], c[c > 1]
+        home = sid[owner] % parts
+        order = np.lexsort((owner, home))
+        keys, owner, c, home = keys[order], owner[order], c[order], home[order]
+        packed = _pack(keys, c)
+        new = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0))) if len(owner) else np.empty(0, dtype=np.int64)
+        ends = np.append(new, len(owner))
+        lens_ = np.diff(ends).astype(np.uint32)
+        cuts = np.searchsorted(home[new], np.arange(parts + 1))
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = cuts[g], cuts[g + 1]
+            row = (g, False, sid[owner[new[i:j]]].tobytes(), lens_[i:j].tobytes(), packed[ends[i] : ends[j]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ROUTED, strict=True)], schema=_ROUTED)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets that share enough, with their shared shingles and the rare ones among the first."""
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
+        sids, sizes, head_of, packed, lens = [], [], [], [], []
+        for batch in batches:
+            for head, s, m, b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+                sid, m = np.frombuffer(s, dtype=np.int64), np.frombuffer(m, dtype=np.uint32).astype(np.int64)
+                sids.append(sid)
+                packed.append(np.frombuffer(b, dtype=_PACKED))
+                head_of.append(np.full(len(sid), head))
+                sizes.append(m[::2] if head else np.zeros(len(sid), dtype=np.int64))
+                lens.append(m[1::2] if head else m)
+        if not sids:
             return
-        whole = pa.Table.from_batches(held)
-        sid, n = whole.column("sid").to_numpy(), whole.column("n").to_numpy()
-        size = pa.compute.binary_length(whole.column("ready")).to_numpy() // 12
-        order = np.argsort(sid, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(sid[order]) != 0)))
-        shared = np.add.reduceat(size[order].astype(np.int64), starts)
-        enough = shared * den >= n[order[starts]] * num
-        bounds = np.append(starts, len(order))
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        column = whole.column("ready")
-        for i in np.flatnonzero(enough):
-            at = order[bounds[i] : bounds[i + 1]]
-            packed = np.concatenate([np.frombuffer(column[int(j)].as_py(), dtype=_PACKED) for j in at])
-            packed = packed[np.unique(packed["key"], return_index=True)[1]]
-            size_n = int(n[at[0]])
-            first_few = size_n - -(-num * size_n // den) + 1 - (size_n - len(packed))
-            rare = packed["key"][np.lexsort((packed["key"], packed["c"]))[: max(first_few, 0)]]
-            for c, x in zip(out, (int(sid[at[0]]), size_n, packed["key"].tobytes(), rare.view(np.int64).tolist()), strict=True):
-                c.append(x)
-            if len(out[0]) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
-                out = ([], [], [], [])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
-
-    dealt = source.mapInArrow(deal, "p int, sid long, n long, six binary, ready binary").repartitionById(parts, "p")
-    shared = dealt.mapInArrow(share, "sid long, n long, ready binary").repartition(parts, "sid")
+        sid, size, is_head, items, lens_ = (np.concatenate(x) for x in (sids, sizes, head_of, packed, lens))
+        whole, at = np.unique(sid[is_head], return_index=True)
+        n = size[is_head][at]
+        owner = np.repeat(np.searchsorted(whole, sid), lens_)
+        order = np.lexsort((items["key"], owner))
+        owner, items = owner[order], items[order]
+        new = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(items["key"]) != 0))) if len(owner) else np.empty(0, dtype=bool)
+        owner, items = owner[new], items[new]
+        shared = np.bincount(owner, minlength=len(whole))
+        ends = np.concatenate(([0], np.cumsum(shared)))
+        out: list[tuple] = []
+        for i in np.flatnonzero(shared * den >= n * num).tolist():
+            mine = items[ends[i] : ends[i + 1]]
+            first_few = int(n[i]) - -(-num * int(n[i]) // den) + 1 - (int(n[i]) - len(mine))
+            rare = mine["key"][np.lexsort((mine["key"], mine["c"]))[: max(first_few, 0)]]
+            out.append((int(whole[i]), int(n[i]), mine["key"].tobytes(), rare.view(np.int64).tolist()))
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
+
+    routed = "p int, head boolean, sids binary, lens binary, blob binary"
+    dealt = source.mapInArrow(deal, routed).repartitionById(parts, "p")
+    shared = dealt.mapInArrow(share, routed).repartitionById(parts, "p")
     sets = materialize(shared.mapInArrow(profile, "sid long, n long, keys binary, rare array<long>"))
 
     rare = sets.select("sid", F.explode("rare").alias("r"))
@@ -323,8 +362,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(f"__c_{c}").alias(c) for c in carry or []], *([F.col("component").alias(group)] if group else []))
 
 
-_PACKED = np.dtype([("key", "<u8"), ("c", "<u4")])
+_PACKED = np.dtype([("key", "<u8"), ("c", "<u2")])
 _PROFILE = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+_ROUTED = pa.schema([("p", pa.int32()), ("head", pa.bool_()), ("sids", pa.binary()), ("lens", pa.binary()), ("blob", pa.binary())])
+
+
+def _key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A shingle's name: the upper 48 bits of its hash, and the partition that the whole hash chose."""
+    return (h >> np.uint64(16) << np.uint64(16)) | (p.astype(np.uint64) & np.uint64(0xFFFF))
 
 
 def _stars(sids: list[int], blobs: list[bytes], n: list[int], num: int, den: int) -> pa.RecordBatch:
@@ -333,10 +378,11 @@ def _stars(sids: list[int], blobs: list[bytes], n: list[int], num: int, den: int
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _pack(keys: np.ndarray, c: np.ndarray) -> bytes:
+def _pack(keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Keys with their counts; large counts are all alike, which only orders them by key."""
     out = np.empty(len(keys), dtype=_PACKED)
-    out["key"], out["c"] = keys, c
-    return out.tobytes()
+    out["key"], out["c"] = keys, np.minimum(c, 65535)
+    return out
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
