@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import formulas as fm
+from rasterlake.functions.once import settled
 
 KEYS = ["img_id", "method", "dataset", "class"]
 
@@ -28,13 +29,13 @@ def prepare(df: DataFrame) -> DataFrame:
     df = df.withColumn("u", u).withColumn("low", F.array_min("u")).withColumn("high", F.array_max("u"))
     p = F.transform("u", lambda v: F.when(F.col("high") != F.col("low"), (v - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(v))
     g = F.transform("gt", lambda v: (v > 128).cast("int"))
-    df = df.withColumn("p", p).withColumn("g", g).drop("u", "low", "high")
-    return df.withColumn("n", F.size("p")).withColumn("f", F.aggregate("g", F.lit(0), lambda a, v: a + v)).withColumn("mean_p", total(F.col("p")) / F.size("p"))
+    df = settled(df.withColumn("p", p).withColumn("g", g).drop("u", "low", "high"))
+    return df.withColumn("n", F.size("p")).withColumn("f", F.aggregate("g", F.lit(0), lambda a, v: a + v)).withColumn("mean_p", total(F.col("p")) / F.size("p")).transform(settled)
 
 
 def pixels(df: DataFrame, *columns: str) -> DataFrame:
     """A row for each pixel: ``pos``, ``p`` and ``g`` beside ``columns`` of the image."""
-    return df.select(*columns, F.posexplode(F.arrays_zip("p", "g")).alias("pos", "z")).select(*columns, "pos", "z.p", "z.g")
+    return df.select(*columns, F.posexplode_outer(F.arrays_zip("p", "g")).alias("pos", "z")).select(*columns, "pos", "z.p", "z.g").where("pos IS NOT NULL")
 
 
 def threshold() -> Column:

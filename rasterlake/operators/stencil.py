@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlake.functions.once import settled
+
 #: Sobel kernels.
 SOBEL_X = [[1, 0, -1], [2, 0, -2], [1, 0, -1]]
 SOBEL_Y = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
@@ -48,7 +50,7 @@ def with_box_mean(df: DataFrame, column: str, out: str, size: int = 31) -> DataF
 def edges(df: DataFrame, column: str, out: str) -> DataFrame:
     """Edge strength ``sqrt(gx^2 + gy^2 + 1e-8)``."""
     gx, gy = (convolve(F.col(column), F.col("h"), F.col("w"), k) for k in (SOBEL_X, SOBEL_Y))
-    df = df.withColumn("__gx", gx).withColumn("__gy", gy)
+    df = settled(df.withColumn("__gx", gx).withColumn("__gy", gy))
     return df.withColumn(out, F.zip_with("__gx", "__gy", lambda a, b: F.sqrt(a * a + b * b + F.lit(1e-8)))).drop("__gx", "__gy")
 
 
@@ -67,7 +69,7 @@ def edge_loss(df: DataFrame, a: float = 0.7, b: float = 0.3, c: float = 0.5, wei
     df = edges(edges(df, "s", "__es"), "t", "__et")
     edge = mean(F.zip_with("__es", "__et", lambda x, y: F.abs(x - y)))
     cross = mean(F.zip_with("s", "t", lambda p, t: bce(p, t) * ((t + c) if weighted else 1)))
-    return df.withColumn("loss", a * edge + b * cross).drop("__es", "__et")
+    return settled(settled(df).withColumn("loss", a * edge + b * cross).drop("__es", "__et"))
 
 
 def sigmoid(v: Column) -> Column:

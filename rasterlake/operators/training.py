@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.functions.once import settled
 from rasterlake.operators import stencil
 
 
@@ -48,8 +49,8 @@ def below_mean(df: DataFrame, loss: str, u: float) -> DataFrame:
 
 def pseudo_labels(df: DataFrame, p: str, tau: float) -> DataFrame:
     """Rows whose peak reaches ``tau``; values below it become 0, and the rest is stretched to 0..1 as ``label``."""
-    kept = df.where(F.array_max(p) >= tau).withColumn("__z", F.transform(p, lambda v: F.when(v < tau, 0.0).otherwise(v)))
-    return kept.withColumn("label", stencil.stretch(F.col("__z"))).drop("__z")
+    kept = settled(df.where(F.array_max(p) >= tau)).withColumn("__z", F.transform(p, lambda v: F.when(v < tau, 0.0).otherwise(v)))
+    return settled(kept).withColumn("label", stencil.stretch(F.col("__z"))).drop("__z")
 
 
 def binarize(v: Column, at: float = 0.5) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlake.functions.once import settled
 from rasterlake.operators import manifests, metrics, stencil, training
 from rasterlake.sources import rasters as src
 
@@ -27,7 +28,7 @@ def _r(*names: str, places: int = 6) -> list:
 
 
 def _long(df: DataFrame, values: str, name: str = "v") -> DataFrame:
-    return df.select("img_id", F.posexplode(values).alias("pos", name)).select("img_id", F.col("pos").cast("long").alias("pos"), F.round(name, 6).alias(name))
+    return df.select("img_id", F.posexplode_outer(values).alias("pos", name)).select("img_id", F.col("pos").cast("long").alias("pos"), F.round(name, 6).alias(name))
 
 
 @query
@@ -167,7 +168,7 @@ def size_filter(spark, sf):
 def _student(spark, sf):
     """Student and teacher probabilities from the two vectors of each image, stretched to 0..1."""
     df = src.teacher_student(spark, sf).withColumn("s", stencil.stretch(F.col("e"))).withColumn("t", stencil.stretch(F.col("proto")))
-    return df.withColumn("h", F.lit(src.SIDE)).withColumn("w", F.lit(src.SIDE))
+    return settled(df).withColumn("h", F.lit(src.SIDE)).withColumn("w", F.lit(src.SIDE))
 
 
 def _losses(spark, sf):
@@ -260,7 +261,7 @@ def normalise_channels(spark, sf):
     # ImageNet mean and deviation of three channels.
     mean, std = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
     df = _pairs(spark, sf)
-    return df.select("img_id", F.posexplode("p").alias("pos", "p")).select("img_id", F.col("pos").cast("long").alias("pos"), *[F.round((F.col("p") - m) / s, 6).alias(f"c{k}") for k, (m, s) in enumerate(zip(mean, std, strict=True))])
+    return df.select("img_id", F.posexplode_outer("p").alias("pos", "p")).select("img_id", F.col("pos").cast("long").alias("pos"), *[F.round((F.col("p") - m) / s, 6).alias(f"c{k}") for k, (m, s) in enumerate(zip(mean, std, strict=True))])
 
 
 @query
@@ -271,7 +272,7 @@ def flip_h(spark, sf):
 
 @query
 def straight_through(spark, sf):
-    return _long(_pairs(spark, sf).withColumn("v", F.transform("p", training.binarize)), "v")
+    return _long(_pairs(spark, sf).withColumn("v", F.transform("p", lambda v: training.binarize(v))), "v")
 
 
 @query

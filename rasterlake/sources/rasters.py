@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlake.functions.once import settled
+
 SIDE = 8
 
 
@@ -42,7 +44,7 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gt = F.transform(on, lambda b: F.when(b, 255).otherwise(0))
     method = F.concat(F.lit("m"), F.pmod("img_id", F.lit(3)).cast("string"))
-    return df.select("img_id", method.alias("method"), F.lit("R").alias("dataset"), "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), pred.alias("pred"), gt.alias("gt"))
+    return settled(df).select("img_id", method.alias("method"), F.lit("R").alias("dataset"), "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), pred.alias("pred"), gt.alias("gt")).transform(settled)
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jpg", ".png")) -> DataFrame:
