@@ -43,7 +43,8 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col(names["doc_id"]).isNull(), F.col(names["doc_id"]), F.col("__row"))
     first = found.where("__group is not null").groupBy("__group").agg(F.min_by("__row", order).alias("__row"))
     stay = materialize(first.select("__row").union(found.where("__group is null").select("__row")))
-    return _named(rows.join(stay, "__row", "left_semi"), names)
+    # The same join at every size: whole rows move once, row numbers are hashed, nothing is broadcast or sorted.
+    return _named(rows.join(stay.hint("shuffle_hash"), "__row", "left_semi"), names)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
