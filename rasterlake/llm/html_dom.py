@@ -9,7 +9,7 @@ from html import unescape
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+CLOSES_P = frozenset("li dt dd address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: An element that starts ends these open ones, up to one of the elements that hold them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -19,7 +19,8 @@ ENDS = {
 }
 #: A <p> is closed only within these.
 P_SCOPE = frozenset("td th table caption button body html".split())
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A quote counts only after an equals sign. The groups are atomic, so damaged input takes linear time.
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -44,8 +45,8 @@ def parse(html: str | None) -> Node:
     Null, empty or damaged input gives the tree that can be made of it. An inline element does not end a run,
     a <br> counts as white space, and the contents of scripts, styles and the like are left out.
     """
-    root = Node("#root", None)
-    now, p_open = root, 0
+    root = now = Node("#root", None)
+    opened: dict[str, int] = {}  # how many of each element are open
     runs: list[str] = []
     linked: list[str] = []
     inline: list[str] = []
@@ -62,11 +63,18 @@ def parse(html: str | None) -> Node:
                 now.children.append(run)
             runs, linked = [], []
 
+    def leave(node: Node) -> None:
+        nonlocal now
+        while now is not node.parent:
+            opened[now.tag] -= 1
+            now = now.parent
+
     html = html or ""
     at, end, low = 0, len(html), None
+    last = html.rfind(">")
     match = _TOKEN.search
     while at < end:
-        m = match(html, at)
+        m = match(html, at) if at <= last or html.find("<!", at) >= 0 else None
         if m is None:
             runs.append(html[at:])
             break
@@ -76,13 +84,13 @@ def parse(html: str | None) -> Node:
             if links:
                 linked.append(piece)
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[3]
         if tag is None:
             if m[1]:
                 runs.append(m[1].replace("&", "&amp;"))
             continue
         tag = tag.lower()
-        if m[2] or m[5]:
+        if m[2]:
             if tag in INLINE:
                 if tag == "a" and links:
                     links -= 1
@@ -90,6 +98,8 @@ def parse(html: str | None) -> Node:
             if tag == "br":
                 runs.append(" ")
                 continue
+            if not opened.get(tag):
+                continue
             node = now
             while node.parent is not None and node.tag != tag:
                 if tag == "p" and node.tag in P_SCOPE:
@@ -99,7 +109,8 @@ def parse(html: str | None) -> Node:
             if node.parent is None:
                 continue
             flush()
-            now, links = node.parent, 0
+            leave(node)
+            links = 0
             continue
         if tag in INLINE:
             if tag == "a":
@@ -123,31 +134,28 @@ def parse(html: str | None) -> Node:
             continue
         flush()
         links = 0
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             node = now
             while node.parent is not None and node.tag not in P_SCOPE:
                 if node.tag == "p":
-                    now = node.parent
+                    leave(node)
                     break
                 node = node.parent
         if tag in ENDS:
             ends, stops = ENDS[tag]
-            node = now
-            while node.parent is not None and node.tag not in stops:
-                if node.tag in ends:
-                    now = node.parent
-                node = node.parent
-        if tag in ("html", "body", "head") and any(n.tag == tag for n in _up(now)):
+            if any(opened.get(t) for t in ends):
+                node, found = now, None
+                while node.parent is not None and node.tag not in stops:
+                    found = node if node.tag in ends else found
+                    node = node.parent
+                if found is not None:
+                    leave(found)
+        if tag in ("html", "body", "head") and opened.get(tag):
             continue
-        child = Node(tag, now, m[4] or m[7] or "")
+        child = Node(tag, now, m[4])
         now.children.append(child)
-        if not (m[4] or m[7] or "").endswith("/") or tag not in ("path", "circle"):
-            now = child
+        now = child
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return root
 
-
-def _up(node: Node | None):  # noqa: ANN202
-    while node is not None:
-        yield node
-        node = node.parent
