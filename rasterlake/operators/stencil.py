@@ -122,3 +122,38 @@ def stretch(values: Column, eps: float = 1e-8) -> Column:
 def flip_rows(values: Column, h: Column, w: Column) -> Column:
     """Horizontal mirror."""
     return F.transform(values, lambda v, i: F.get(values, (i - 2 * (i % w) + w - 1).cast("int")))
+
+
+def attention_taps(size: int = 31, reach: float = 4.0) -> list[float]:
+    """One axis of the attention kernel: roots of the normal probabilities of ``size`` cells over ``reach`` deviations either way, summing to 1.
+
+    The two-dimensional kernel is the outer product of this axis with itself.
+    """
+    from math import erf, sqrt
+
+    cell = (2 * reach + 1) / size
+    step = (2 * reach + cell) / size
+    edge = [0.5 * (1 + erf((-reach - cell / 2 + step * k) / sqrt(2))) for k in range(size + 1)]
+    roots = [sqrt(b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    return [r / sum(roots) for r in roots]
+
+
+def separable_blur(df: DataFrame, column: str, out: str, taps: list[float]) -> DataFrame:
+    """Correlation with the outer product of ``taps`` with itself, zeros outside: along rows, then along columns."""
+    half, weights = len(taps) // 2, F.array(*map(F.lit, taps))
+    h, w = F.col("h"), F.col("w")
+
+    def along(values: Column, place: Column, size: Column, stride: Column, i: Column) -> Column:
+        reach = F.sequence(F.greatest(F.lit(0), half - place).cast("int"), F.least(F.lit(2 * half), half + size - 1 - place).cast("int"))
+        return F.aggregate(reach, F.lit(0.0), lambda a, t: a + F.get(weights, t) * F.get(values, (i + (t - half) * stride).cast("int")))
+
+    df = settled(df.withColumn("__rows", F.transform(column, lambda v, i: along(F.col(column), i % w, w, F.lit(1), i))))
+    return settled(df.withColumn(out, F.transform("__rows", lambda v, i: along(F.col("__rows"), F.floor(i / w), h, w, i))).drop("__rows"))
+
+
+def search_attention(df: DataFrame, attention: str, features: str, out: str) -> DataFrame:
+    """``features`` times the larger of ``attention`` and its blurred, stretched form."""
+    df = separable_blur(df, attention, "__soft", attention_taps())
+    df = settled(df.withColumn("__soft", stretch(F.col("__soft"))))
+    both = F.zip_with("__soft", attention, lambda a, b: F.greatest(a, b))
+    return df.withColumn(out, F.zip_with(both, features, lambda m, x: m * x)).drop("__soft")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rasterlake.functions import formulas as fm
+from rasterlake.operators.stencil import attention_taps
 
 _BASE = """
 WITH RECURSIVE v AS (SELECT vec_id AS img_id, label AS class, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -85,6 +86,7 @@ sel AS (SELECT * FROM lr WHERE loss < 0.8 * (SELECT avg(loss) FROM lr)),
 pk AS (SELECT px.img_id, pos, CASE WHEN t < 0.4 THEN 0E0 ELSE t END AS z FROM px JOIN sel USING (img_id)),
 pm AS (SELECT img_id, min(z) AS lo, max(z) AS hi FROM pk GROUP BY img_id HAVING max(z) >= 0.4)
 """
+_TAPS = "(VALUES " + ", ".join(f"({k - 15}, {t!r}::DOUBLE)" for k, t in enumerate(attention_taps())) + ") k(d, wt)"
 _PATH = "SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' ELSE '.tif' END AS path FROM pages"
 _R6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -155,6 +157,12 @@ ORACLE_SQL: dict[str, str] = {
     "resize_bilinear": f"{_BASE} {_resized(True)} UNION ALL {_resized(False)}",
     "attn_norm": f"{_BASE} SELECT img_id, pos, round(s, 6) AS v FROM raw",
     "attn_blur": f"{_BASE}{_KERNEL} SELECT a.img_id, a.pos, round(sum(k * b.p), 6) AS v FROM px a, kn JOIN px b ON b.img_id = a.img_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.img_id, a.pos",
+    "search_attention": f"""{_BASE},
+        br AS (SELECT a.img_id, a.pos, a.y, a.x, sum(wt * b.p) AS r FROM px a, {_TAPS} JOIN px b ON b.img_id = a.img_id AND b.y = a.y AND b.x = a.x + d GROUP BY ALL),
+        bc AS (SELECT a.img_id, a.pos, sum(wt * b.r) AS c FROM br a, {_TAPS} JOIN br b ON b.img_id = a.img_id AND b.x = a.x AND b.y = a.y + d GROUP BY ALL),
+        bm AS (SELECT img_id, min(c) AS clo, max(c) AS chi FROM bc GROUP BY img_id)
+        SELECT px.img_id, px.pos, round(val * greatest((c - clo) / (chi - clo + 1e-8), p), 6) AS v FROM px JOIN bc USING (img_id, pos) JOIN bm USING (img_id)""",
+    "mask_sink": f"{_BASE} SELECT img_id, pos, CAST(round_even(p * 255, 0) AS INTEGER) AS px FROM px",
     "gt_scale": f"{_BASE} SELECT img_id, pos, round(gt / (max(gt) OVER (PARTITION BY img_id) + 1e-8), 6) AS v FROM raw",
     "normalise_channels": f"{_BASE} SELECT img_id, pos, round((p - 0.485) / 0.229, 6) AS c0, round((p - 0.456) / 0.224, 6) AS c1, round((p - 0.406) / 0.225, 6) AS c2 FROM px",
     "flip_h": f"{_BASE} SELECT img_id, CASE WHEN img_id % 2 = 0 THEN y * 8 + 7 - x ELSE pos END AS pos, round(p, 6) AS v FROM px",

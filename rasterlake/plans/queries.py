@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions.once import settled
 from rasterlake.operators import manifests, metrics, stencil, training
 from rasterlake.sources import rasters as src
+from rasterlake.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -251,6 +252,17 @@ def attn_blur(spark, sf):
     return _long(df.withColumn("v", stencil.convolve(F.col("p"), F.col("h"), F.col("w"), kernel)), "v")
 
 
+@query
+def search_attention(spark, sf):
+    df = _pairs(spark, sf).join(src.teacher_student(spark, sf).select("img_id", "e"), "img_id")
+    return _long(stencil.search_attention(df, "p", "e", "v"), "v")
+
+
+@query
+def mask_sink(spark, sf):
+    return sinks.mask_bytes(_pairs(spark, sf)).select("img_id", F.posexplode_outer("px").alias("pos", "px")).select("img_id", F.col("pos").cast("long").alias("pos"), "px")
+
+
 @query
 def gt_scale(spark, sf):
     return _long(src.rasters(spark, sf).withColumn("v", F.transform("gt", lambda v: v / (F.array_max("gt") + F.lit(1e-8)))), "v")

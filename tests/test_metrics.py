@@ -136,3 +136,25 @@ def test_files(spark, tmp_path):
     assert {r.name for r in rasters.scan_files(spark, str(tmp_path)).collect()} == {"a.jpg", "b.png"}
     got = rasters.decode_files(spark, str(tmp_path), lambda b: (2, 2, list(b))).collect()
     assert {r.name for r in got} == {"a.jpg", "b.png"} and got[0].px == [1, 2, 3, 4]
+
+
+def test_attention_kernel_by_one_pixel(spark):
+    taps = np.array(stencil.attention_taps(5, 2.0))
+    one = np.zeros((6, 6), int)
+    one[2, 3] = 255
+    got = np.array(stencil.separable_blur(frame(spark, (one, MIXED)), "p", "v", taps.tolist()).first().v).reshape(6, 6)
+    want = np.zeros((10, 10))
+    want[2:7, 3:8] = np.outer(taps, taps)
+    assert taps.sum() == pytest.approx(1) and np.allclose(got, want[2:8, 2:8])
+
+
+def test_report_sinks(spark, tmp_path):
+    from rasterlake.sources import sinks
+
+    df = frame(spark, (NOISE, MIXED), (MIXED, MIXED))
+    report = metrics.report(df, "dataset", "method")
+    sinks.write_report(report, str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 1
+    assert sinks.report_text(report).count("\n") == 1
+    sinks.write_masks(df, str(tmp_path / "m"))
+    assert set(spark.read.parquet(str(tmp_path / "m")).orderBy("img_id").collect()[1].px) == {0, 255}
