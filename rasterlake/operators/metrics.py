@@ -42,19 +42,27 @@ def threshold() -> Column:
     return F.least(2 * F.col("mean_p"), F.lit(1.0))
 
 
+def with_mae(df: DataFrame) -> DataFrame:
+    return df.withColumn("mae", total(F.zip_with("p", "g", lambda p, g: F.abs(p - g))) / F.col("n"))
+
+
 def mae(df: DataFrame) -> DataFrame:
     """Mean absolute error of each prepared image; narrow."""
-    return df.select(*KEYS, (total(F.zip_with("p", "g", lambda p, g: F.abs(p - g))) / F.col("n")).alias("mae"))
+    return with_mae(df).select(*KEYS, "mae")
 
 
 def adaptive(df: DataFrame) -> DataFrame:
     """F and E at the threshold of twice the mean; narrow."""
+    return with_adaptive(df).select(*KEYS, "tp", "ps", "adp_fm", "adp_em")
+
+
+def with_adaptive(df: DataFrame) -> DataFrame:
     cut = df.withColumn("t", threshold())
     both = F.zip_with("p", "g", lambda p, g: F.struct((p >= F.col("t")).cast("int").alias("b"), ((p >= F.col("t")).cast("int") * g).alias("tp")))
     cut = cut.withColumn("z", both)
     cut = cut.withColumn("ps", F.aggregate("z", F.lit(0), lambda a, v: a + v["b"])).withColumn("tp", F.aggregate("z", F.lit(0), lambda a, v: a + v["tp"]))
     f = F.expr(f"CASE WHEN tp = 0 THEN 0E0 ELSE {fm.f_score('tp / CAST(ps AS DOUBLE)', 'tp / CAST(f AS DOUBLE)')} END")
-    return cut.select(*KEYS, "tp", "ps", f.alias("adp_fm"), F.expr(fm.enhanced_alignment("tp", "ps", "f", "n")).alias("adp_em"))
+    return cut.withColumn("adp_fm", f).withColumn("adp_em", F.expr(fm.enhanced_alignment("tp", "ps", "f", "n"))).drop("t", "z")
 
 
 def curves(df: DataFrame) -> DataFrame:
@@ -137,16 +145,16 @@ def weighted_f(p: np.ndarray, g: np.ndarray, eps: float = 2.0**-52) -> float:
     return float(2 * r * q / (r + q + eps))
 
 
-def weighted(df: DataFrame) -> DataFrame:
-    """Weighted F of each prepared image, of any size; Arrow batches, no shuffle."""
+def weighted(df: DataFrame, *carry: str) -> DataFrame:
+    """Weighted F of each prepared image, of any size, beside the columns of ``carry``; Arrow batches, no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f["wfm"] = [weighted_f(np.asarray(p, dtype=float).reshape(h, w), np.asarray(g).reshape(h, w) > 0) for p, g, h, w in zip(f["p"], f["g"], f["h"], f["w"], strict=True)]
-            yield f[[*KEYS, "wfm"]]
+            yield f[[*KEYS, *carry, "wfm"]]
 
     kinds = dict(df.dtypes)
-    return df.select(*KEYS, "h", "w", "p", "g").mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in KEYS] + ["wfm double"]))
+    return df.select(*KEYS, *carry, "h", "w", "p", "g").mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in (*KEYS, *carry)] + ["wfm double"]))
 
 
 def distance(df: DataFrame) -> DataFrame:
@@ -180,10 +188,12 @@ def confusion_iou(df: DataFrame) -> DataFrame:
 def report(df: DataFrame, *by: str) -> DataFrame:
     """The nine scores of each group of prepared images, to four places half to even.
 
-    Maxima and means of curves are taken over the mean curve of the group, and every image counts the same.
+    Maxima and means of curves are taken over the mean curve of the group, and every image counts the same. Scores
+    that need no pixel rows come from one pass; structure is joined by image, and the curve by group.
     """
     keys = list(by)
-    image = mae(df).join(adaptive(df).drop("tp", "ps"), KEYS).join(structure(df).select(*KEYS, "sm"), KEYS).join(weighted(df), KEYS)
+    image = weighted(with_adaptive(with_mae(df)), "mae", "adp_fm", "adp_em")
+    image = image.join(structure(df).select("img_id", "method", "dataset", "sm"), ["img_id", "method", "dataset"])
     means = image.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("sm", "wfm", "mae", "adp_em", "adp_fm")])
     curve = curves(df).groupBy(*keys, "k").agg(F.avg("fm").alias("fm"), F.avg("em").alias("em"))
     curve = curve.groupBy(*keys).agg(F.avg("em").alias("mean_em"), F.max("em").alias("max_em"), F.avg("fm").alias("mean_fm"), F.max("fm").alias("max_fm"))

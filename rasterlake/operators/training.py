@@ -58,9 +58,10 @@ def binarize(v: Column, at: float = 0.5) -> Column:
     return (v >= at).cast("double")
 
 
-def predict(df: DataFrame, make_model: Callable[[], Callable], inputs: str, output: str, batch: int = 64) -> DataFrame:
-    """Slot for batch inference: ``make_model`` runs once in a worker and gives a function from an array of inputs to logits."""
+def predict(df: DataFrame, make_model: Callable[[], Callable], inputs: str, output: str, shape: list[int], batch: int = 64) -> DataFrame:
+    """Slot for batch inference: ``make_model`` runs once in a worker and gives a function from a batch of flat inputs, each of ``shape``, to a batch of flat logits."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
-    return df.withColumn(output, predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=None)(F.col(inputs)))
+    run = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[shape])
+    return df.withColumn(output, run(F.col(inputs)))

@@ -158,3 +158,9 @@ def test_report_sinks(spark, tmp_path):
     assert sinks.report_text(report).count("\n") == 1
     sinks.write_masks(df, str(tmp_path / "m"))
     assert set(spark.read.parquet(str(tmp_path / "m")).orderBy("img_id").collect()[1].px) == {0, 255}
+
+
+def test_inference_slot(spark):
+    df = frame(spark, (NOISE, MIXED), (MIXED, MIXED)).withColumn("p", stencil.F.col("p").cast("array<float>"))
+    rows = training.predict(df, lambda: lambda x: x * 2 - 1, "p", "logit", [36], batch=1).orderBy("img_id").collect()
+    assert rows[1].logit == pytest.approx([2 * v - 1 for v in rows[1].p])
