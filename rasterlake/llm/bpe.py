@@ -59,8 +59,7 @@ class TokenAutomaton:
             self._gadget(vocab[a], vocab[b], vocab[a + b], time, reachable)
         self.by_bytes = {self.labels[i]: i for i in reachable}
         self.longest = max(map(len, self.by_bytes))
-        # Prefixes of token strings read backwards: while a suffix is in here, a longer token may still end there.
-        self.suffixes = {s[k:] for s in self.by_bytes for k in range(len(s))}
+        self.prefixes = {s[:k] for s in self.by_bytes for k in range(1, len(s))}  # of longer tokens
         self.arcs: dict[int, bool] = {}
         self.arc_cache = arc_cache
         self.words: dict[str, bytes] = {}
@@ -76,7 +75,7 @@ class TokenAutomaton:
             reachable.add(ab)
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state behind ``state`` has an arc ``token`` once all gadgets are in."""
+        """Whether the state behind ``state`` has an arc ``token`` once all gadgets are in; kept in the transition table."""
         key = (state << 24) | token
         known = self.arcs.get(key)
         if known is None:
@@ -103,28 +102,44 @@ class TokenAutomaton:
                 state = self.right[state]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path through the automaton that spells ``word``."""
+        """The labels of the one path through the automaton that spells ``word``.
+
+        Arcs are tried from the longest label; since each prefix too has one path, a place that once turned out a
+        dead end stays one.
+        """
         if not word:
             return []
-        n, by_bytes, suffixes = len(word), self.by_bytes, self.suffixes
-        last = [-1] * (n + 1)  # the state after the first i bytes
-        for end in range(1, n + 1):
-            found, start = [], end - 1
-            low = max(0, end - self.longest)
-            while start >= low and word[start:end] in suffixes:
-                token = by_bytes.get(word[start:end])
-                if token is not None:
-                    found.append((start, token))
-                start -= 1
-            for start, token in reversed(found):
-                if start == 0 or self.has_arc(last[start], token):  # the start state loses no arc
-                    last[end] = token
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+        whole = self.by_bytes.get(word)
+        if whole is not None:
+            return [whole]  # the start state loses no arc
+        n, path, places, dead = len(word), [], [0], set()
+        choices = [self._labels_at(word, 0)]
+        while True:
+            if not choices[-1]:
+                dead.add(places.pop())
+                choices.pop()
+                path.pop()
+                continue
+            end, token = choices[-1].pop()
+            if end in dead or path and not self.has_arc(path[-1], token):
+                continue
+            path.append(token)
+            if end == n:
+                return path
+            places.append(end)
+            choices.append(self._labels_at(word, end))
+
+    def _labels_at(self, word: bytes, start: int) -> list[tuple[int, int]]:
+        """Ends and ids of the tokens that begin at ``start``, from the shortest."""
+        out, by_bytes, prefixes = [], self.by_bytes, self.prefixes
+        for end in range(start + 1, min(len(word), start + self.longest) + 1):
+            piece = word[start:end]
+            token = by_bytes.get(piece)
+            if token is not None:
+                out.append((end, token))
+            if piece not in prefixes:
+                break
+        return out
 
     def _word_ids(self, piece: str) -> bytes:
         ids = b"".join(i.to_bytes(4, "little") for i in self.encode_word(piece.encode("utf-8", "surrogatepass")))
