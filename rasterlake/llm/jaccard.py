@@ -93,16 +93,34 @@ class CountTree:
             hi, low, high = (f.reduceat(x, at, axis=0) for f, x in ((np.maximum, hi), (np.minimum, low), (np.maximum, high)))
             self.levels.append((hi, low, high))
 
-    def near(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose overlap with position ``q`` may reach the threshold, and that bound."""
+    def spans(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Least and greatest label (by position) below each node, for each level."""
+        low, high, out = label, label, []
+        for _ in self.levels:
+            at = np.arange(0, len(low), self.FAN)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append((low, high))
+        return out
+
+    def near(self, q: int, label: np.ndarray | None = None, spans: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose overlap with position ``q`` may reach the threshold, and that bound.
+
+        With ``label`` and its ``spans``, only later positions of another label than that of ``q``: nodes in which
+        there is none are not opened.
+        """
         point, n = self.points[q], int(self.n[q])
         rows = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
         for k in range(len(self.levels) - 1, -1, -1):
+            if label is not None:
+                least, most = (x[rows] for x in spans[k])
+                rows = rows[((least != label[q]) | (most != label[q])) & ((rows + 1) * self.FAN ** (k + 1) > q + 1)]
             hi, low, high = (x[rows] for x in self.levels[k])
             bound = np.minimum(hi, point).sum(axis=1, dtype=np.int64)
             ok = self._may(bound, n, low) & (high * self.den >= n * self.num) & (low * self.num <= n * self.den)
             below = (rows[ok][:, None] * self.FAN + np.arange(self.FAN)).ravel()
             rows = below[below < len(self.levels[k - 1][0] if k else self.points)]
+        if label is not None:
+            rows = rows[(rows > q) & (label[rows] != label[q])]
         rows = rows[(self.n[rows] * self.den >= n * self.num) & (self.n[rows] * self.num <= n * self.den)]
         bound = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64)
         ok = self._may(bound, n, self.n[rows])
@@ -121,10 +139,12 @@ def link_group(sets: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.
     tree = CountTree(sets, n, num, den)
     label = np.arange(len(sets))  # by position
     held = [sets[i] for i in tree.order]
+    spans, joined = tree.spans(label), False
     for q in range(len(held)):
-        rows, bound = tree.near(q)
-        later = (rows > q) & (label[rows] != label[q])
-        rows = rows[later][np.argsort(-bound[later], kind="stable")]
+        if joined:
+            spans, joined = tree.spans(label), False
+        rows, bound = tree.near(q, label, spans)
+        rows = rows[np.argsort(-bound, kind="stable")]
         step = 1
         while len(rows := rows[label[rows] != label[q]]):
             take, rows = rows[:step], rows[step:]
@@ -138,6 +158,7 @@ def link_group(sets: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.
                 if label[j] != label[q]:
                     a, b = sorted((label[j], label[q]))
                     label[label == b] = a
+                    joined = True
     first: dict[int, int] = {}
     for position in np.argsort(tree.order, kind="stable"):
         first.setdefault(int(label[position]), int(tree.order[position]))

@@ -81,6 +81,28 @@ def test_count_tree_loses_no_pair():
                 assert j in near
 
 
+def test_grouping_of_near_copies_by_brute_force():
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        for _ in range(60):
+            now = base.copy()
+            change = int(rng.integers(0, 14))
+            now[rng.choice(60, change, replace=False)] = rng.integers(0, 1 << 62, change).astype(np.uint64)
+            sets.append(np.unique(now))
+    n = np.array([len(s) for s in sets])
+    root = list(range(len(sets)))
+    whole = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(whole[i] & whole[j]) >= 80 * len(whole[i] | whole[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) > 6
+    assert jaccard.link_group(sets, n, 80, 100).tolist() == root
+
+
 def test_op4_sql(spark, same_rows):
     same_rows(jaccard.op4_jaccard(spark, SF), jaccard.OP4_SQL, SF)
 
