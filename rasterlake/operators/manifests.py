@@ -19,6 +19,11 @@ def output_name(path: Column) -> Column:
     return F.when(name.endswith(".jpg"), F.concat(F.get(F.split(name, r"\.jpg"), F.lit(0)), F.lit(".png"))).otherwise(name)
 
 
+def classes_in(name: Column, classes: list[str]) -> Column:
+    """The classes that occur in a name, as an array; a name counts for each of them."""
+    return F.filter(F.array(*map(F.lit, classes)), lambda c: F.contains(name, c))
+
+
 def ranked(df: DataFrame, by: str, name: str = "rank") -> DataFrame:
     """Adds the row's place (from 0) in the order of ``by`` by a distributed sort.
 
@@ -70,8 +75,8 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds ``place``, an order that a seed decides and every run repeats."""
-    return df.withColumn("place", F.xxhash64(F.col(key), F.lit(seed)))
+    """Adds ``place``, an order that a seed decides and every run and engine repeats."""
+    return df.withColumn("place", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))
 
 
 def write_snapshot(df: DataFrame, root: str, iteration: int) -> str:

@@ -185,6 +185,36 @@ def confusion_iou(df: DataFrame) -> DataFrame:
     return px.select("method", F.expr("c00 / CAST(nullif(c00 + c01 + c10, 0) AS DOUBLE)").alias("iou_0"), F.expr("c11 / CAST(nullif(c11 + c01 + c10, 0) AS DOUBLE)").alias("iou_1"))
 
 
+SCORES = ["sm", "wfm", "mae", "adp_em", "mean_em", "max_em", "adp_fm", "mean_fm", "max_fm"]
+
+
+def raw_mae(df: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """Adds ``mae`` of images as validation sees them: predictions stretched and masks divided by their maximum, both with ``eps``; narrow."""
+    p = F.transform("pred", lambda v: (v - F.array_min("pred")) / (F.array_max("pred") - F.array_min("pred") + F.lit(eps)))
+    g = F.transform("gt", lambda v: v / (F.array_max("gt") + F.lit(eps)))
+    return df.withColumn("mae", total(F.zip_with(p, g, lambda a, b: F.abs(a - b))) / F.size("pred"))
+
+
+def image_scores(df: DataFrame) -> DataFrame:
+    """The scores that one prepared image has on its own, structure among them."""
+    image = weighted(with_adaptive(with_mae(df)), "mae", "adp_fm", "adp_em")
+    return image.join(structure(df).select(*KEYS, "sm"), KEYS)
+
+
+def report_sets(df: DataFrame, *sets: list[str]) -> DataFrame:
+    """The reports of several groupings from one pass over pixels; columns that a grouping leaves out are NULL."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    mean = lambda *names: [F.avg(c).alias(c) for c in names]
+    of = lambda *more: [[F.col(c) for c in (*s, *more)] for s in sets]
+    means = image_scores(df).groupingSets(of(), *keys).agg(F.grouping_id().alias("__set"), *mean("sm", "wfm", "mae", "adp_em", "adp_fm"))
+    curve = curves(df).groupingSets(of("k"), *keys, "k").agg(F.grouping_id().alias("__set"), *mean("fm", "em")).withColumn("__set", F.shiftright("__set", 1))
+    curve = curve.groupBy("__set", *keys).agg(F.avg("em").alias("mean_em"), F.max("em").alias("max_em"), F.avg("fm").alias("mean_fm"), F.max("fm").alias("max_fm"))
+    same = means["__set"] == curve["__set"]
+    for k in keys:
+        same = same & means[k].eqNullSafe(curve[k])
+    return means.join(curve, same).select(*[means[k] for k in keys], *[F.bround(c, 4).alias(c) for c in SCORES])
+
+
 def report(df: DataFrame, *by: str) -> DataFrame:
     """The nine scores of each group of prepared images, to four places half to even.
 
@@ -197,5 +227,4 @@ def report(df: DataFrame, *by: str) -> DataFrame:
     means = image.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("sm", "wfm", "mae", "adp_em", "adp_fm")])
     curve = curves(df).groupBy(*keys, "k").agg(F.avg("fm").alias("fm"), F.avg("em").alias("em"))
     curve = curve.groupBy(*keys).agg(F.avg("em").alias("mean_em"), F.max("em").alias("max_em"), F.avg("fm").alias("mean_fm"), F.max("fm").alias("max_fm"))
-    scores = ["sm", "wfm", "mae", "adp_em", "mean_em", "max_em", "adp_fm", "mean_fm", "max_fm"]
-    return means.join(curve, keys).select(*keys, *[F.bround(c, 4).alias(c) for c in scores])
+    return means.join(curve, keys).select(*keys, *[F.bround(c, 4).alias(c) for c in SCORES])

@@ -133,6 +133,14 @@ ORACLE_SQL: dict[str, str] = {
     "iou_confusion": f"{_BASE} SELECT method, round(count(*) FILTER (g = 0 AND p < 0.5) / CAST(nullif(count(*) FILTER (g = 0 OR p < 0.5), 0) AS DOUBLE), 6) AS iou_0, round(count(*) FILTER (g = 1 AND p >= 0.5) / CAST(nullif(count(*) FILTER (g = 1 OR p >= 0.5), 0) AS DOUBLE), 6) AS iou_1 FROM px GROUP BY method",
     "eval_report": _report("dataset, method"),
     "eval_superclass": _report("class, method"),
+    "eval_subclass": f"SELECT 'cls' || class || '_' AS class, * EXCLUDE (class) FROM ({_report('class, method')}) WHERE class IN (1, 2, 3)",
+    "eval_sets": f"SELECT *, NULL::INTEGER AS class FROM ({_report('dataset, method')}) UNION ALL BY NAME SELECT *, NULL::VARCHAR AS dataset FROM ({_report('class, method')})",
+    "raw_mae": f"""{_BASE}, mx AS (SELECT img_id, min(pred) AS plo, max(pred) AS phi, max(gt) AS ghi FROM raw GROUP BY img_id)
+        SELECT method, round(avg(mae), 6) AS mae, count(*) AS images FROM (
+          SELECT img_id, method, avg(abs((pred - mx.plo) / (mx.phi - mx.plo + 1e-8) - gt / (ghi + 1e-8))) AS mae FROM raw JOIN mx USING (img_id) GROUP BY ALL) GROUP BY method""",
+    "grey_levels": f"{_BASE} SELECT img_id, pos, CAST(floor(pred * 0.299::DOUBLE + gt * 0.587::DOUBLE + (255 - pred) * 0.114::DOUBLE + 0.5::DOUBLE) AS INTEGER) AS v FROM raw",
+    "class_predicate": "SELECT page_id, class FROM pages, (VALUES ('/en/'), ('/fr/'), ('casino'), ('example.org')) c(class) WHERE contains(url, class)",
+    "batch_shuffled": "SELECT doc_id AS img_id, (row_number() OVER (ORDER BY md5(doc_id || ':7')) - 1) // 16 AS batch FROM documents",
     "manifest_scan": f"SELECT * FROM ({_PATH}) WHERE path LIKE '%.jpg' OR path LIKE '%.png'",
     "name_normalise": f"SELECT page_id, CASE WHEN n LIKE '%.jpg' THEN split_part(n, '.jpg', 1) || '.png' ELSE n END AS name FROM (SELECT page_id, split_part(path, '/', -1) AS n FROM ({_PATH}))",
     "manifest_positional": "SELECT a.rank, a.img_id, b.img_id AS mask_id FROM (SELECT doc_id AS img_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents) a JOIN (SELECT doc_id AS img_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM labels) b USING (rank)",

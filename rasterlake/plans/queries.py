@@ -127,6 +127,37 @@ def eval_superclass(spark, sf):
     return metrics.report(_pairs(spark, sf), "class", "method")
 
 
+@query
+def eval_subclass(spark, sf):
+    """Classes are substrings of file names."""
+    named = _pairs(spark, sf).withColumn("name", F.format_string("cls%s_%s.png", "class", "img_id"))
+    return metrics.report(named.withColumn("class", F.explode(manifests.classes_in(F.col("name"), ["cls1_", "cls2_", "cls3_"]))), "class", "method")
+
+
+@query
+def eval_sets(spark, sf):
+    """The reports by dataset and by class in one job."""
+    return metrics.report_sets(_pairs(spark, sf), ["dataset", "method"], ["class", "method"])
+
+
+@query
+def raw_mae(spark, sf):
+    return metrics.raw_mae(src.rasters(spark, sf)).groupBy("method").agg(F.round(F.avg("mae"), 6).alias("mae"), F.count("*").alias("images"))
+
+
+@query
+def grey_levels(spark, sf):
+    """Luminance of three channels: prediction, mask, inverted prediction."""
+    df = src.rasters(spark, sf).withColumn("v", F.zip_with("pred", "gt", lambda p, g: src.luminance(p, g, 255 - p)))
+    return df.select("img_id", F.posexplode_outer("v").alias("pos", "v")).select("img_id", F.col("pos").cast("long").alias("pos"), "v")
+
+
+@query
+def class_predicate(spark, sf):
+    pages = src.table(spark, sf, "pages").select("page_id", "url")
+    return pages.select("page_id", F.explode(manifests.classes_in(F.col("url"), ["/en/", "/fr/", "casino", "example.org"])).alias("class"))
+
+
 @query
 def manifest_scan(spark, sf):
     pages = src.table(spark, sf, "pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 3 == 0, ".jpg").when(F.col("page_id") % 3 == 1, ".png").otherwise(".tif")).alias("path"))
@@ -292,6 +323,12 @@ def batch_assign(spark, sf):
     return manifests.batches(src.images(spark, sf).select("img_id"), "img_id", 16).select("img_id", "batch")
 
 
+@query
+def batch_shuffled(spark, sf):
+    placed = manifests.shuffled(src.images(spark, sf).select("img_id"), "img_id", 7)
+    return manifests.batches(placed, "place", 16).select("img_id", "batch")
+
+
 @query
 def batch_zip(spark, sf):
     count = lambda df: manifests.batches(df.select("img_id"), "img_id", 16).groupBy("batch").agg(F.min("img_id").alias("first"), F.count("*").alias("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,36 @@ def luminance(r, g, b):  # noqa: ANN001, ANN201
     return F.floor(r * 0.299 + g * 0.587 + b * 0.114 + 0.5).cast("int")
 
 
+def grey_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jpg", ".png", ".tif")) -> DataFrame:
+    """``(name, h, w, px)`` of image files in 8-bit grey, decoded by Spark's own image source.
+
+    Files that it cannot decode give no row. Colours (stored as blue, green, red) become luminance, and an alpha
+    channel is not read. Arrow batches, no shuffle.
+    """
+    files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flat = []
+            for data, n in zip(frame["data"], frame["nChannels"], strict=True):
+                px = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
+                flat.append(px[:, 0].astype(np.int32) if n == 1 else np.floor(px[:, 2] * 0.299 + px[:, 1] * 0.587 + px[:, 0] * 0.114 + 0.5).astype(np.int32))
+            yield pd.DataFrame({"name": frame["name"], "h": frame["height"], "w": frame["width"], "px": flat})
+
+    picked = files.select(F.substring_index("image.origin", "/", -1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
+    return picked.mapInPandas(run, "name string, h int, w int, px array<int>")
+
+
+def file_pairs(spark: SparkSession, pred_root: str, gt_root: str, method: str, dataset: str, suffixes: tuple[str, ...] = (".jpg", ".png", ".tif")) -> DataFrame:
+    """Mask pairs of two folders by file name, in the form of ``rasters``; only pairs of one size.
+
+    ``img_id`` is a hash of the name and ``class`` the name itself.
+    """
+    pred, gt = (grey_files(spark, r, suffixes) for r in (pred_root, gt_root))
+    both = gt.withColumnRenamed("px", "gt").join(pred.withColumnRenamed("px", "pred"), ["name", "h", "w"])
+    return both.select(F.xxhash64("name").alias("img_id"), F.lit(method).alias("method"), F.lit(dataset).alias("dataset"), F.col("name").alias("class"), "h", "w", "pred", "gt")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img_id"), F.concat(F.lit("Image/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), "source", "n_chars")
 

@@ -138,6 +138,38 @@ def test_files(spark, tmp_path):
     assert {r.name for r in got} == {"a.jpg", "b.png"} and got[0].px == [1, 2, 3, 4]
 
 
+def png(px: np.ndarray) -> bytes:
+    """An 8-bit PNG, grey or red-green-blue."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w = px.shape[:2]
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if px.ndim == 2 else 2, 0, 0, 0)
+    rows = b"".join(b"\0" + r.astype(np.uint8).tobytes() for r in px)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_image_files(spark, tmp_path):
+    from rasterlake.sources import rasters
+
+    grey = np.arange(12).reshape(3, 4) * 20
+    colour = np.zeros((2, 2, 3), int)
+    colour[0, 0], colour[0, 1], colour[1, 0] = (255, 0, 0), (0, 255, 0), (0, 0, 255)
+    for folder in ("pred", "gt"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.png").write_bytes(png(grey if folder == "pred" else (grey > 100) * 255))
+    (tmp_path / "pred" / "b.png").write_bytes(png(colour))
+    (tmp_path / "pred" / "c.png").write_bytes(b"not an image")
+    (tmp_path / "pred" / "d.txt").write_bytes(png(grey))
+    got = {r.name: r for r in rasters.grey_files(spark, str(tmp_path / "pred")).collect()}
+    assert set(got) == {"a.png", "b.png"}
+    assert (got["a.png"].h, got["a.png"].w, got["a.png"].px) == (3, 4, grey.ravel().tolist())
+    assert got["b.png"].px == [76, 150, 29, 0]
+    pairs = metrics.prepare(rasters.file_pairs(spark, str(tmp_path / "pred"), str(tmp_path / "gt"), "m", "d"))
+    assert metrics.mae(pairs).first().mae == pytest.approx(np.abs(grey / 220 - (grey > 100)).mean())
+
+
 def test_attention_kernel_by_one_pixel(spark):
     taps = np.array(stencil.attention_taps(5, 2.0))
     one = np.zeros((6, 6), int)
