@@ -1,7 +1,8 @@
 """License scan by canonical digest: whole texts are normalised and hash-joined to known licence texts.
 
-Everything is DataFrame expressions. The normalisation is written once, as a list of rules that Spark and the
-oracle's SQL both follow.
+Everything is DataFrame expressions. The normalisation is a list of rules that Spark and the oracle's SQL both follow,
+except that the SQL's rule for copyright notices takes whole lines: on texts in which a line of terms starts like a
+notice, or a notice shares its line with terms, the SQL's digests differ from the query's, and the query's are right.
 """
 
 from __future__ import annotations
@@ -20,8 +21,31 @@ SAME_SPELLING = [
     ("sublicence", "sublicense"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http"),
 ]
-#: Lines that name a holder or a year, and lines that reserve rights, carry no terms.
+#: The rule of ``OP9_SQL``, which stays as it was first written. It takes whole lines that start like a notice.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Fixed values of ``NOTICE``: words that begin terms, so a notice ends before them.
+_OPENS = (
+    r"\b(?:permission (?:is|to)\b|redistributions?\b|(?:this|the) (?:software|program|library|file|code|package|work|project|source|license|licence|document|material)\b|"
+    r"everyone is\b|do what the\b|licen[cs]ed\b|released\b|distributed\b|provided\b|under\b|subject to\b|except\b|unless\b|without\b|only\b|you\b|any\b|if\b|no (?:part|warranty)\b|for (?:non|personal|internal)|use of\b)"
+)
+#: A sentence ends, other than after an initial or a company's form, and more than a mark, an address or a reservation follows.
+_SENTENCE = r"(?:(?<!\b(?:inc|ltd|co|corp|llc|gmbh|jr|sr|dr|st|al|[a-z]))[.]|[;!?])[ \t]+(?!all rights reserved|https?:|<|[^\s@]+@|copyright\b|\(c\)|©|[0-9]{4}|[\r\n])(?=[^\n]*[a-z0-9])"
+#: A text that says something is no notice.
+_SAYS = r"\b(?:is|are|was|were|agrees?|hereby|prohibited|forbidden|(?:may|must|shall|will|can|cannot|do|does) (?:not|only|be|use|copy|have|include|retain|pay|apply|appear)\b)\b"
+_BODY = rf"(?:(?!{_OPENS}|{_SENTENCE}|{_SAYS})[^\n])*+(?=\n|\z|{_OPENS}|{_SENTENCE})"
+_YEAR = r"(?:[0-9]{4}\b|[<\[{(]*[ ]?(?:years?|yyyy|dates?)\b)"
+#: Words after "copyright" that speak of it and name no holder.
+_NO_HOLDER = (
+    r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]\w*|interests?|statements?|disclaimers?|permissions?|treaty|treaties|protect\w*|doctrines?|lines?|claims?|rights?|status|infring\w*|works?|materials?|"
+    r"patents?|trademarks?|ed|the (?:software|library|program|work)|and|or|on|in|of|to|if|is|are|as|at|for|with|that|which|under|may|must|shall|will|can|not|also|like|you|your|a|an|any|this|these|such|it|its|all|act|office|term|year|but|from|has|have|does|do|was|unless)\b"
+)
+#: What carries no terms: a mark with a year or with a second mark, wherever it is; a mark with a holder, where a line
+#: starts; and the reservation of rights there. It goes up to its end, and terms on the same line stay.
+NOTICE = (
+    rf"(?md)(?:\bcopyright(?:ed)?[ \t]*:?[ \t]*(?:\(c\)|©|&copy;|{_YEAR})|(?:\(c\)|©|&copy;)[ \t]*(?:copyright\b|{_YEAR})){_BODY}(?:\n[ \t]*<?(?:https?://|[^\s@<]+@)\S*(?=[ \t]*\r?(?:\n|\z)))?"
+    rf"|^[^a-z0-9\n]*(?:copyrights?[ \t]+(?:by[ \t]+)?|©[ \t]*|\(c\)[ \t]*)(?!{_NO_HOLDER})(?=[a-z<\[{{\x{{80}}-\x{{10FFFF}}]){_BODY}"
+    r"|^[^a-z0-9\n]*all rights reserved\b"
+)
 
 _MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
 _MIT_NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -47,16 +71,16 @@ KNOWN_TEXTS = [
 ]
 
 
-def _rules() -> list[tuple[str, str]]:
-    """Patterns and what replaces them, in order, on lower-case text. Java and RE2 read them alike."""
-    plain = [(COPYRIGHT_LINE, "\n"), (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")]
+def _rules(notice: str = COPYRIGHT_LINE) -> list[tuple[str, str]]:
+    """Patterns and what replaces them, in order, on lower-case text. Java and RE2 read all but ``NOTICE`` alike."""
+    plain = [(notice, "\n"), (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")]
     # A word boundary is a blank here; each rule runs on text with a blank at either end.
     return [*plain, *((f" {a} ", f" {b} ") for a, b in SAME_SPELLING)]
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one blank for each run of punctuation and white space, one spelling; trimmed."""
-    (line, nl), (marks, blank), *words = _rules()
+    """Lower case, no copyright notices, one blank for each run of punctuation and white space, one spelling; trimmed."""
+    (line, nl), (marks, blank), *words = _rules(NOTICE)
     c = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), line, nl), marks, blank), F.lit(" "))
     for a, b in words:
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -64,7 +88,7 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB, but for copyright notices: there, whole lines go (``COPYRIGHT_LINE``)."""
     (line, nl), (marks, blank), *words = _rules()
     c = f"' ' || regexp_replace(regexp_replace(lower({text}), '{line}', chr(10), 'g'), '{marks}', ' ', 'g') || ' '"
     for a, b in words:
@@ -81,7 +105,7 @@ def known_digests(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``digest`` (SHA-256 of the canonical text), ``canon_chars`` and ``license`` (null if the digest is not known).
 
-    A text matches if all of it is a licence, whatever its case, punctuation, copyright lines and spelling. Null
+    A text matches if all of it is a licence, whatever its case, punctuation, line breaks, copyright notices and spelling. Null
     and empty texts have the digest of nothing and no licence. Every row gives one row; repeated digests in
     ``known`` (default: ``known_digests``) name the first licence in order; input columns named like outputs are dropped. The documents are
     scanned once and not shuffled while ``known`` has at most 100,000 rows; beyond that, Spark joins as it sees fit.
