@@ -7,6 +7,9 @@ notice, or a notice shares its line with terms, the SQL's digests differ from th
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +43,10 @@ _NO_HOLDER = (
     r"patents?|trademarks?|ed|the (?:software|library|program|work)|and|or|on|in|of|to|if|is|are|as|at|for|with|that|which|under|may|must|shall|will|can|not|also|like|you|your|a|an|any|this|these|such|it|its|all|act|office|term|year|but|from|has|have|does|do|was|unless)\b"
 )
 #: What carries no terms: a mark with a year or with a second mark, wherever it is; a mark with a holder, where a line
-#: starts; and the reservation of rights there. It goes up to its end, and terms on the same line stay.
+#: starts (of "(c)", which also numbers clauses, only near the start of a text); and the reservation of rights there. It goes up to its end, and terms on the same line stay.
 NOTICE = (
     rf"(?md)(?:\bcopyright(?:ed)?[ \t]*:?[ \t]*(?:\(c\)|©|&copy;|{_YEAR})|(?:\(c\)|©|&copy;)[ \t]*(?:copyright\b|{_YEAR})){_BODY}(?:\n[ \t]*<?(?:https?://|[^\s@<]+@)\S*(?=[ \t]*\r?(?:\n|\z)))?"
-    rf"|^[^a-z0-9\n]*(?:copyrights?[ \t]+(?:by[ \t]+)?|©[ \t]*|\(c\)[ \t]*)(?!{_NO_HOLDER})(?=[a-z<\[{{\x{{80}}-\x{{10FFFF}}]){_BODY}"
+    rf"|^[^a-z0-9\n]*(?:copyrights?[ \t]+(?:by[ \t]+)?|©[ \t]*|\(c\)(?<!(?s:.){{300}})[ \t]*)(?!{_NO_HOLDER}|{_OPENS})(?=[a-z<\[{{\x{{80}}-\x{{10FFFF}}]){_BODY}"
     r"|^[^a-z0-9\n]*all rights reserved\b"
 )
 
@@ -70,6 +73,81 @@ KNOWN_TEXTS = [
     ("Apache-2.0-notice", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
 ]
 
+#: Whole public texts by licence id, and the digests of them and of their usual forms (``write_digests``).
+TEXTS = Path(__file__).with_name("license_texts")
+#: Titles by licence id.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "License: MIT", "MIT"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0", "The MIT-0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License", "License"],
+    "ISC": ["The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD License", "0BSD", "Free Public License 1.0.0"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "WTFPL": [],
+}
+#: Other wordings of the same text, as public copies have them.
+WORDINGS = [
+    ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", ["59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA"]),
+    ("the GNU Lesser General Public License instead", ["the GNU Library General Public License instead"]),
+]
+#: Where a text's instructions for its use begin, or an introduction that is not of its terms ends.
+_APPENDIX = re.compile(r"\s*(?:END OF TERMS AND CONDITIONS.*|APPENDIX: How to apply.*|How to Apply These Terms to Your New .*|ADDENDUM: How to use this License.*)", re.S | re.I)
+_CC0_INTRO = re.compile(r"CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM.*?HEREUNDER\.\s*", re.S)
+
+
+def _numbered(text: str) -> list[str]:
+    """The clauses numbered, lettered, or with bullets."""
+    marks = [lambda k: f"{k}. ", lambda k: "* ", lambda k: f"{'abcd'[int(k) - 1]}. ", lambda k: f"{['i', 'ii', 'iii', 'iv'][int(k) - 1]}. "]
+    return [re.sub(r"(?m)^[ \t]*([1-4])\. +", lambda m, f=f: f(m[1]), text) for f in marks]
+
+
+def forms() -> list[tuple[str, str]]:
+    """``(license, text)``: the whole texts and those of ``KNOWN_TEXTS`` in the forms in which copies have them.
+
+    With and without title, instructions for use and introduction; with numbers, letters or bullets; with each
+    wording; and as it is, with each paragraph on a line, and all on one line.
+    """
+    whole: list[tuple[str, str]] = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        if name in TITLES:
+            whole += [(name, f"{title}\n\n{t}") for t in _numbered(text) for title in ["", *TITLES[name]]]
+            continue
+        same = [text]
+        for ours, others in WORDINGS:
+            at = re.compile(r"\s+".join(re.escape(w) for w in ours.replace(",", " ,").split()).replace(r"\s+,", r",?"))
+            same += [at.sub(other, t) for t in same for other in others if at.search(t)]
+        for t in same:
+            cut = _APPENDIX.sub("", t)
+            ends = [t, cut, f"{cut}\n\nEND OF TERMS AND CONDITIONS"] if cut != t else [t]
+            if name == "Apache-2.0":
+                ends += [re.sub(r"(?m)^[ \t]*\([a-d]\) ", "", e) for e in ends]
+            if name == "CC0-1.0":
+                ends += [_CC0_INTRO.sub("", t), _CC0_INTRO.sub("", t).replace("Creative Commons Legal Code", ""), t.replace("Creative Commons Legal Code", "")]
+            whole += [(name, e) for e in ends]
+    for name, text in KNOWN_TEXTS:
+        if name in TITLES:
+            bare = re.sub(r"\A(?:MIT License|MIT No Attribution|ISC License)\n\n", "", text)
+            several = _numbered(bare) if name in ("BSD-2-Clause", "BSD-3-Clause", "Zlib") else [bare]
+            whole += [(name, f"{title}\n\n{t}") for t in several for title in ["", *TITLES[name]]]
+        whole.append((name, text))
+    lines = lambda t: "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", t))
+    return sorted({(k, f) for k, t in whole for f in (t, lines(t), " ".join(t.split()))})
+
+
+def form_digests(spark: SparkSession) -> DataFrame:
+    """``(digest, license)`` of ``forms``."""
+    rows = spark.createDataFrame(forms(), "license string, text string")
+    return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").distinct()
+
+
+def write_digests(spark: SparkSession) -> None:
+    """Rewrite the file of digests; to be run when a rule, a text or a form changes."""
+    rows = sorted((r.license, r.digest) for r in form_digests(spark).collect())
+    (TEXTS / "DIGESTS.tsv").write_text("".join(f"{d}\t{k}\n" for k, d in rows), encoding="ascii")
+
 
 def _rules(notice: str = COPYRIGHT_LINE) -> list[tuple[str, str]]:
     """Patterns and what replaces them, in order, on lower-case text. Java and RE2 read all but ``NOTICE`` alike."""
@@ -97,9 +175,9 @@ def canonical_sql(text: str) -> str:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """``(digest, license)``: a fixed list, a few rows."""
-    rows = spark.createDataFrame(KNOWN_TEXTS, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """``(digest, license)``: the file of digests, some hundred rows."""
+    rows = [tuple(line.split("\t")) for line in (TEXTS / "DIGESTS.tsv").read_text(encoding="ascii").splitlines()]
+    return spark.createDataFrame(rows, "digest string, license string").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -48,3 +48,28 @@ def test_only_notices_are_left_out(names, spark):
     assert names([f"{n}\n\n{mit}" for n in terms]) == [None] * len(terms)
     long = spark.createDataFrame([(1, "Copyright (c) 2020 " + "word, " * 300_000), (2, "-" * 300_000 + "\n" + "(c) " * 100_000)], "doc_id int, text string")
     assert licenses.scan_licenses(long).count() == len([r for r in licenses.scan_licenses(long).collect() if r.license is None]) == 2
+
+
+def test_whole_texts(names, spark):
+    made = [(p.stem, p.read_text()) for p in licenses.TEXTS.glob("*.txt")]
+    assert len(made) == 14
+    made += [("GPL-3.0", t[: t.index("END OF TERMS")]) for k, t in made if k == "GPL-3.0"]
+    made += [("Apache-2.0", t.replace("[yyyy] [name of copyright owner]", "2020 Foo, Inc.")) for k, t in made if k == "Apache-2.0"]
+    made += [(k, " ".join(t.split())) for k, t in made]
+    assert names([t for _, t in made]) == [k for k, _ in made]
+    gpl = (licenses.TEXTS / "GPL-2.0.txt").read_text()
+    assert names([gpl.replace("b) You must cause", "b) You need not cause")]) == [None]
+    rows = sorted((r.digest, r.license) for r in licenses.form_digests(spark).collect())
+    assert rows == sorted(tuple(x.split("\t")) for x in (licenses.TEXTS / "DIGESTS.tsv").read_text().splitlines())
+    assert len({d for d, _ in rows}) == len(rows)  # no text has two licences
+
+
+def test_titles_bullets_and_letters(names):
+    bsd = next(t for k, t in licenses.KNOWN_TEXTS if k == "BSD-3-Clause")
+    two, zlib, zero = (next(t for k, t in licenses.KNOWN_TEXTS if k == n) for n in ("BSD-2-Clause", "Zlib", "0BSD"))
+    stars = lambda t: t.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    letters = lambda t: t.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")
+    made = [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, Foo\nAll rights reserved.\n\n{f(bsd)}") for f in (str, stars, letters, lambda t: _wrapped(letters(t), 70))]
+    made += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, Foo\n\n{f(two)}") for f in (str, stars)]
+    made += [("Zlib", f"zlib License\n\n(C) 2020 Foo\n\n{zlib}"), ("0BSD", f"BSD Zero Clause License\n\nCopyright (C) 2020 by Foo <a@b.org>\n\n{zero}")]
+    assert names([t for _, t in made]) == [k for k, _ in made]
