@@ -7,9 +7,17 @@ from html import unescape
 
 #: Elements by the way they are read (HTML living standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose contents are left out if they are closed; these can hold elements of their own kind.
+LEFT_OUT = frozenset("svg template noscript".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("li dt dd address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+#: Elements of formulas are read in line; those of drawings hold nothing where their drawing is not closed.
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr mlabeledtr munder munderover none semantics annotation annotation-xml".split())
+INLINE |= frozenset("circle clippath defs ellipse g line lineargradient path polygon polyline radialgradient rect stop symbol tspan use".split())
+#: These end a drawing that they start in, unless they are in one of the elements of it that hold text.
+BREAKS_OUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr img li menu nobr ol p pre table ul".split())
+HOLDS_TEXT = frozenset("foreignobject desc".split())
 #: An element that starts ends these open ones, up to one of the elements that hold them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -21,6 +29,8 @@ ENDS = {
 P_SCOPE = frozenset("td th table caption button body html".split())
 #: A quote counts only after an equals sign. The groups are atomic, so damaged input takes linear time.
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""", re.S)
+_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
+_MAY_LEAVE_OUT = re.compile("<(?:" + "|".join(sorted(LEFT_OUT)) + ")", re.I | re.A)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -39,11 +49,67 @@ class Node:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs else {}
 
 
+def _after_raw(html: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Where to read on after the start of a raw element that ends at ``at``. Tags found unclosed go into ``unclosed``."""
+    close = None if tag in unclosed else _END[tag].search(html, at)
+    if close is None:
+        unclosed.add(tag)
+        return at if tag in ("textarea", "iframe") else len(html)
+    gt = html.find(">", close.end())
+    return len(html) if gt < 0 else gt + 1
+
+
+def _left_out(html: str) -> dict[int, int]:
+    """Where each closed element of ``LEFT_OUT`` starts and ends. One pass; empty and unclosed ones are not in it."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in LEFT_OUT if t != "svg"}
+    drawing: list[tuple[str, int]] = []  # open svg elements, and in them those that hold text
+    many: dict[str, int] = {}
+    unclosed: set[str] = set()
+    at, last = 0, html.rfind(">")
+    while at <= last:
+        m = _TOKEN.search(html, at)
+        if m is None:
+            break
+        at = m.end()
+        if m[3] is None:
+            continue
+        tag, ends, empty = m[3].lower(), bool(m[2]), m[4].endswith("/")
+        if tag in opened:
+            if not ends:
+                opened[tag].append(m.start())
+            elif opened[tag]:
+                found[opened[tag].pop()] = at
+        elif tag == "svg" or tag in HOLDS_TEXT and drawing:
+            if not ends:
+                if not empty:
+                    drawing.append((tag, m.start()))
+                    many[tag] = many.get(tag, 0) + 1
+                continue
+            while many.get(tag):
+                name, start = drawing.pop()
+                many[name] -= 1
+                if name == tag:
+                    if tag == "svg":
+                        found[start] = at
+                    break
+        elif ends:
+            continue
+        elif tag in RAW:
+            if not (empty and drawing):
+                at = _after_raw(html, tag, at, unclosed)
+        elif tag in BREAKS_OUT:
+            while drawing and drawing[-1][0] == "svg":
+                many[drawing.pop()[0]] -= 1
+    return found
+
+
 def parse(html: str | None) -> Node:
     """The tree of block elements. Text runs have character references decoded and white space collapsed.
 
     Null, empty or damaged input gives the tree that can be made of it. An inline element does not end a run,
-    a <br> counts as white space, and the contents of scripts, styles and the like are left out.
+    a <br> counts as white space, and the contents of scripts, styles and the like are left out. So are closed
+    drawings, templates and <noscript>; if they are empty or not closed, what follows is read.
     """
     root = now = Node("#root", None)
     opened: dict[str, int] = {}  # how many of each element are open
@@ -70,7 +136,9 @@ def parse(html: str | None) -> Node:
             now = now.parent
 
     html = html or ""
-    at, end, low = 0, len(html), None
+    at, end = 0, len(html)
+    left_out = _left_out(html) if _MAY_LEAVE_OUT.search(html) else {}
+    unclosed: set[str] = set()
     last = html.rfind(">")
     match = _TOKEN.search
     while at < end:
@@ -117,14 +185,10 @@ def parse(html: str | None) -> Node:
                 links = 1  # links do not nest
             continue
         if tag in RAW:
-            if low is None:
-                low = html.lower() if len(html.lower()) == end else html
-            close = low.find(f"</{tag}", at)
-            if tag in ("textarea", "iframe", "object") and close < 0:
-                continue
-            at = end if close < 0 else close
-            gt = html.find(">", at)
-            at = end if gt < 0 else gt + 1
+            at = _after_raw(html, tag, at, unclosed)
+            continue
+        if tag in LEFT_OUT:
+            at = left_out.get(m.start(), at)
             continue
         if tag in VOID:
             if tag == "hr":
