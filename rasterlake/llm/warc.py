@@ -12,16 +12,18 @@ import base64
 import hashlib
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import materialize, table
+from rasterlake.llm.common import materialize, shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2000-01-01T00:00:00Z"
@@ -159,14 +161,15 @@ def _uri(url: str | None, page: str) -> str:
     return "".join(c if " " < c else f"%{ord(c):02X}" for c in url) if url else page
 
 
-def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", dedupe_bytes: int = 1000, package_bytes: int = 8_000_000) -> DataFrame:
-    """Packages ``(name, content)`` with one record for each row.
+def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", dedupe_bytes: int = 1000, package_bytes: int = 8_000_000, folder: str | None = None) -> DataFrame:
+    """Packages ``(name, content)`` with one record for each row; with ``folder`` (a URI), files there: ``(name, path)``.
 
     Null payloads are empty. Of equal payloads of at least ``dedupe_bytes``, the one with the largest key is a
     response and the others revisit it; rows that share that key are all responses, a null key revisits, and if
     all are null, all are responses. Extra columns are not read; an empty table gives no package. A package
     closes once it holds ``package_bytes``, which bounds what a task holds (besides one record).
-    Payloads move only if repeated ones are too many to broadcast (8 MB).
+    Payloads move only if repeated ones are too many to broadcast (8 MB). Each attempt of a task writes files of its
+    own, so a repeated one overwrites nothing; the paths in the result are those of the attempt that counted.
     """
     rows = pages.select(pages[key].cast("long").alias("id"), pages[url].alias("url"), F.coalesce(pages[payload], F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body")).withColumn("digest", F.unhex(F.sha1("body")))
@@ -181,8 +184,16 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
 
         part = TaskContext.get().partitionId()
         held, size, seq = [], 0, 0
+        attempt = uuid.uuid4().hex
 
         def close() -> pa.RecordBatch:
+            if folder is not None:
+                name = f"part-{part:06d}-{seq:06d}-{attempt}.wacz"
+                disk, at = fs.FileSystem.from_uri(folder)
+                disk.create_dir(at)
+                with disk.open_output_stream(f"{at}/{name}") as f:
+                    f.write(write_package(held))
+                return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{folder}/{name}"])], ["name", "path"])
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{seq:06d}.wacz"]), pa.array([write_package(held)], pa.binary())], ["name", "content"])
 
         for batch in batches:
@@ -200,11 +211,12 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         if held:
             yield close()
 
-    return rows.select("id", "url", "digest", "refers_to", "body").mapInArrow(write, "name string, content binary")
+    return rows.select("id", "url", "digest", "refers_to", "body").mapInArrow(write, "name string, content binary" if folder is None else "name string, path string")
 
 
 def read_archives(packages: DataFrame, content: str = "content", payloads: bool = True) -> DataFrame:
-    """Records of packages (rows with the whole file in ``content``, as the binaryFile source gives them).
+    """Records of packages: rows with the whole file in ``content``, as the binaryFile source gives them, or, where that
+    column is a string, with the URI of the file, which is opened where the row is read and read by ranges.
 
     Gives ``page_id``, ``url``, ``record_type``, ``refers_to``, ``payload_bytes`` and ``payload_digest`` of the
     full payload (a revisit has them from its headers) and, if asked for, ``payload``. A response whose payload
@@ -218,13 +230,21 @@ def read_archives(packages: DataFrame, content: str = "content", payloads: bool
         number = uri.strip("<>").rpartition(":")[2] if uri else ""
         return int(number) if number else None
 
+    def records(value: pa.Scalar) -> Iterator[dict]:
+        if pa.types.is_binary(value.type) or pa.types.is_large_binary(value.type):
+            yield from read_package(Ranges(memoryview(value.as_buffer())))
+            return
+        disk, path = fs.FileSystem.from_uri(value.as_py())
+        with disk.open_input_file(path) as f:
+            yield from read_package(Ranges(f))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
                 if not value.is_valid:
                     continue
                 out: list[list] = [[] for _ in fields]
-                for r in read_package(Ranges(memoryview(value.as_buffer()))):
+                for r in records(value):
                     h, kind = r["headers"], r["headers"]["WARC-Type"]
                     digest, size = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), int(r["http"]["Content-Length"])
                     if kind == "response" and (size != len(r["payload"]) or digest != hashlib.sha1(r["payload"]).hexdigest()):
@@ -240,8 +260,9 @@ def read_archives(packages: DataFrame, content: str = "content", payloads: bool
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = materialize(write_archives(table(spark, sf_dir, "pages")), "uncompressed")
-    return read_archives(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    packages = materialize(write_archives(table(spark, sf_dir, "pages"), folder=f"{shared_dir(spark)}/{uuid.uuid4().hex}"))
+    tasks = min(max(packages.count(), 1), 10_000)  # a row is a path, so rows do not tell how much there is to read
+    return read_archives(packages.repartition(tasks), "path", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
