@@ -32,7 +32,7 @@ _OPENS = (
     r"everyone is\b|do what the\b|licen[cs]ed\b|released\b|distributed\b|provided\b|under\b|subject to\b|except\b|unless\b|without\b|only\b|you\b|any\b|if\b|no (?:part|warranty)\b|for (?:non|personal|internal)|use of\b)"
 )
 #: A sentence ends, other than after an initial or a company's form, and more than a mark, an address or a reservation follows.
-_SENTENCE = r"(?:(?<!\b(?:inc|ltd|co|corp|llc|gmbh|jr|sr|dr|st|al|[a-z]))[.]|[;!?])[ \t]+(?!all rights reserved|https?:|<|[^\s@]+@|copyright\b|\(c\)|©|[0-9]{4}|[\r\n])(?=[^\n]*[a-z0-9])"
+_SENTENCE = r"(?:(?<!\b(?:inc|ltd|co|corp|llc|gmbh|jr|sr|dr|st|al|[a-z]))[.]|[;!?])[ \t]+(?!all rights reserved|(?:modified works?|modifications?|portions|parts|additions) (?:are )?(?:copyright\b|\(c\)|©)|https?:|<|[^\s@]+@|copyright\b|\(c\)|©|[0-9]{4}|[\r\n])(?=[^\n]*[a-z0-9])"
 #: A text that says something is no notice.
 _SAYS = r"\b(?:is|are|was|were|agrees?|hereby|prohibited|forbidden|(?:may|must|shall|will|can|cannot|do|does) (?:not|only|be|use|copy|have|include|retain|pay|apply|appear)\b)\b"
 _BODY = rf"(?:(?!{_OPENS}|{_SENTENCE}|{_SAYS})[^\n])*+(?=\n|\z|{_OPENS}|{_SENTENCE})"

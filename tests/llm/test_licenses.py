@@ -42,7 +42,7 @@ def test_notice_on_the_line_of_the_terms(names, notice):
 
 def test_only_notices_are_left_out(names, spark):
     mit = licenses.KNOWN_TEXTS[1][1]
-    whole = ["Copyright The Foo Authors", "Copyright by Foo Bar", "// Copyright: 2020 Foo", "© Foo", "(c) Acme Corp", "All rights reserved.", " * Copyright (c) 2020 Will May, Inc. All rights reserved.", "Copyright © 2020 Öner Ü"]
+    whole = ["Copyright The Foo Authors", "Copyright by Foo Bar", "// Copyright: 2020 Foo", "© Foo", "(c) Acme Corp", "Copyright 2010 Foo (a@b.net); Modified work Copyright 2014 Bar (c@d.com)", "All rights reserved.", " * Copyright (c) 2020 Will May, Inc. All rights reserved.", "Copyright © 2020 Öner Ü"]
     assert names([f"{n}\n\n{mit}" for n in whole]) == ["MIT"] * len(whole)
     terms = ["Copyright (c) 2020 X. You may not sell this.", "Copyright holders must be paid.", "(c) Licensee shall pay a fee", "All rights reserved. No commercial use.", "Copyright 2020 Foo Inc. For personal use only", "Copyright (c) 2020 X, released under the GPL"]
     assert names([f"{n}\n\n{mit}" for n in terms]) == [None] * len(terms)
