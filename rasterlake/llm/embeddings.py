@@ -5,28 +5,34 @@ Unit vectors are rotated and split into low-dimensional blocks. If two vectors a
 range-joined under that budget, and the union of the candidates is verified on the unrotated vectors in
 double precision.
 
-Vectors are packed into tiles near a common pivot, and pairs of tiles are the tasks; a pair of tiles that lies
-farther apart than the budget in every block is never formed.
+The range join of a block goes down an index of balls. Its upper level are cells: a vector belongs to the pivot
+nearest to it, and a cell's ball in a block is centred at the pivot's block. Cells whose balls come within the
+budget in no block never meet. Cells are cut into tiles of equal size, so a hot cell takes many tasks. The
+lower level are leaves of a tile, cut between far ends; only pairs of leaves whose balls come within a block's
+budget are compared in that block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.llm.common import connected_components, input_partitions, materialize, table
 
 SLACK = 1e-5  # of single-precision block distances; verification is exact
+LEAF = 128
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; scaling by the largest component first avoids overflow."""
+    """Rows scaled to length one, in double precision; scaling by the largest component first avoids overflow."""
+    x = x.astype(np.float64, copy=False)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -42,182 +48,295 @@ def block_cuts(d: int, width: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def join_tiles(a: np.ndarray, b: np.ndarray, cosine: float, width: int, same: bool, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with at least the cosine between the unit vectors of two tiles; each pair once if the tile is the ``same``."""
+def leaves(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which those of a leaf stand together, and where each leaf begins.
+
+    What exceeds a leaf is cut between two of its far ends, half way, or in the middle where that leaves too little on a side.
+    """
+    order, begins, todo = np.arange(len(x)), [], [(0, len(x))]
+    while todo:
+        begin, end = todo.pop()
+        if end - begin <= leaf:
+            begins.append(begin)
+            continue
+        mine = order[begin:end]
+        one = x[mine[((x[mine] - x[mine[0]]) ** 2).sum(axis=1).argmax()]]
+        other = x[mine[((x[mine] - one) ** 2).sum(axis=1).argmax()]]
+        along = x[mine] @ (other - one)
+        by = np.argsort(along, kind="stable")
+        cut = int(np.searchsorted(along[by], ((one + other) / 2) @ (other - one)))
+        if min(cut, len(mine) - cut) < leaf // 8:
+            cut = len(mine) // 2
+        order[begin:end] = mine[by]
+        todo += [(begin + cut, end), (begin, begin + cut)]
+    return order, np.array(begins)
+
+
+def balls(x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and radius of each leaf."""
+    sizes = np.diff(np.append(begins, len(x)))
+    centre = np.add.reduceat(x, begins, axis=0) / sizes[:, None]
+    off = np.sqrt(((x - np.repeat(centre, sizes, axis=0)) ** 2).sum(axis=1))
+    return centre, np.maximum.reduceat(off, begins)
+
+
+def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between the rows of ``a`` and those of ``b``."""
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0))
+
+
+def join_tiles(a: np.ndarray, b: np.ndarray, cosine: float, width: int, same: bool, begins: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links between two tiles of unit vectors whose leaves begin at ``begins``: rows, columns and a matrix of links; each pair once if the tile is the ``same``."""
     d = a.shape[1]
-    turn = rotation(d)
-    cuts = block_cuts(d, width)
-    budget = (2 - 2 * cosine) / len(cuts) + SLACK
-    ra, rb = (a @ turn).astype(np.float32), (b @ turn).astype(np.float32)
-    parts = [(np.ascontiguousarray(ra[:, i:j]), np.ascontiguousarray(rb[:, i:j].T)) for i, j in cuts]
-    half = [((x * x).sum(axis=1) / 2, (y * y).sum(axis=0) / 2 - np.float32(budget / 2)) for x, y in parts]
-    for at in range(0, len(a), rows):
-        left = at if same else 0
+    turn, cuts = rotation(d), block_cuts(d, width)
+    budget = (2 - 2 * cosine) / len(cuts)
+    ra, rb = a @ turn, b @ turn
+    left, right, opened = [], [], []
+    for i, j in cuts:
+        x, y = ra[:, i:j], rb[:, i:j]
+        (ca, da), (cb, db) = balls(x, begins[0]), balls(y, begins[1])
+        opened.append(gaps(ca, cb) <= da[:, None] + db[None] + sqrt(budget + SLACK) + 1e-6)
+        # One product gives minus half the squared distance: each side carries the other's half square as a factor of one.
+        hx, hy = (x * x).sum(axis=1, keepdims=True) / 2, (y * y).sum(axis=1, keepdims=True) / 2
+        left.append(np.ascontiguousarray(np.hstack([x, np.ones_like(hx), -hx]), dtype=np.float32))
+        right.append(np.ascontiguousarray(np.hstack([y, -hy, np.ones_like(hy)]).T, dtype=np.float32))
+    sizes = np.diff(np.append(begins[1], len(b)))
+    for k, (at, end) in enumerate(zip(begins[0].tolist(), [*begins[0][1:].tolist(), len(a)], strict=True)):
+        rows = np.arange(at, end)
+        first = at if same else 0
         near = None
-        for (x, y), (hx, hy) in zip(parts, half, strict=True):
-            g = x[at : at + rows] @ y[:, left:]
-            g -= hy[left:]
-            ok = g >= hx[at : at + rows, None]
-            near = ok if near is None else np.logical_or(near, ok, out=near)
-        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
-        i, j = i + at, j + left
+        for x, y, ok in zip(left, right, opened, strict=True):
+            open_ = ok[k] & (np.arange(len(sizes)) >= k) if same else ok[k]
+            if not open_.any():
+                continue
+            if near is None:
+                near = np.zeros((len(rows), len(b) - first), dtype=bool)
+            if open_[k if same else 0 :].all():
+                near |= x[rows] @ y[:, first:] >= -(budget + SLACK) / 2
+            else:
+                columns = np.flatnonzero(np.repeat(open_, sizes))
+                near[:, columns - first] |= x[rows] @ y[:, columns] >= -(budget + SLACK) / 2
+        if near is None:
+            continue
         if same:
-            i, j = i[j > i], j[j > i]
-        for k in range(0, len(i), 50_000):
-            p, q = i[k : k + 50_000], j[k : k + 50_000]
-            ok = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
-            if ok.any():
-                yield p[ok], q[ok]
-
-
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, width: int = 16, tile: int = 4096, max_pivots: int = 1024) -> DataFrame:
+            near &= np.arange(first, len(b))[None] > rows[:, None]
+        columns = np.flatnonzero(near.any(axis=0))
+        if not len(columns):
+            continue
+        some = np.flatnonzero(near.any(axis=1))
+        near, columns, rows = near[np.ix_(some, columns)], columns + first, rows[some]
+        if np.count_nonzero(near) * 16 >= near.size:
+            near &= a[rows] @ b[columns].T >= cosine
+        else:
+            i, j = np.nonzero(near)
+            near[i, j] = np.einsum("ij,ij->i", a[rows[i]], b[columns[j]]) >= cosine
+        if near.any():
+            yield rows, columns, near
+
+
+def merge(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``label`` (each at most its own index, and its own label) after joining each ``p`` with its ``q``."""
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return label
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not ((after := label[label]) == label).all():
+            label = after
+
+
+def spread(label: np.ndarray, rows: np.ndarray, columns: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """``label`` after joining what a matrix of links joins; each round takes the least label that each row and column sees."""
+    while True:
+        a, b = label[rows], label[columns]
+        if not (links & (a[:, None] != b[None])).any():
+            return label
+        seen = np.where(links, b[None], len(label)), np.where(links, a[:, None], len(label))
+        i, j = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+        label = merge(label, np.concatenate([rows[i], columns[j]]), np.concatenate([columns[seen[0][i].argmin(axis=1)], rows[seen[1][:, j].argmin(axis=0)]]))
+
+
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, width: int = 16, tile: int = 16_384, max_pivots: int = 1024) -> DataFrame:
     """Links and components of vectors whose cosine in double precision is at least ``cosine``.
 
     Returns ``key``, ``n_links`` (other rows linked directly), ``component_id`` (smallest key reachable by links,
     itself included) and ``kept`` (the key is that smallest one). Vectors that are null, empty or zero, or hold a
     null or non-finite component, link with nothing, and vectors of different lengths do not link. Every row gives a
-    row; equal vectors, repeated rows among them, are joined once and weighted. Other columns are not read. A
-    null key is never the smallest if there is another, and is not kept. An empty table gives no rows.
+    row; equal vectors, repeated rows among them, are joined once and weighted. Other columns are not read, whatever
+    their names. A null key is never the smallest if there is another, and is not kept. An empty table gives no rows.
 
-    All pairs within the budget of some block are verified: no link is lost. The number of pairs of tiles grows
-    with the square of the number of tiles that overlap in some block.
+    All pairs within the budget of some block are verified: no link is lost. Vectors are told apart by 128 bits of
+    a digest. ``max_pivots`` bounds the cells of a length, and with them what is sent to every task (at most its square
+    in pairs of cells); ``tile`` bounds the vectors of a tile. A pair of tiles is a task; there are enough tiles for
+    every partition to get a pair. Where cells do not separate, work grows with the square of the vectors.
     """
     spark = df.sparkSession
+    single = isinstance(df.schema[vector].dataType.elementType, T.FloatType)
+    item, kind = (4, np.float32) if single else (8, np.float64)
     x = F.col("v")
     good = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(x, lambda e: e != 0)
-    cast = df.select(df[key].alias("key"), df[vector].cast("array<double>").alias("v"))
+    cast = df.select(df[key].alias("key"), (df[vector] if single else df[vector].cast("array<double>")).alias("v"))
     cast = cast.select("key", F.when(good, x).alias("v"))
     key_type = dict(cast.dtypes)["key"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = batch.column(1).to_pylist()
-            raw = [None if v is None else (np.array(v, dtype=np.float64) + 0.0).tobytes() for v in got]
-            sid = [None if v is None else int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) for v in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(raw, pa.binary())], ["key", "sid", "v"])
-
-    rows = materialize(cast.mapInArrow(read, f"key {key_type}, sid long, v binary"))
-    sets = materialize(rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"), F.count("*").alias("w"), F.min("v").alias("v")).withColumn("d", F.octet_length("v") / 8))
-    sizes = sets.groupBy("d").count().collect()  # one row for each length of vector
-    pivots: dict[int, np.ndarray] = {}
-    for r in sizes:
-        some = sets.where(F.col("d") == r.d).orderBy(F.xxhash64("sid")).limit(min(max_pivots, ceil(r["count"] / (2 * tile)))).collect()
-        pivots[int(r.d)] = unit(np.array([np.frombuffer(bytes(s.v)) for s in some]))
+            column = batch.column(1)
+            values, at, is_set = column.values.to_numpy(zero_copy_only=False) + kind(0), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            raw = [values[at[i] : at[i + 1]].tobytes() if ok else None for i, ok in enumerate(is_set)]
+            digest = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["key", "digest", "v"])
+
+    rows = materialize(cast.mapInArrow(read, f"key {key_type}, digest binary, v binary"))
+    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("w"), F.min("v").alias("v"))
+    sets = materialize(sets.withColumn("d", (F.octet_length("v") / item).cast("int")).withColumn("sid", F.monotonically_increasing_id()))
+    many = {r.d: r["count"] for r in sets.groupBy("d").count().collect()}  # one row for each length of vector
+    parts = input_partitions(df)
+    size = {d: max(1, min(tile, ceil(n / ceil(sqrt(2 * parts))))) for d, n in many.items()}
+    sampled = spark.createDataFrame([(d, n, min(max_pivots, ceil(n / (2 * size[d])))) for d, n in many.items() if n > size[d]], "d int, n long, want int")
+    chosen = sets.join(F.broadcast(sampled), "d").where(F.pmod(F.xxhash64("sid"), F.col("n")) < F.col("want")).select("d", "v").collect()
+    pivots = {d: unit(np.array([np.frombuffer(r.v, kind) for r in chosen if r.d == d]).reshape(-1, d)) for d in {r.d for r in chosen}}
     sent = spark.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's cell; and for each cell, in a row without ``sid``, how far its vectors are from the pivot in each block and in all."""
         for batch in batches:
-            cell = [int(np.argmax(sent.value[len(v) // 8] @ unit(np.frombuffer(v)[None])[0])) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) // 8 for v in batch.column(1).to_pylist()], pa.int32()), pa.array(cell, pa.int32())], ["sid", "d", "cell"])
-
-    placed = materialize(sets.select("sid", "v").mapInArrow(place, "sid long, d int, cell int"))
-    cells = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("pieces")).orderBy("d", "cell").collect()
-    base, at = {}, 0
-    for c in cells:
-        base[(c.d, c.cell)] = at
-        at += c.pieces
-    where = spark.createDataFrame([(c.d, c.cell, c.pieces, base[(c.d, c.cell)]) for c in cells], "d int, cell int, pieces int, base int")
-    tiled = placed.join(F.broadcast(where), ["d", "cell"]).select("sid", (F.col("base") + F.pmod(F.xxhash64("sid"), F.col("pieces"))).cast("int").alias("tile"))
-    parts = max(input_partitions(df), ceil(at / 4))
-    packed = tiled.join(sets.select("sid", "w", "v"), "sid").repartition(parts, "tile").sortWithinPartitions("tile")
+            sid, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            d = np.array([len(v) // item for v in raw], dtype=np.int32)
+            for k in np.unique(d).tolist():
+                mine = np.flatnonzero(d == k)
+                u = unit(np.frombuffer(b"".join(raw[i] for i in mine), kind).reshape(-1, k))
+                centre = sent.value.get(k)
+                cell = np.zeros(len(mine), dtype=np.int32) if centre is None else np.argmax(u @ centre.T, axis=1).astype(np.int32)
+                here = np.unique(cell)
+                reach: list = []
+                if centre is not None:
+                    off = (u - centre[cell]) @ rotation(k)
+                    far = np.stack([np.sqrt((off[:, i:j] ** 2).sum(axis=1)) for i, j in [*block_cuts(k, width), (0, k)]], axis=1)
+                    reach = [far[cell == c].max(axis=0).tolist() for c in here]
+                n = len(here)
+                columns = [pa.array([*sid[mine], *[None] * n], pa.int64()), pa.array(np.full(len(mine) + n, k, dtype=np.int32)), pa.array(np.concatenate([cell, here]).astype(np.int32)), pa.array([*[None] * len(mine), *(reach or [[]] * n)], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["sid", "d", "cell", "reach"])
+
+    placed = materialize(sets.select("sid", "v").mapInArrow(place, "sid long, d int, cell int, reach array<double>"))
+    counted = placed.where("sid is not null").groupBy("d", "cell").count().orderBy("d", "cell").collect()
+    radii = placed.where("sid is null").select("d", "cell", F.posexplode("reach").alias("k", "r")).groupBy("d", "cell", "k").agg(F.max("r").alias("r")).orderBy("d", "cell", "k").collect()
+    cells: dict[int, list[tuple[int, int, int]]] = {}  # by length: cell, its first tile, its tiles; bounded by max_pivots
+    total = 0
+    for r in counted:
+        cells.setdefault(r.d, []).append((r.cell, total, ceil(r["count"] / size[r.d])))
+        total += cells[r.d][-1][2]
+    mates = spark.sparkContext.broadcast({d: _meeting(own, pivots.get(d), np.array([r.r for r in radii if r.d == d]).reshape(len(own), -1), d, cosine, width) for d, own in cells.items()})
+    tasks_ = sum(_tasks(own, mates.value[d]) for d, own in cells.items())
+    where = spark.createDataFrame([(d, c, n, base) for d, own in cells.items() for c, base, n in own], "d int, cell int, pieces int, base int")
+    tiled = placed.where("sid is not null").join(F.broadcast(where), ["d", "cell"]).select("sid", "d", "cell", (F.col("base") + F.pmod(F.xxhash64("sid"), F.col("pieces"))).cast("int").alias("tile"))
+    packed = tiled.join(sets.select("sid", "w", "v"), "sid").repartitionById(max(parts, min(total, 100_000)), F.pmod("tile", F.lit(max(parts, min(total, 100_000))))).sortWithinPartitions("tile")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sids, ws, vs = None, [], [], []
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            m = unit(np.frombuffer(b"".join(vs)).reshape(len(vs), -1))
-            r = m @ rotation(m.shape[1])
-            ends = [(r[:, i:j].mean(axis=0), r[:, i:j]) for i, j in block_cuts(m.shape[1], width)]
-            balls = b"".join(np.append(c, np.sqrt(((x - c) ** 2).sum(axis=1).max())).tobytes() for c, x in ends)
-            cols = [[now], [m.shape[1]], [np.array(sids, dtype=np.int64).tobytes()], [np.array(ws, dtype=np.int64).tobytes()], [m.tobytes()], [balls]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["tile", "d", "sids", "ws", "m", "balls"])
+            d, cell = held[0][1], held[0][2]
+            m = np.frombuffer(b"".join(h[4] for h in held), kind).reshape(-1, d)
+            order, begins = leaves(unit(m) @ rotation(d))
+            sid, w = (np.array([h[k] for h in held], dtype=np.int64)[order] for k in (0, 3))
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((now, d, cell, sid.tobytes(), w.tobytes(), m[order].tobytes(), begins.astype(np.int64).tobytes()), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["tile", "d", "cell", "sids", "ws", "m", "leaves"])
 
         for batch in batches:
-            for sid, t, w, v in zip(*(batch.column(c).to_pylist() for c in ("sid", "tile", "w", "v")), strict=True):
-                if t != now and sids:
+            for t, *rest in zip(*(batch.column(c).to_pylist() for c in ("tile", "sid", "d", "cell", "w", "v")), strict=True):
+                if t != now and held:
                     yield done()
-                    sids, ws, vs = [], [], []
+                    held.clear()
                 now = t
-                sids.append(sid)
-                ws.append(w)
-                vs.append(v)
-        if sids:
+                held.append(rest)
+        if held:
             yield done()
 
-    tiles = materialize(packed.select("sid", "tile", "w", "v").mapInArrow(pack, "tile int, d int, sids binary, ws binary, m binary, balls binary"), "uncompressed")
-    # Balls of tiles are small: they go to every task if they take at most 8 MB; beyond that, all pairs of tiles of a length are formed.
-    known = {r.tile: (r.d, bytes(r.balls)) for r in tiles.select("tile", "d", "balls").collect()} if at * max([16, *(r.d for r in sizes)]) * 16 <= 8_000_000 else None
-    balls = spark.sparkContext.broadcast(known)
+    tiles = materialize(packed.select("sid", "tile", "d", "cell", "w", "v").mapInArrow(pack, "tile int, d int, cell int, sids binary, ws binary, m binary, leaves binary"), "uncompressed")
+    spots = max(1, min(max(parts, tasks_), 100_000))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A copy of the tile for each tile that it meets."""
         for batch in batches:
             for k in range(batch.num_rows):
-                t, d = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                mates = range(at) if balls.value is None else [u for u, (e, theirs) in balls.value.items() if e == d and close(batch.column(5)[k].as_py(), theirs, d, cosine, width)]
-                for u in mates:
-                    yield pa.RecordBatch.from_arrays([pa.array([min(t, u)], pa.int32()), pa.array([max(t, u)], pa.int32()), *(batch.column(c).slice(k, 1) for c in (0, 1, 2, 3, 4))], ["i", "j", "tile", "d", "sids", "ws", "m"])
+                t, d, cell = (batch.column(c)[k].as_py() for c in range(3))
+                for begin, end in mates.value[d][cell]:
+                    for u in range(begin, end):
+                        i, j = min(t, u), max(t, u)
+                        yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in ((j * (j + 1) // 2 + i) % spots, i, j)), *(batch.column(c).slice(k, 1) for c in (0, 1, 3, 4, 5, 6))], ["p", "i", "j", "tile", "d", "sids", "ws", "m", "leaves"])
 
-    tasks = tiles.mapInArrow(partners, "i int, j int, tile int, d int, sids binary, ws binary, m binary")
-    tasks = tasks.repartition(max(parts, at), "i", "j").sortWithinPartitions("i", "j", "tile")
+    tasks = tiles.mapInArrow(partners, "p int, i int, j int, tile int, d int, sids binary, ws binary, m binary, leaves binary")
+    tasks = tasks.repartitionById(spots, "p").sortWithinPartitions("i", "j", "tile").drop("p")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j, t, d, sids, ws, m = (batch.column(c)[k].as_py() for c in range(7))
-                now = (np.frombuffer(sids, np.int64), np.frombuffer(ws, np.int64), np.frombuffer(m).reshape(-1, d))
+                i, j, t, d, sids, ws, m, at = (batch.column(c)[k].as_py() for c in range(8))
+                now = (np.frombuffer(sids, np.int64), np.frombuffer(ws, np.int64), np.frombuffer(m, kind).reshape(-1, d), np.frombuffer(at, np.int64))
                 if i == j:
-                    yield from links(now, now, True)
+                    yield links(now, now, True)
                 elif t == i:
-                    held = (j, now)
-                elif held and held[0] == j and held[1][2].shape[1] == d:
-                    yield from links(held[1], now, False)
-
-    def links(a: tuple, b: tuple, same: bool) -> Iterator[pa.RecordBatch]:
-        na, nb = len(a[0]), 0 if same else len(b[0])
-        degree, label = np.zeros(na + nb, dtype=np.int64), np.arange(na + nb)
-        for p, q in join_tiles(a[2], b[2], cosine, width, same):
-            np.add.at(degree, p, b[1][q])
-            np.add.at(degree, q + (0 if same else na), a[1][p])
-            q = q if same else q + na
-            while True:  # the least label spreads along the links
-                low = np.minimum(label[p], label[q])
-                old = label.copy()
-                np.minimum.at(label, label[p], low)
-                np.minimum.at(label, label[q], low)
-                label = label[label]
-                if (old == label).all() and (label[p] == label[q]).all():
-                    break
+                    held = now
+                else:
+                    yield links(held, now, False)
+
+    def links(a: tuple, b: tuple, same: bool) -> pa.RecordBatch:
+        na = len(a[0])
+        shift = 0 if same else na
+        degree, label = np.zeros(na + (0 if same else len(b[0]))), np.arange(na + (0 if same else len(b[0])))
+        ua = unit(a[2])
+        for p, q, ok in join_tiles(ua, ua if same else unit(b[2]), cosine, width, same, (a[3], b[3])):
+            degree[p] += ok @ b[1][q].astype(np.float64)
+            degree[q + shift] += a[1][p].astype(np.float64) @ ok
+            label = spread(label, p, q + shift, ok)
         sids = a[0] if same else np.concatenate([a[0], b[0]])
         has = np.flatnonzero(degree)
-        yield pa.RecordBatch.from_arrays([pa.array(sids[has]), pa.array(sids[label[has]]), pa.array(degree[has])], ["a", "b", "degree"])
+        return pa.RecordBatch.from_arrays([pa.array(sids[has]), pa.array(sids[label[has]]), pa.array(degree[has].astype(np.int64))], ["a", "b", "degree"])
 
     found = materialize(tasks.mapInArrow(join, "a long, b long, degree long"))
     degree = found.groupBy(F.col("a").alias("sid")).agg(F.sum("degree").alias("degree"))
     linked = connected_components(found.select("a", "b"))
-    named = sets.select("sid", "least", "w").join(degree, "sid", "left").join(linked.withColumnRenamed("node", "sid"), "sid", "left")
-    named = materialize(named.select("sid", "least", (F.col("w") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "sid").alias("component")))
+    named = sets.select("digest", "sid", "least", "w").join(degree, "sid", "left").join(linked.withColumnRenamed("node", "sid"), "sid", "left")
+    named = materialize(named.select("digest", "least", (F.col("w") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "sid").alias("component")))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = materialize(named.join(lowest, "component").select("sid", "n_links", "component_id"))
-    out = rows.select("key", "sid").join(final, "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    final = materialize(named.join(lowest, "component").select("digest", "n_links", "component_id"))
+    out = rows.select("key", "digest").join(final, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
-def close(mine: bytes, theirs: bytes, d: int, cosine: float, width: int) -> bool:
-    """Whether two tiles' balls come within the budget in at least one block."""
-    a, b, at = np.frombuffer(mine), np.frombuffer(theirs), 0
-    cuts = block_cuts(d, width)
-    reach = np.sqrt((2 - 2 * cosine) / len(cuts) + SLACK)
-    for i, j in cuts:
-        size = j - i
-        if np.sqrt(((a[at : at + size] - b[at : at + size]) ** 2).sum()) <= a[at + size] + b[at + size] + reach + 1e-9:
-            return True
-        at += size + 1
-    return False
+def _meeting(own: list[tuple[int, int, int]], centres: np.ndarray | None, reach: np.ndarray, d: int, cosine: float, width: int) -> dict[int, list[tuple[int, int]]]:
+    """For each cell, runs of tiles of the cells that it meets, itself included: balls within the budget in some block and in all of them."""
+    n = len(own)
+    meet = np.ones((n, n), dtype=bool)
+    if centres is not None and n > 1:
+        at = centres[[c for c, _, _ in own]] @ rotation(d)
+        cuts = block_cuts(d, width)
+        near = [gaps(at[:, i:j], at[:, i:j]) <= reach[:, k, None] + reach[None, :, k] + sqrt((2 - 2 * cosine) * (1 / len(cuts) if k < len(cuts) else 1) + SLACK) + 1e-6 for k, (i, j) in enumerate([*cuts, (0, d)])]
+        meet = np.logical_or.reduce(near[:-1]) & near[-1] | np.eye(n, dtype=bool)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for k, (cell, _, _) in enumerate(own):
+        runs: list[tuple[int, int]] = []
+        for m in np.flatnonzero(meet[k]).tolist():
+            _, base, pieces = own[m]
+            if runs and runs[-1][1] == base:
+                runs[-1] = (runs[-1][0], base + pieces)
+            else:
+                runs.append((base, base + pieces))
+        out[cell] = runs
+    return out
+
+
+def _tasks(own: list[tuple[int, int, int]], mates: dict[int, list[tuple[int, int]]]) -> int:
+    """How many pairs of tiles meet."""
+    return sum(n * sum(end - begin for begin, end in mates[cell]) for cell, _, n in own) // 2 + sum(n for _, _, n in own)
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of ``embeddings``; see ``near_vectors`` for nulls, repeated rows and empty tables."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
