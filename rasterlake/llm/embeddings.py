@@ -332,7 +332,7 @@ def _meeting(own: list[tuple[int, int, int]], centres: np.ndarray | None, reach:
 
 def _tasks(own: list[tuple[int, int, int]], mates: dict[int, list[tuple[int, int]]]) -> int:
     """How many pairs of tiles meet."""
-    return sum(n * sum(end - begin for begin, end in mates[cell]) for cell, _, n in own) // 2 + sum(n for _, _, n in own)
+    return (sum(n * sum(end - begin for begin, end in mates[cell]) for cell, _, n in own) + sum(n for _, _, n in own)) // 2
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
