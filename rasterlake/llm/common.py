@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one is made only where it is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, one is made, but only if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="rasterlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -47,12 +50,13 @@ def input_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     Alternating large-star and small-star steps, each a join and an aggregation on the node, so the state
     is one row per edge and no group is gathered in one task. Nulls and self-edges are ignored; an empty
-    input gives no rows. Each round is written to the shared folder, which also ends its lineage.
+    input gives no rows. Each round is written to the shared folder, which also ends its lineage; rounds go on until
+    one changes nothing (their number grows with the logarithm of the nodes).
     """
 
     def state(df: DataFrame) -> tuple:
@@ -65,7 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct()
     )
     before = state(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -78,8 +82,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

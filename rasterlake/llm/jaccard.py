@@ -11,8 +11,11 @@ What surrounds the tree only decides which sets meet in one tree, and loses no p
    of six bytes a shingle.
 2. Ordered from rare to frequent, two linked sets share one of the first ``n - ceil(threshold * n) + 1``
    shingles. Sets that share such a shingle are joined (as a star, not as pairs) into candidate components.
-3. Each candidate component gets its tree. Large ones are cut into blocks, and a tree is built for each pair
-   of blocks.
+3. Candidate components are cut into pieces of bounded size, and each piece gets its tree. A few sets of a
+   component, its pivots, go into all of its pieces, so a large group of near copies comes together in linear work.
+4. What a cut parts: of the rare shingles of a component with several pieces, only those whose sets step 3 left in
+   different components can hold another link. The sets of such a shingle meet in trees again, those of its
+   largest component spread over pieces, the others in each of them; pairs already joined are not compared.
 """
 
 from __future__ import annotations
@@ -63,8 +66,9 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def _set_id(h: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_id(h: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
 class CountTree:
@@ -131,13 +135,19 @@ class CountTree:
         return overlap * (self.den + self.num) >= (n + m) * self.num
 
 
-def link_group(sets: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index of the first member of each set's component under verified links; pairs inside a component are not verified again."""
+def link_group(sets: list[np.ndarray], n: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Index of the first member of each set's component under verified links; pairs inside a component are not verified again.
+
+    Sets with the same value of ``known`` are joined beforehand.
+    """
     root = np.arange(len(sets))
     if len(sets) < 2:
         return root
     tree = CountTree(sets, n, num, den)
     label = np.arange(len(sets))  # by position
+    if known is not None:
+        _, at, of = np.unique(known[tree.order], return_index=True, return_inverse=True)
+        label = at[of]
     held = [sets[i] for i in tree.order]
     spans, joined = tree.spans(label), False
     for q in range(len(held)):
@@ -166,55 +176,73 @@ def link_group(sets: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.
     return root
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, threshold: tuple[int, int] = (80, 100), frequent: int = 2000, block: int = 4_000_000, carry: list[str] | None = None, group: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, threshold: tuple[int, int] = (80, 100), frequent: int = 2000, most_frequent: int = 250_000, piece: int = 256, block: int = 4_000_000, pivots: int = 4, carry: list[str] | None = None, group: str | None = None) -> DataFrame:
     """Components of documents linked by Jaccard similarity of at least ``threshold`` on ``k``-word shingles.
 
     Returns ``key``, ``n_shingles`` (long), ``component_id`` (smallest key reachable by links, itself included)
     and the columns of ``carry``; if ``group`` is given, also a column of that name which tells components apart even
     where keys are repeated (null without shingles). Null, empty and wordless texts have no shingles and link with nothing; a text
     with fewer than ``k`` words is one shingle. Every input row gives a row, repeated keys and texts too; a null
-    key never names a component unless nothing else does. Other columns are not read. An empty table gives none.
+    key never names a component unless nothing else does. Other columns are not read, whatever their names. An empty table gives none.
 
-    ``frequent``: shingles seen locally in more than one of so many documents are counted beforehand. At most
-    ``frequent`` times the mean set size of them exist; they are broadcast and not shuffled. That changes no result.
-    ``block``: shingles held by one tree task at most (twice, for a pair of blocks).
+    ``frequent``: a shingle in more than one of so many documents counts as frequent; ``most_frequent`` bounds how many of
+    those are broadcast, the most frequent first, and not shuffled. The others are shuffled like all. Neither changes a result.
+    ``piece`` and ``block``: sets and shingles in a piece of a candidate component at most (pivots, ``pivots`` of them to be
+    expected, and a single longer set come on top). Sets are told apart by 128 bits of a digest, shingles by 64 bits of a hash,
+    of which 48 and the partition that all 64 choose are kept.
     """
     spark = docs.sparkSession
     num, den = threshold
     source = docs.select(docs[key].alias("key"), docs[text].alias("t"), *[docs[c].alias(f"__c_{c}") for c in carry or []])
     extra = [f for f in source.schema.fields[2:]]
     types = dict(source.dtypes)
-    described = ", ".join(["key " + types["key"], *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n long", "sid long", "h long", "c long"])
+    described = ", ".join(["key " + types["key"], *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n long", "digest binary", "h long", "c long"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes and digests; and shingles that are in several sets of a window of this task, in rows of their own."""
+        names = ["key", *(f.name for f in extra), "n", "digest", "h", "c"]
+        window: dict[bytes, np.ndarray] = {}
+        held, rest_types = 0, [pa.null()] * (1 + len(extra))
+
+        def often() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(list(window.values())), return_counts=True)
+            many = c > max(1, len(window) / frequent)
+            m = int(many.sum())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in rest_types), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(h[many].view(np.int64)), pa.array(c[many])], names)
+
         for batch in batches:
             got = [shingles(v.as_py(), k) for v in batch.column(1)]
             rest = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns))]
-            sids = [_set_id(g) if len(g) else None for g in got]
+            rest_types = [a.type for a in rest]
+            digests = [_set_id(g) if len(g) else None for g in got]
             nulls = pa.nulls(len(got), pa.int64())
-            names = ["key", *(f.name for f in extra), "n", "sid", "h", "c"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(g) for g in got], pa.int64()), pa.array(sids, pa.int64()), nulls, nulls], names)
-            once = list({s: g for s, g in zip(sids, got, strict=True) if s is not None}.values())
-            if once:
-                h, c = np.unique(np.concatenate(once), return_counts=True)
-                often = c > max(8, len(once) / frequent)
-                m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, a.type) for a in rest] + [pa.nulls(m, pa.int64())] * 2 + [pa.array(h[often].view(np.int64)), pa.array(c[often])], names)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(g) for g in got], pa.int64()), pa.array(digests, pa.binary()), nulls, nulls], names)
+            for d, g in zip(digests, got, strict=True):
+                if d is not None and d not in window:
+                    window[d] = g
+                    held += len(g)
+            if held >= 1_000_000:
+                yield often()
+                window, held = {}, 0
+        if window:
+            yield often()
 
     first = materialize(source.mapInArrow(describe, described))
     rows = first.where("n is not null").drop("h", "c")
     count = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    heavy = first.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(8, count.docs / frequent)).collect()
-    heavy = sorted((r.h % (1 << 64), r.c) for r in heavy)
-    sent = spark.sparkContext.broadcast((np.array([h for h, _ in heavy], dtype=np.uint64), np.array([c for _, c in heavy], dtype=np.uint32)))
+    heavy = first.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(8, count.docs / frequent))
+    heavy = heavy.orderBy(F.desc("c"), "h").limit(most_frequent).toArrow()
+    heavy_h, heavy_c = (heavy.column(c).to_numpy() for c in ("h", "c"))
+    order = np.argsort(heavy_h.view(np.uint64))
+    sent = spark.sparkContext.broadcast((heavy_h.view(np.uint64)[order], np.minimum(heavy_c[order], (1 << 32) - 1).astype(np.uint32)))
     parts = max(input_partitions(docs), ceil(count.n / 2_500_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles by the partition that counts them; a row holds those of many sets, so its cost does not grow with the partitions."""
         heavy_h, heavy_c = sent.value
 
-        def flush(sids: list[int], sets_: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sid = np.array(sids, dtype=np.int64)
+        def flush(sids: list[bytes], sets_: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sid = np.frombuffer(b"".join(sids), dtype=_ID)
             n = np.array([len(h) for h in sets_])
             h, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), n)
             p = (h % np.uint64(parts)).astype(np.int64)
@@ -225,7 +253,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
                 hot = heavy_h[at] == h
                 packed = _pack(_key(h[hot], p[hot]), heavy_c[at[hot]])
             owed = np.concatenate(([0], np.cumsum(np.bincount(owner[hot], minlength=len(sid)))))
-            home = sid % parts
+            home = _home(sid, parts)
             rows_ = []
             for g in np.unique(home).tolist():  # each set's size and frequent shingles go straight to where it is put together
                 mine = np.flatnonzero(home == g)
@@ -245,7 +273,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), _ROUTED, strict=True)], schema=_ROUTED)
 
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
+            seen: dict[bytes, np.ndarray] = {}
             held = 0
             for v in batch.column(1):
                 h = shingles(v.as_py(), k)
@@ -266,7 +294,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             if heads.true_count:
                 yield batch.filter(heads)
             for p, s, m, b in zip(*(batch.filter(pa.compute.invert(heads)).column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
-                sids.append(np.frombuffer(s, dtype=np.int64))
+                sids.append(np.frombuffer(s, dtype=_ID))
                 lens.append(np.frombuffer(m, dtype=np.uint32))
                 blobs.append(b)
                 place.append(np.full(len(sids[-1]), p, dtype=np.int64))
@@ -280,7 +308,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         del six
         once = np.zeros(len(sid), dtype=bool)  # a set comes from each batch that has a copy of it; one counts
         order = np.lexsort((sid, p))
-        once[order[np.concatenate(([True], (np.diff(sid[order]) != 0) | (np.diff(p[order]) != 0)))]] = True
+        once[order[np.concatenate(([True], (sid[order][1:] != sid[order][:-1]) | (np.diff(p[order]) != 0)))]] = True
         owner = np.repeat(np.arange(len(sid)), size)
         keep = once[owner]
         owner = owner[keep]
@@ -293,7 +321,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         c[order] = np.repeat(counts, counts)
         del order, first
         keys, owner, c = keys[c > 1], owner[c > 1], c[c > 1]
-        home = sid[owner] % parts
+        home = _home(sid, parts)[owner]
         order = np.lexsort((owner, home))
         keys, owner, c, home = keys[order], owner[order], c[order], home[order]
         packed = _pack(keys, c)
@@ -311,7 +339,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         sids, sizes, head_of, packed, lens = [], [], [], [], []
         for batch in batches:
             for head, s, m, b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
-                sid, m = np.frombuffer(s, dtype=np.int64), np.frombuffer(m, dtype=np.uint32).astype(np.int64)
+                sid, m = np.frombuffer(s, dtype=_ID), np.frombuffer(m, dtype=np.uint32).astype(np.int64)
                 sids.append(sid)
                 packed.append(np.frombuffer(b, dtype=_PACKED))
                 head_of.append(np.full(len(sid), head))
@@ -334,57 +362,78 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             mine = items[ends[i] : ends[i + 1]]
             first_few = int(n[i]) - -(-num * int(n[i]) // den) + 1 - (int(n[i]) - len(mine))
             rare = mine["key"][np.lexsort((mine["key"], mine["c"]))[: max(first_few, 0)]]
-            out.append((int(whole[i]), int(n[i]), mine["key"].tobytes(), rare.view(np.int64).tolist()))
+            out.append((whole[i : i + 1].tobytes(), int(n[i]), mine["key"].tobytes(), rare.view(np.int64).tolist()))
             if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["digest", "n", "keys", "rare"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["sid", "n", "keys", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["digest", "n", "keys", "rare"])
 
     routed = "p int, head boolean, sids binary, lens binary, blob binary"
     dealt = source.mapInArrow(deal, routed).repartitionById(parts, "p")
     shared = dealt.mapInArrow(share, routed).repartitionById(parts, "p")
-    sets = materialize(shared.mapInArrow(profile, "sid long, n long, keys binary, rare array<long>"))
+    sets = materialize(shared.mapInArrow(profile, "digest binary, n long, keys binary, rare array<long>").withColumn("sid", F.monotonically_increasing_id()))
 
     rare = sets.select("sid", F.explode("rare").alias("r"))
     star = rare.groupBy("r").agg(F.min("sid").alias("b"), F.count("*").alias("many")).where("many > 1").select("r", "b")
-    near = connected_components(rare.join(star, "r").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct())
-    near = near.withColumnRenamed("node", "sid")
-    members = sets.select("sid", "n", "keys").join(near, "sid")
-    cuts = sets.select("sid", "n").join(near, "sid").groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("cuts")).where("cuts > 1")
-    members = members.join(cuts, "component", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("sid"), F.col("cuts")).cast("int")
-    tasks = members.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tasks = tasks.select("component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "sid", "n", "keys")
-    tasks = tasks.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    near = connected_components(rare.join(star, "r").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()).withColumnRenamed("node", "sid")
+    cut = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / piece)).cast("int")
+    sizes = sets.select("sid", "n").join(near, "sid").groupBy("component").agg(cut.alias("cuts"), F.count("*").alias("members"))
+    near = materialize(near.join(sizes, "component"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sids, blobs, full = None, [], [], []
+        """Links within each run of rows of one task; a row ends with its set, its size and keys, and what it is known to be joined to."""
+        now, run = None, []
         for batch in batches:
-            for c, i, j, sid, n, blob in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
-                if (c, i, j) != now:
-                    if len(sids) > 1:
-                        yield _stars(sids, blobs, full, num, den)
-                    now, sids, blobs, full = (c, i, j), [], [], []
-                sids.append(sid)
-                blobs.append(blob)
-                full.append(n)
-        if len(sids) > 1:
-            yield _stars(sids, blobs, full, num, den)
-
+            for *task, sid, n, blob, known in zip(*(batch.column(x).to_pylist() for x in range(batch.num_columns)), strict=True):
+                if task != now:
+                    if len(run) > 1:
+                        yield _stars(run, num, den)
+                    now, run = task, []
+                run.append((sid, n, blob, known))
+        if len(run) > 1:
+            yield _stars(run, num, den)
+
+    several = F.col("cuts") > 1
+    pivot = several & (F.pmod(F.xxhash64("sid", F.lit(7)), F.col("members")) < pivots)
+    pieces = near.withColumn("piece", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("cuts")).cast("int")))))
+    # Pieces of a component go to partitions in turn, so that none gets several of a large one by chance.
+    tasks = pieces.join(sets.select("sid", "n", "keys"), "sid").select(F.pmod(F.xxhash64("component") + F.col("piece"), F.lit(parts)).cast("int").alias("p"), "component", "piece", "sid", "n", "keys", F.col("sid").alias("known"))
+    tasks = tasks.repartitionById(parts, "p").sortWithinPartitions("component", "piece").drop("p")
     linked = connected_components(tasks.mapInArrow(verify, "a long, b long"))
-    named = rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
-    named = named.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = materialize(named)
-    multi = named.join(linked.select(F.col("node").alias("sid")), "sid", "left_semi")
-    lowest = multi.groupBy("component").agg(F.min("least").alias("lowest"))
-    final = materialize(named.join(lowest, "component", "left").select("sid", "component", F.coalesce("lowest", "least").alias("component_id")))
-    out = rows.join(final, "sid", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(f"__c_{c}").alias(c) for c in carry or []], *([F.col("component").alias(group)] if group else []))
-
 
+    if not near.where(several).isEmpty():
+        parted = near.where(several).select("sid").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("known"))
+        held = materialize(rare.join(parted, "sid"))
+        by_label = held.groupBy("r", "known").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+        by_r = by_label.groupBy("r").agg(F.count("*").alias("labels"), F.max("m").alias("most"), F.max_by("known", F.struct("m", "known")).alias("major"), F.sum("m").alias("m"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("labels > 1")
+        # Shingles of the same sets (those of a passage, say) decide the same pairs: one of them is enough.
+        by_r = by_r.groupBy("m", "x", "y").agg(F.min_by(F.struct("r", "most", "major"), "r").alias("z")).select("z.*", "m")
+        open_ = held.join(by_r, "r").withColumn("i", F.ceil(F.col("most") / piece).cast("int")).withColumn("j", F.ceil((F.col("m") - F.col("most")) / piece).cast("int"))
+        at = F.expr("cast(pmod(xxhash64(sid), if(known = major, i, j)) as int)")
+        open_ = open_.withColumn("at", at).withColumn("task", F.explode(F.expr("""
+            if(known = major, transform(sequence(0, j - 1), x -> struct(0 as kind, at as i, x as j)),
+               concat(transform(sequence(0, i - 1), x -> struct(0 as kind, x as i, at as j)),
+                      transform(filter(sequence(0, j - 1), x -> x <> at), x -> struct(1 as kind, least(x, at) as i, greatest(x, at) as j))))""")))
+        again = open_.select("r", "task.*", "sid", "known").join(sets.select("sid", "n", "keys"), "sid")
+        again = again.select(F.pmod(F.xxhash64("r") + F.col("i") * F.lit(31) + F.col("j"), F.lit(parts)).cast("int").alias("p"), "r", "kind", "i", "j", "sid", "n", "keys", "known")
+        again = again.repartitionById(parts, "p").sortWithinPartitions("r", "kind", "i", "j").drop("p")
+        more = again.mapInArrow(verify, "a long, b long")
+        linked = connected_components(more.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    names = sets.select("sid", "digest")
+    named = linked.join(names.withColumnRenamed("sid", "node"), "node").join(names.toDF("component", "of"), "component").select("digest", "of")
+    least = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("least"))
+    named = materialize(least.join(named, "digest", "left").withColumn("of", F.coalesce("of", "digest")))
+    lowest = named.groupBy("of").agg(F.min("least").alias("lowest"))
+    final = materialize(named.select("digest", "of").join(lowest, "of").select("digest", "of", F.col("lowest").alias("component_id")))
+    out = rows.join(final, "digest", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(f"__c_{c}").alias(c) for c in carry or []], *([F.col("of").alias(group)] if group else []))
+
+
+_ID = np.dtype("S16")  # of a fixed size, so a zero byte at the end counts
 _PACKED = np.dtype([("key", "<u8"), ("c", "<u2")])
-_PROFILE = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+_PROFILE = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
 _ROUTED = pa.schema([("p", pa.int32()), ("head", pa.bool_()), ("sids", pa.binary()), ("lens", pa.binary()), ("blob", pa.binary())])
 
 
@@ -393,9 +442,15 @@ def _key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(16) << np.uint64(16)) | (p.astype(np.uint64) & np.uint64(0xFFFF))
 
 
-def _stars(sids: list[int], blobs: list[bytes], n: list[int], num: int, den: int) -> pa.RecordBatch:
-    root = link_group([np.frombuffer(b, dtype=np.uint64) for b in blobs], np.array(n), num, den)
-    pairs = [(sids[i], sids[r]) for i, r in enumerate(root.tolist()) if i != r]
+def _home(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The partition in which a set is put together."""
+    return (np.ascontiguousarray(ids).view("<u8")[::2] % np.uint64(parts)).astype(np.int64)
+
+
+def _stars(run: list[tuple], num: int, den: int) -> pa.RecordBatch:
+    """Each set with the first of its component, from ``(sid, n, keys, known)``."""
+    root = link_group([np.frombuffer(b, dtype=np.uint64) for _, _, b, _ in run], np.array([n for _, n, _, _ in run]), num, den, np.array([x for *_, x in run]))
+    pairs = [(run[i][0], run[r][0]) for i, r in enumerate(root.tolist()) if i != r]
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
@@ -407,6 +462,7 @@ def _pack(keys: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents``; see ``near_duplicates`` for nulls, short and repeated texts and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
