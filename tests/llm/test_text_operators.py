@@ -72,9 +72,9 @@ def test_decontamination_by_brute_force():
     for _ in range(300):
         word = lambda: r.choice([b"a", b"b", b"c", b"d"][: r.randint(2, 4)])
         items = [(str(i % 4), [word() for _ in range(r.randint(0, 9))]) for i in range(5)]
-        auto = decontaminate.ItemAutomaton(items, 4)
+        auto = decontaminate.ItemAutomaton.load(decontaminate.ItemAutomaton.build(items, 4).dump())
         ws = [word() for _ in range(30)]
-        spans, found = auto.scan(ws)
+        spans, found = auto.scan(decontaminate.word_keys(ws))
         hit = {k for a, b in spans for k in range(a, b)}
         assert (hit, found) == brute_hits(ws, items, 4)
 
