@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import table
+from rasterlake.llm.common import materialize, table
 
 #: The classes of bytes whose shares are inputs.
 BYTE_CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n\r", b".", b",", b"!", b"?", b"|", b"#$%&*@~^", b"<>{}[]()=/\\_", b"\"'`;:-+"]
@@ -107,11 +107,12 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, hi
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7) -> float:
-    """Share of positives among the unlabelled: the least ratio of tail shares on held-back halves, with its sampling error."""
-    if len(pos) < 20 or len(unl) < 20:
-        return 0.5
+    """Share of positives among the unlabelled, from 0.05 to 0.95: the least ratio of tail shares on held-back halves, with its sampling error.
+
+    The same at every size: few rows have a large error, which makes the estimate a high one. A single row is its own half.
+    """
     net = _train(pos[::2], unl[::2], None, 300, 8, seed)
-    zp, zu = np.sort(net.logit(pos[1::2])), np.sort(net.logit(unl[1::2]))
+    zp, zu = (np.sort(net.logit(x[1::2] if len(x) > 1 else x)) for x in (pos, unl))
     cuts = zp[: max(1, int(len(zp) * 0.7))]
     qp = 1 - np.searchsorted(zp, cuts) / len(zp)
     qu = 1 - np.searchsorted(zu, cuts) / len(zu)
@@ -128,29 +129,34 @@ def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 1200, hidden: int = 12, s
     return _train(pos, unl, estimate_prior(pos, unl, seed), steps, hidden, seed)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 20_000, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 20_000, unlabelled: int = 20_000, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """Score every whole text; adds ``held_out``, ``score`` and ``predicted``.
 
-    Fits on at most ``sample`` trusted positives and ``sample`` unlabelled rows, the first by a hash of the
-    key, from rows that are not held out (``crc32(key as text) % 5 <> 0``; a null key is not held out). A key
+    Fits on at most ``sample`` trusted positives and ``unlabelled`` rows without a label, the first by a hash of the
+    key, from rows that are not held out (``crc32(key as text) % 5 <> 0``; a null key is not held out). These two
+    numbers bound what the driver fits on, the estimate of the prior included, at every size of the tables. A key
     whose labels disagree, or are null or negative, is neither trusted nor unlabelled. Null and empty texts get
     the score of all-zero statistics. Without positives or unlabelled rows every score is 0.5. Repeated rows
     each give a row; input columns named like an output are dropped. Every other step covers all rows.
 
-    The sample is chosen from keys and labels alone; its texts come by a join with at most ``2 * sample`` keys.
-    Scoring is one narrow pass over the texts without a shuffle.
+    The sample is chosen from keys and labels alone: their count gives the hash below which it lies, so no task sorts
+    more than twice the sample. Its texts come by a join with at most ``sample + unlabelled`` keys. Scoring is one narrow pass
+    over the texts without a shuffle.
     """
     new = ["held_out", "score", "predicted"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     held = F.coalesce(F.crc32(docs[key].cast("string").cast("binary")) % 5 == 0, F.lit(False))
     marks = labels.select(labels[key].alias("__key"), labels[label].alias("q")).where("__key is not null").groupBy("__key").agg(F.min(F.coalesce("q", F.lit(0))).alias("q"))
     keys = docs.where(~held & docs[key].isNotNull()).select(docs[key].alias("__key")).distinct()
-    order = F.xxhash64("__key", F.lit("fit"))
+    tagged = keys.join(marks, "__key", "left").select("__key", F.when(F.col("q").isNull(), 0).when(F.col("q") == 1, 1).alias("y"), F.xxhash64("__key", F.lit("fit")).alias("h"))
+    tagged = materialize(tagged.where("y is not null"))
+    many = {r.y: r["count"] for r in tagged.groupBy("y").count().collect()}
 
-    def first(part: DataFrame, y: int) -> DataFrame:
-        return part.orderBy(order, "__key").limit(sample).select("__key", F.lit(y).alias("y"))
+    def first(y: int, most: int) -> DataFrame:
+        below = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * most // max(many.get(y, 0), 1))
+        return tagged.where((F.col("y") == y) & (F.col("h") <= below)).orderBy("h", "__key").limit(most).select("__key", "y")
 
-    chosen = first(keys.join(marks.where("q = 1"), "__key"), 1).union(first(keys.join(marks, "__key", "left_anti"), 0))
+    chosen = first(1, sample).union(first(0, unlabelled))
     texts = docs.select(docs[key].alias("__key"), docs[text].alias("__text")).join(F.broadcast(chosen), "__key").select("y", "__key", "__text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,4 +181,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``; see ``classify_quality`` for nulls, empty and repeated texts and empty tables."""
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
