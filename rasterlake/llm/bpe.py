@@ -3,12 +3,17 @@
 The merges are compiled, one merge gadget after another, into a deterministic automaton whose arcs carry
 tokens. It has one state per token ("that token was read last"). For a merge ``a b -> ab`` the gadget takes
 the arc ``b`` out of the state behind ``a``, gives every state that has an arc ``a`` an arc ``ab`` as well,
-and makes the state behind ``ab`` a copy of the one behind ``b``. The paths that remain spell exactly the
-token sequences that the merges give, so each string has one path.
+and makes the state behind ``ab`` a copy of the one behind ``b``. A merge whose arc is not there when its turn comes
+can never happen and adds nothing. The paths that remain spell exactly the token sequences that the merges give, so
+each string has one path.
 
 States are copy-on-write: a gadget stores what it changed (the arc it took out, the state that was copied and
 the time of the copy), so the automaton takes a few arrays of vocabulary size instead of the square of it.
-Reading an arc follows these gadgets; the answer is kept in a transition table.
+
+For encoding, the labels are spelt out in bytes and the automaton is made deterministic again: a state of the byte
+table is the set of tokens that may be under way (each with the token read before it) and the token that
+ends here on the one path. Its transitions are compiled as they are first needed and looked up ever after. A word is
+read once from left to right; the tokens of its path are then read off from its end. Nothing is tried twice.
 """
 
 from __future__ import annotations
@@ -33,49 +38,111 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _supported(data: dict) -> None:
+    """Raise for settings of a tokenizer file that this module does not follow."""
+    model, before = data["model"], data.get("pre_tokenizer") or {}
+    wrong = [c for c in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(c)]
+    wrong += ["normalizer"] if data.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if before and (before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True)) else []
+    wrong += [f"added token {t['content']!r}" for t in data.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if model.get("type", "BPE") != "BPE":
+        wrong.append("model")
+    if wrong:
+        raise ValueError("not supported in a tokenizer file: " + ", ".join(wrong))
+
+
 class TokenAutomaton:
     """Deterministic automaton over tokens for a byte-level vocabulary with ranked merges.
 
-    ``spec`` is the text of a tokenizer file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``).
+    ``spec`` is the text of a tokenizer file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``); parts of a
+    token must come from earlier merges, as trained files have them. ``word_cache`` words of at most ``word_chars`` characters keep their ids;
+    ``states`` of the byte table, and ``arc_cache`` arcs that were worked out, are held at a time, then emptied.
     """
 
-    def __init__(self, spec: str, word_cache: int = 400_000, arc_cache: int = 2_000_000):
+    def __init__(self, spec: str, word_cache: int = 400_000, word_chars: int = 48, states: int = 200_000, arc_cache: int = 500_000):
         data = json.loads(spec)
+        _supported(data)
         vocab = data["model"]["vocab"]
         of_symbol = {c: b for b, c in enumerate(byte_symbols())}
         size = max([*vocab.values(), *(t["id"] for t in data["added_tokens"])]) + 1
         self.labels: list[bytes] = [b""] * size
         for symbol, i in vocab.items():
-            self.labels[i] = bytes(of_symbol[c] for c in symbol)
+            self.labels[i] = bytes(of_symbol[c] for c in symbol) if all(c in of_symbol for c in symbol) else symbol.encode()
         self.special = {}
         for t in data["added_tokens"]:
             self.labels[t["id"]] = t["content"].encode()
             self.special[t["content"]] = t["id"]
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.taken: dict[int, int] = {}
-        reachable = {i for c, i in vocab.items() if len(self.labels[i]) == 1}
+        self.reachable = {i for c, i in vocab.items() if len(self.labels[i]) == 1}
         for time, merge in enumerate(data["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self._gadget(vocab[a], vocab[b], vocab[a + b], time, reachable)
-        self.by_bytes = {self.labels[i]: i for i in reachable}
-        self.longest = max(map(len, self.by_bytes))
-        self.prefixes = {s[:k] for s in self.by_bytes for k in range(1, len(s))}  # of longer tokens
+            self._gadget(vocab[a], vocab[b], vocab[a + b], time)
         self.arcs: dict[int, bool] = {}
         self.arc_cache = arc_cache
+        # A tree of the labels: a node for each prefix, its bytes leading to others.
+        self.kids: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        self.inner: list[bool] = [False]
+        for i in self.reachable:
+            node = 0
+            for byte in self.labels[i]:
+                below = self.kids.get(node << 8 | byte)
+                if below is None:
+                    below = self.kids[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                    self.inner[node] = True
+                node = below
+            self.token_at[node] = i
+        self.most_states = states
+        self._empty_table()
         self.words: dict[str, bytes] = {}
-        self.word_cache = word_cache
+        self.word_cache, self.word_chars = word_cache, word_chars
         self.split = regex.compile(SPLIT)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
-    def _gadget(self, a: int, b: int, ab: int, time: int, reachable: set[int]) -> None:
+    def _gadget(self, a: int, b: int, ab: int, time: int) -> None:
         """Add one merge: take arc ``b`` from the state behind ``a`` at ``time``; the arc ``ab`` runs beside ``a`` and its state copies that of ``b``."""
-        self.taken.setdefault((a << 24) | b, time)
-        if ab not in reachable:  # a token that two merges make keeps its first gadget; later ones only take arcs out
-            self.left[ab], self.right[ab], self.born[ab] = a, b, time
-            reachable.add(ab)
+        if a not in self.reachable or b not in self.reachable or not self._arc_at(a, b, time):
+            return
+        self.taken[(a << 24) | b] = time
+        self.left[ab], self.right[ab], self.born[ab] = a, b, time
+        self.reachable.add(ab)
+
+    def _empty_table(self) -> None:
+        """The byte table with its start state alone: nothing read, any token may begin."""
+        self.table: dict[int, int] = {}
+        self.under_way: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.last: list[int] = [-1]
+        self.state_of: dict[tuple, int] = {}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of the byte table from ``state`` by ``byte``."""
+        out, done = [], -1
+        for before, node in self.under_way[state]:
+            node = self.kids.get(node << 8 | byte)
+            if node is None:
+                continue
+            token = self.token_at[node]
+            if token >= 0 and (before < 0 or self.has_arc(before, token)):
+                done = token
+            if self.inner[node]:
+                out.append((before, node))
+        if done < 0:
+            raise ValueError(f"the vocabulary has no token for the byte {byte}")
+        out.append((done, 0))
+        known = tuple(out)
+        after = self.state_of.get(known)
+        if after is None:
+            after = self.state_of[known] = len(self.last)
+            self.under_way.append(known)
+            self.last.append(done)
+        self.table[state << 8 | byte] = after
+        return after
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state behind ``state`` has an arc ``token`` once all gadgets are in; kept in the transition table."""
+        """Whether the state behind ``state`` has an arc ``token`` once all gadgets are in; kept."""
         key = (state << 24) | token
         known = self.arcs.get(key)
         if known is None:
@@ -102,50 +169,27 @@ class TokenAutomaton:
                 state = self.right[state]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path through the automaton that spells ``word``.
-
-        Arcs are tried from the longest label; since each prefix too has one path, a place that once turned out a
-        dead end stays one.
-        """
-        if not word:
-            return []
-        whole = self.by_bytes.get(word)
-        if whole is not None:
-            return [whole]  # the start state loses no arc
-        n, path, places, dead = len(word), [], [0], set()
-        choices = [self._labels_at(word, 0)]
-        while True:
-            if not choices[-1]:
-                dead.add(places.pop())
-                choices.pop()
-                path.pop()
-                continue
-            end, token = choices[-1].pop()
-            if end in dead or path and not self.has_arc(path[-1], token):
-                continue
-            path.append(token)
-            if end == n:
-                return path
-            places.append(end)
-            choices.append(self._labels_at(word, end))
-
-    def _labels_at(self, word: bytes, start: int) -> list[tuple[int, int]]:
-        """Ends and ids of the tokens that begin at ``start``, from the shortest."""
-        out, by_bytes, prefixes = [], self.by_bytes, self.prefixes
-        for end in range(start + 1, min(len(word), start + self.longest) + 1):
-            piece = word[start:end]
-            token = by_bytes.get(piece)
-            if token is not None:
-                out.append((end, token))
-            if piece not in prefixes:
-                break
-        return out
+        """The labels of the one path through the automaton that spells ``word``."""
+        if len(self.last) > self.most_states:
+            self._empty_table()
+        state, ends = 0, []
+        table, last = self.table, self.last
+        for byte in word:
+            after = table.get(state << 8 | byte)
+            state = self._compile(state, byte) if after is None else after
+            ends.append(last[state])
+        path, at = [], len(word)
+        while at:
+            path.append(ends[at - 1])
+            at -= len(self.labels[path[-1]])
+        return path[::-1]
 
     def _word_ids(self, piece: str) -> bytes:
         ids = b"".join(i.to_bytes(4, "little") for i in self.encode_word(piece.encode("utf-8", "surrogatepass")))
-        if len(self.words) >= self.word_cache:
-            self.words.clear()
-        self.words[piece] = ids
+        if len(piece) <= self.word_chars:
+            if len(self.words) >= self.word_cache:
+                self.words.clear()
+            self.words[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
