@@ -1,6 +1,7 @@
 """Chat formatting from event logs: deltas, edits and regenerations are folded into final messages, then rendered.
 
-Everything is DataFrame expressions; one shuffle by conversation serves all steps.
+Everything is DataFrame expressions. Events are folded by message, so those of a hot conversation spread out; only
+its final messages meet in one task, which makes the one string that the format asks for.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ def reconstruct(events: DataFrame) -> DataFrame:
     what follows the last event that sets the text counts. A null text is empty, a null role stays empty unless
     another event of the message has one (the first by ``seq`` counts). Messages are ordered by their first
     event; ties go by role, text and ``msg``. Repeated events of a kind that appends count as often as they
-    occur. Extra columns are not read.
+    occur. ``seq`` may be of any type that has an order. Extra columns are not read. An empty log gives no messages.
     """
     sets = F.col("kind").isin("message", "edit", "regenerate")
     start = F.struct(F.col("seq"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(sets, F.lit(False)).alias("sets"))
     log = F.array_sort(F.collect_list(start))
-    grouped = events.repartition("conv_id").groupBy("conv_id", "msg").agg(F.min("seq").alias("seq"), F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"].alias("role"), log.alias("log"))
+    grouped = events.groupBy("conv_id", "msg").agg(F.min("seq").alias("seq"), F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"].alias("role"), log.alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["sets"], i).otherwise(-1)))
     tail = F.expr("slice(log, greatest(last, 0) + 1, size(log))")
     messages = grouped.withColumn("last", last).withColumn("text", F.array_join(F.transform(tail, lambda e: e["text"]), ""))
@@ -52,8 +53,10 @@ def reconstruct(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """``(conv_id, formatted, mask)``: one string for each conversation and the code-point ranges that bear loss.
 
-    Ranges are half-open and cover the escaped text of each turn of ``loss_role``, without its marks.
+    Ranges are half-open and cover the escaped text of each turn of ``loss_role``, without its marks. A null role or text counts
+    as empty, and such a role bears no loss; a null ``conv_id`` is a conversation like any other. Extra columns are not read.
     """
+    messages = messages.select("conv_id", "position", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape(F.col("role"), lines=True), F.lit("\n"))
     body = escape(F.col("text"))
     parts = messages.select("conv_id", "position", "role", head.alias("head"), body.alias("body"))
@@ -67,7 +70,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """Read formatted conversations back: adds ``turns`` (array of role and text) and ``loss_text``."""
+    """Read formatted conversations back: adds ``turns`` (array of role and text) and ``loss_text``.
+
+    A null ``formatted`` gives nulls, an empty one no turns and an empty ``loss_text``.
+    """
     pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
     turns = F.transform(
         F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: p.isNotNull()),
@@ -81,11 +87,30 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Each row of ``conversations(conv_id, turn, role, text)`` as the event that opens and fills one message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    """The log of an assistant at work that ends in the rows of ``conversations(conv_id, turn, role, text)``.
+
+    Each row is a message of its own, repeated rows too. By a hash of the row it comes as it is; in three deltas; as a draft
+    that an edit replaces; or as deltas of a draft, thrown away by a regeneration, and new deltas. ``seq`` is the turn and the step
+    within it. Null texts come as null or empty pieces. Other columns are not read.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("msg"))
+    text = F.coalesce("text", F.lit(""))
+    third = (F.length(text) / 3).cast("int")
+    pieces = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1, F.length(text))]
+    event = lambda step, kind, value, role="role": F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"), value.alias("text"))
+    deltas = lambda at: [event(at + k, "delta", p, None if k else "role") for k, p in enumerate(pieces)]
+    draft = F.concat(F.lit("draft <|im_end|> of "), text)
+    way = F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("text")).cast("binary")), F.lit(4))
+    events = (
+        F.when(way == 0, F.array(event(0, "message", F.col("text")))).when(way == 1, F.array(*deltas(0))).when(way == 2, F.array(event(0, "message", draft), event(1, "edit", F.col("text"))))
+        .otherwise(F.array(event(0, "delta", draft), event(1, "delta", F.lit("...")), event(2, "regenerate", F.lit(None).cast("string")), *deltas(3)))
+    )
+    log = rows.select("conv_id", "turn", "msg", F.explode(events).alias("e"))
+    return log.select("conv_id", F.struct("turn", "e.step").alias("seq"), "msg", "e.kind", "e.role", "e.text")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` as event logs, folded, rendered and read back; see the functions used for nulls, ties and repeated rows."""
     planted = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
