@@ -185,8 +185,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "
 
     A text matches if all of it is a licence, whatever its case, punctuation, line breaks, copyright notices and spelling. Null
     and empty texts have the digest of nothing and no licence. Every row gives one row; repeated digests in
-    ``known`` (default: ``known_digests``) name the first licence in order; input columns named like outputs are dropped. The documents are
-    scanned once and not shuffled while ``known`` has at most 100,000 rows; beyond that, Spark joins as it sees fit.
+    ``known`` (default: ``known_digests``) name the first licence in order; input columns named like outputs are dropped. The
+    shipped digests, some hundred rows, are broadcast: the documents are scanned once and not shuffled. Digests of the caller's are joined as Spark's
+    own statistics decide.
     """
     new = ["digest", "canon_chars", "license"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -194,11 +195,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "
     table_ = table_.groupBy("digest").agg(F.min("license").alias("license"))
     canon = docs.select(*kept, canonical(F.coalesce(docs[text], F.lit(""))).alias("__canon"))
     rows = canon.select(*kept, F.sha2(F.col("__canon").cast("binary"), 256).alias("digest"), F.length("__canon").cast("long").alias("canon_chars"))
-    small = known is None or table_.limit(100_001).count() <= 100_000
-    return rows.join(F.broadcast(table_) if small else table_, "digest", "left").select(*kept, *new)
+    return rows.join(F.broadcast(table_) if known is None else table_, "digest", "left").select(*kept, *new)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every whole text of ``documents``; see ``scan_licenses`` for nulls, empty and repeated texts."""
     return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
