@@ -168,15 +168,14 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     response and the others revisit it; rows that share that key are all responses, a null key revisits, and if
     all are null, all are responses. Extra columns are not read; an empty table gives no package. A package
     closes once it holds ``package_bytes``, which bounds what a task holds (besides one record).
-    Payloads move only if repeated ones are too many to broadcast (8 MB). Each attempt of a task writes files of its
+    What each repeated digest is kept under is one narrow table, joined to the rows as Spark's own statistics decide: while it is below
+    the session's broadcast threshold, payloads do not move. Each attempt of a task writes files of its
     own, so a repeated one overwrites nothing; the paths in the result are those of the attempt that counted.
     """
     rows = pages.select(pages[key].cast("long").alias("id"), pages[url].alias("url"), F.coalesce(pages[payload], F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body")).withColumn("digest", F.unhex(F.sha1("body")))
     many = rows.where(F.col("bytes") >= dedupe_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    many = materialize(many)
-    small = many.count() * 100 <= 8_000_000
-    rows = rows.join(F.broadcast(many) if small else many, ["digest", "bytes"], "left")
+    rows = rows.join(materialize(many), ["digest", "bytes"], "left")
     rows = rows.withColumn("refers_to", F.when(F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")), F.col("keep")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +259,7 @@ def read_archives(packages: DataFrame, content: str = "content", payloads: bool
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every row of ``pages``, written and read back; see ``write_archives`` for nulls, ties and repeated rows."""
     packages = materialize(write_archives(table(spark, sf_dir, "pages"), folder=f"{shared_dir(spark)}/{uuid.uuid4().hex}"))
     tasks = min(max(packages.count(), 1), 10_000)  # a row is a path, so rows do not tell how much there is to read
     return read_archives(packages.repartition(tasks), "path", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
