@@ -17,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
     "op4_jaccard": jaccard.OP4_SQL,
+    "op5_hilbert": sharding.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_embeddings": embeddings.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
