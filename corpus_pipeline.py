@@ -38,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Texts without words all stay."""
     plain, names = _plain(docs)
-    rows = plain.withColumn("__row", F.monotonically_increasing_id())
+    # Numbered rows are written once: both readings below see the same numbers, whatever ``docs`` is and whichever executor is lost.
+    rows = materialize(plain.withColumn("__row", F.monotonically_increasing_id()))
     found = near_duplicates(rows, text=names["text"], key=names["doc_id"], carry=["__row"], group="__group")
     order = F.struct(F.col(names["doc_id"]).isNull(), F.col(names["doc_id"]), F.col("__row"))
     first = found.where("__group is not null").groupBy("__group").agg(F.min_by("__row", order).alias("__row"))
