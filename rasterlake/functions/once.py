@@ -1,11 +1,22 @@
-"""A barrier for expressions that should run once."""
+"""Ways to work an expression out once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once a row.
+
+    An expression inside a lambda is worked out for each element, so a maximum there takes the square of the array.
+    The variable of a lambda over one element is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` unchanged, but filters above it are not pushed below.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.functions.once import settled
+from rasterlake.functions.once import bound, settled
 
 #: Sobel kernels.
 SOBEL_X = [[1, 0, -1], [2, 0, -2], [1, 0, -1]]
@@ -94,13 +94,14 @@ def structure_loss(df: DataFrame) -> DataFrame:
     return df.withColumn("loss", cross + 1 - (F.col("i") + 1) / (F.col("un") - F.col("i") + 1)).drop("m", "box", "wt", "sx", "i", "un")
 
 
-def resize(values: Column, h: Column, w: Column, height: int, width: int, align_corners: bool) -> Column:
+def resize(values: Column, h: Column, w: Column, height: int | Column, width: int | Column, align_corners: bool) -> Column:
     """Bilinear resize of a flat raster to ``height`` by ``width``."""
+    height, width = (F.lit(x) if isinstance(x, int) else x for x in (height, width))
 
-    def source(i: Column, old: Column, new: int) -> Column:
+    def source(i: Column, old: Column, new: Column) -> Column:
         if align_corners:
-            return i * (old - 1) / F.lit(float(max(new - 1, 1)))
-        return F.least(F.greatest((i + 0.5) * old / float(new) - 0.5, F.lit(0.0)), (old - 1).cast("double"))
+            return i * (old - 1) / F.greatest(new - 1, F.lit(1)).cast("double")
+        return F.least(F.greatest((i + 0.5) * old / new.cast("double") - 0.5, F.lit(0.0)), (old - 1).cast("double"))
 
     def tap(i: Column) -> Column:
         sy, sx = source(F.floor(i / width), h, height), source(i % width, w, width)
@@ -111,12 +112,36 @@ def resize(values: Column, h: Column, w: Column, height: int, width: int, align_
         top = get(y, x) * (1 - fx) + get(y, x1) * fx
         return top * (1 - fy) + (get(y1, x) * (1 - fx) + get(y1, x1) * fx) * fy
 
-    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), tap)
+    return F.transform(F.sequence(F.lit(0), height * width - 1), tap)
+
+
+def resize_nearest(values: Column, h: Column, w: Column, height: int | Column, width: int | Column) -> Column:
+    """Resize that takes, for each pixel, the one whose place its corner falls on."""
+    height, width = (F.lit(x) if isinstance(x, int) else x for x in (height, width))
+    at = lambda i: F.floor(F.floor(i / width) * h / height) * w + F.floor((i % width) * w / width)
+    return F.transform(F.sequence(F.lit(0), height * width - 1), lambda i: F.get(values, at(i).cast("int")))
 
 
 def stretch(values: Column, eps: float = 1e-8) -> Column:
-    """Min-max with a small constant in the denominator."""
-    return F.transform(values, lambda v: (v - F.array_min(values)) / (F.array_max(values) - F.array_min(values) + eps))
+    """Min-max with a small constant in the denominator; in linear time."""
+    ends = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return bound(ends, lambda e: F.transform(values, lambda v: (v - e["low"]) / (e["high"] - e["low"] + eps)))
+
+
+def by_maximum(values: Column, eps: float = 1e-8) -> Column:
+    """Values over their maximum, with a small constant in the denominator; in linear time."""
+    return bound(F.array_max(values), lambda m: F.transform(values, lambda v: v / (m + F.lit(eps))))
+
+
+def stretch_channels(channels: Column, eps: float = 1e-8) -> Column:
+    """``stretch`` of each channel (an array of flat arrays) on its own."""
+    return F.transform(channels, lambda c: stretch(c, eps))
+
+
+def normalise_channels(channels: Column, mean: list[float], std: list[float], top: float = 255.0) -> Column:
+    """Channel ``k`` over ``top``, less ``mean[k]``, over ``std[k]``."""
+    m, s = (F.array(*map(F.lit, x)) for x in (mean, std))
+    return F.transform(channels, lambda c, k: F.transform(c, lambda v: (v / F.lit(top) - F.get(m, k)) / F.get(s, k)))
 
 
 def flip_rows(values: Column, h: Column, w: Column) -> Column:

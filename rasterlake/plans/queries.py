@@ -296,7 +296,7 @@ def mask_sink(spark, sf):
 
 @query
 def gt_scale(spark, sf):
-    return _long(src.rasters(spark, sf).withColumn("v", F.transform("gt", lambda v: v / (F.array_max("gt") + F.lit(1e-8)))), "v")
+    return _long(src.rasters(spark, sf).withColumn("v", stencil.by_maximum(F.col("gt"))), "v")
 
 
 @query

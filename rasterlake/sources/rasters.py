@@ -27,17 +27,16 @@ def teacher_student(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask pairs ``(img_id, method, dataset, class, h, w, pred, gt)`` with values 0 to 255, one row an image."""
-    df = teacher_student(spark, sf_dir)
-    low, high = F.array_min("e"), F.array_max("e")
-    rule = F.pmod("img_id", F.lit(16)).cast("int")
-    pred = F.transform("e", lambda v: F.when(rule == 7, 128).otherwise(F.floor((v - low) / (high - low) * 255).cast("int")))
-    at = lambda value: F.array_position("e", value) - 1
+    df = teacher_student(spark, sf_dir).withColumn("low", F.array_min("e")).withColumn("high", F.array_max("e")).withColumn("rule", F.pmod("img_id", F.lit(16)).cast("int"))
+    df = settled(df.withColumn("least", F.array_position("e", F.col("low")) - 1).withColumn("most", F.array_position("e", F.col("high")) - 1))
+    rule = F.col("rule")
+    pred = F.transform("e", lambda v: F.when(rule == 7, 128).otherwise(F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * 255).cast("int")))
     on = F.transform(
         "e",
         lambda v, i: F.when(rule == 0, False)
         .when(rule == 1, True)
-        .when(rule == 2, i == at(high))
-        .when(rule == 3, i != at(low))
+        .when(rule == 2, i == F.col("most"))
+        .when(rule == 3, i != F.col("least"))
         .when(rule == 4, i >= SIDE * (SIDE - 1))
         .when(rule == 5, (F.floor(i / SIDE) < 2) & (i % SIDE < 2))
         .when(rule == 6, F.floor(i / SIDE).between(2, 5) & (i % SIDE).between(2, 5))
@@ -45,7 +44,7 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gt = F.transform(on, lambda b: F.when(b, 255).otherwise(0))
     method = F.concat(F.lit("m"), F.pmod("img_id", F.lit(3)).cast("string"))
-    return settled(df).select("img_id", method.alias("method"), F.lit("R").alias("dataset"), "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), pred.alias("pred"), gt.alias("gt")).transform(settled)
+    return df.select("img_id", method.alias("method"), F.lit("R").alias("dataset"), "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), pred.alias("pred"), gt.alias("gt")).transform(settled)
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jpg", ".png")) -> DataFrame:
