@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     ``frequent``: a shingle in more than one of so many documents counts as frequent; ``most_frequent`` bounds how many of
     those are broadcast, the most frequent first, and not shuffled. The others are shuffled like all. Neither changes a result.
     ``piece`` and ``block``: sets and shingles in a piece of a candidate component at most (pivots, ``pivots`` of them to be
-    expected, and a single longer set come on top). Sets are told apart by 128 bits of a digest, shingles by 64 bits of a hash,
+    expected, and a single longer set come on top). Sets are told apart by 128 bits of a digest, of which 64 travel with their shingles (other ones where two sets share them), shingles by 64 bits of a hash,
     of which 48 and the partition that all 64 choose are kept.
     """
     spark = docs.sparkSession
@@ -235,6 +235,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     heavy_h, heavy_c = (heavy.column(c).to_numpy() for c in ("h", "c"))
     order = np.argsort(heavy_h.view(np.uint64))
     sent = spark.sparkContext.broadcast((heavy_h.view(np.uint64)[order], np.minimum(heavy_c[order], (1 << 32) - 1).astype(np.uint32)))
+    half = F.substring("digest", 1, 8)
+    twice = rows.where("digest is not null").groupBy(half.alias("half")).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    clashing = spark.sparkContext.broadcast(frozenset(bytes(r.b) for r in twice.select("b").collect()))  # hardly ever any: n * n / 2**65 of n sets
     parts = max(input_partitions(docs), ceil(count.n / 2_500_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         heavy_h, heavy_c = sent.value
 
         def flush(sids: list[bytes], sets_: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sid = np.frombuffer(b"".join(sids), dtype=_ID)
+            sid = _ids(sids, clashing.value)
             n = np.array([len(h) for h in sets_])
             h, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), n)
             p = (h % np.uint64(parts)).astype(np.int64)
@@ -253,12 +256,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
                 hot = heavy_h[at] == h
                 packed = _pack(_key(h[hot], p[hot]), heavy_c[at[hot]])
             owed = np.concatenate(([0], np.cumsum(np.bincount(owner[hot], minlength=len(sid)))))
-            home = _home(sid, parts)
+            home = sid % parts
             rows_ = []
             for g in np.unique(home).tolist():  # each set's size and frequent shingles go straight to where it is put together
                 mine = np.flatnonzero(home == g)
                 heads = np.stack([n[mine], owed[mine + 1] - owed[mine]], axis=1).astype(np.uint32)
-                rows_.append((g, True, sid[mine].tobytes(), heads.tobytes(), b"".join(packed[owed[i] : owed[i + 1]].tobytes() for i in mine)))
+                rows_.append((g, True, b"".join(sids[i] for i in mine.tolist()), heads.tobytes(), b"".join(packed[owed[i] : owed[i + 1]].tobytes() for i in mine)))
             h, p, owner = h[~hot], p[~hot], owner[~hot]
             order = np.argsort(p, kind="stable")
             h, p, owner = h[order], p[order], owner[order]
@@ -294,7 +297,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             if heads.true_count:
                 yield batch.filter(heads)
             for p, s, m, b in zip(*(batch.filter(pa.compute.invert(heads)).column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
-                sids.append(np.frombuffer(s, dtype=_ID))
+                sids.append(np.frombuffer(s, dtype=np.int64))
                 lens.append(np.frombuffer(m, dtype=np.uint32))
                 blobs.append(b)
                 place.append(np.full(len(sids[-1]), p, dtype=np.int64))
@@ -308,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         del six
         once = np.zeros(len(sid), dtype=bool)  # a set comes from each batch that has a copy of it; one counts
         order = np.lexsort((sid, p))
-        once[order[np.concatenate(([True], (sid[order][1:] != sid[order][:-1]) | (np.diff(p[order]) != 0)))]] = True
+        once[order[np.concatenate(([True], (np.diff(sid[order]) != 0) | (np.diff(p[order]) != 0)))]] = True
         owner = np.repeat(np.arange(len(sid)), size)
         keep = once[owner]
         owner = owner[keep]
@@ -321,7 +324,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         c[order] = np.repeat(counts, counts)
         del order, first
         keys, owner, c = keys[c > 1], owner[c > 1], c[c > 1]
-        home = _home(sid, parts)[owner]
+        home = sid[owner] % parts
         order = np.lexsort((owner, home))
         keys, owner, c, home = keys[order], owner[order], c[order], home[order]
         packed = _pack(keys, c)
@@ -336,10 +339,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets that share enough, with their shared shingles and the rare ones among the first."""
-        sids, sizes, head_of, packed, lens = [], [], [], [], []
+        sids, sizes, head_of, packed, lens, digests = [], [], [], [], [], []
         for batch in batches:
             for head, s, m, b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
-                sid, m = np.frombuffer(s, dtype=_ID), np.frombuffer(m, dtype=np.uint32).astype(np.int64)
+                m = np.frombuffer(m, dtype=np.uint32).astype(np.int64)
+                if head:
+                    own = [s[at : at + 16] for at in range(0, len(s), 16)]
+                    sid = _ids(own, clashing.value)
+                    digests += own
+                else:
+                    sid = np.frombuffer(s, dtype=np.int64)
                 sids.append(sid)
                 packed.append(np.frombuffer(b, dtype=_PACKED))
                 head_of.append(np.full(len(sid), head))
@@ -349,7 +358,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             return
         sid, size, is_head, items, lens_ = (np.concatenate(x) for x in (sids, sizes, head_of, packed, lens))
         whole, at = np.unique(sid[is_head], return_index=True)
-        n = size[is_head][at]
+        n, digests = size[is_head][at], [digests[i] for i in at.tolist()]
         owner = np.repeat(np.searchsorted(whole, sid), lens_)
         order = np.lexsort((items["key"], owner))
         owner, items = owner[order], items[order]
@@ -362,7 +371,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
             mine = items[ends[i] : ends[i + 1]]
             first_few = int(n[i]) - -(-num * int(n[i]) // den) + 1 - (int(n[i]) - len(mine))
             rare = mine["key"][np.lexsort((mine["key"], mine["c"]))[: max(first_few, 0)]]
-            out.append((whole[i : i + 1].tobytes(), int(n[i]), mine["key"].tobytes(), rare.view(np.int64).tolist()))
+            out.append((digests[i], int(n[i]), mine["key"].tobytes(), rare.view(np.int64).tolist()))
             if len(out) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PROFILE, strict=True)], ["digest", "n", "keys", "rare"])
                 out = []
@@ -431,7 +440,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(f"__c_{c}").alias(c) for c in carry or []], *([F.col("of").alias(group)] if group else []))
 
 
-_ID = np.dtype("S16")  # of a fixed size, so a zero byte at the end counts
 _PACKED = np.dtype([("key", "<u8"), ("c", "<u2")])
 _PROFILE = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
 _ROUTED = pa.schema([("p", pa.int32()), ("head", pa.bool_()), ("sids", pa.binary()), ("lens", pa.binary()), ("blob", pa.binary())])
@@ -442,9 +450,14 @@ def _key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(16) << np.uint64(16)) | (p.astype(np.uint64) & np.uint64(0xFFFF))
 
 
-def _home(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The partition in which a set is put together."""
-    return (np.ascontiguousarray(ids).view("<u8")[::2] % np.uint64(parts)).astype(np.int64)
+def _ids(digests: list[bytes], clashing: frozenset[bytes]) -> np.ndarray:
+    """64 bits of each digest that no other set has: the first half, or the second of those whose first half is another's too."""
+    halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+    out = halves[:, 0].copy()
+    if clashing:
+        second = [i for i, d in enumerate(digests) if d in clashing]
+        out[second] = halves[second, 1]
+    return out
 
 
 def _stars(run: list[tuple], num: int, den: int) -> pa.RecordBatch:

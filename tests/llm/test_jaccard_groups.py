@@ -73,3 +73,19 @@ def test_very_long_texts_and_groups(spark):
         by.setdefault(None if r.g is None else bytes(r.g), []).append((r.doc_id, r.n_shingles, r.component_id))
     assert by.pop(None) == [(None, 0, None)]
     assert sorted(sorted(v) for v in by.values()) == [[(1, 30_011, 1), (2, 30_012, 1)], [(3, 1, 3), (3, 1, 3)]]
+
+
+def test_sets_that_share_half_a_digest():
+    a, b, c = b"12345678abcdefgh", b"12345678hgfedcba", b"87654321abcdefgh"
+    ids = jaccard._ids([a, b, c], frozenset([b]))
+    assert len(set(ids.tolist())) == 3 and jaccard._ids([a, b], frozenset()).tolist() == [ids[0]] * 2
+    assert jaccard._ids([], frozenset([a])).tolist() == []
+
+
+def test_equal_first_halves_change_nothing(spark, monkeypatch):
+    """Every digest made to clash: sets travel under the second half then."""
+    rows = list(enumerate([*near_copies(20, 1), *passages(10, 3), "w x y z"]))
+    real = jaccard.F.substring
+    monkeypatch.setattr(jaccard.F, "substring", lambda c, at, n: jaccard.F.lit(b"x") if c == "digest" else real(c, at, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(key, jaccard.near_duplicates(df).collect())) == sorted(map(key, brute_jaccard(rows)))
