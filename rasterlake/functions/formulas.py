@@ -1,4 +1,4 @@
-"""Closed-form scores as SQL text that Spark (through ``expr``) and the oracle both read.
+"""Closed-form scores as SQL text for ``expr``. The oracle has formulas of its own.
 
 Counts and sums go in, a score comes out. NULL stands for a score that is not defined.
 """
@@ -23,19 +23,3 @@ def enhanced_alignment(tp: str, ps: str, f: str, n: str) -> str:
         f" + {part(f'-{mp}', f'1 - {mg}')} * ({f} - {tp}) + {part(f'-{mp}', f'-{mg}')} * ({n} - {ps} - {f} + {tp})"
     )
     return f"((CASE WHEN {f} = 0 THEN CAST({n} - {ps} AS DOUBLE) WHEN {f} = {n} THEN CAST({ps} AS DOUBLE) ELSE {mixed} END) / ({n} - 1 + {EPS}))"
-
-
-def object_score(mean: str, std: str) -> str:
-    return f"(2 * {mean} / ({mean} * {mean} + 1 + {std} + {EPS}))"
-
-
-def similarity(x: str, y: str, vx: str, vy: str, cov: str) -> str:
-    """Structural similarity of a quadrant from means, variances and covariance."""
-    a, b = f"(4 * {x} * {y} * {cov})", f"(({x} * {x} + {y} * {y}) * ({vx} + {vy}))"
-    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} <> 0 THEN {a} / ({b} + {EPS}) WHEN {b} = 0 THEN 1E0 ELSE 0E0 END)"
-
-
-def structure(f: str, n: str, mean_p: str, obj: str, reg: str) -> str:
-    """S-measure; an undefined part gives 0, empty and full masks have scores of their own."""
-    both = f"(0.5E0 * ({obj}) + 0.5E0 * ({reg}))"
-    return f"(CASE WHEN {f} = 0 THEN 1 - {mean_p} WHEN {f} = {n} THEN {mean_p} WHEN {both} IS NULL OR {both} < 0 THEN 0E0 ELSE {both} END)"

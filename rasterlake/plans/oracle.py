@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
-from rasterlake.functions import formulas as fm
-from rasterlake.operators.stencil import attention_taps
+#: Formulas of this module's own, from the definitions and not from the closed forms that the queries use.
+_EPS = "power(2E0, -52)"
+
+
+def _f(p: str, r: str) -> str:
+    """F: nothing where precision or recall is nothing, else a weighted harmonic mean (in this order of factors, as some values lie on the edge of rounding)."""
+    return f"coalesce(1.3E0 * {p} * {r} / nullif(0.3E0 * {p} + {r}, 0), 0)"
+
+
+def _alike(m: str, s: str) -> str:
+    return f"(2 * {m} / (power({m}, 2) + 1 + {s} + {_EPS}))"
+
+
+def _ssim(k: int) -> str:
+    """Likeness of quadrant ``k``: from its moments."""
+    top, low = f"(4 * x{k} * y{k} * c{k})", f"((power(x{k}, 2) + power(y{k}, 2)) * (vx{k} + vy{k}))"
+    return f"(CASE {top} WHEN 0 THEN CASE {low} WHEN 0 THEN 1 ELSE 0 END ELSE {top} / ({low} + {_EPS}) END + 0 * {top})"
+
+
+def _aligned(cut: str) -> str:
+    """E of one image, pixel by pixel: how both deviate from their means; ``cut`` tells what is predicted."""
+    return f"""sum(CASE WHEN f = 0 THEN 1 - b WHEN f = n THEN b ELSE power(1 + 2 * (b - mb) * (g - f / CAST(n AS DOUBLE)) / (power(b - mb, 2) + power(g - f / CAST(n AS DOUBLE), 2) + {_EPS}), 2) / 4 END) / (any_value(n) - 1 + {_EPS})"""
+
 
 _BASE = """
 WITH RECURSIVE v AS (SELECT vec_id AS img_id, label AS class, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -24,30 +45,33 @@ px AS (SELECT un.*, CASE WHEN uhi <> ulo THEN (u - ulo) / (uhi - ulo) ELSE u END
 im AS (SELECT img_id, method, dataset, class, h, w, count(*) AS n, sum(g)::BIGINT AS f, avg(p) AS mean_p FROM px GROUP BY ALL)
 """
 _ADAPTIVE = f""",
-ac AS (SELECT im.*, c.tp, c.ps FROM im JOIN (
-  SELECT px.img_id, sum(CASE WHEN p >= least(2 * mean_p, 1) THEN g ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN p >= least(2 * mean_p, 1) THEN 1 ELSE 0 END)::BIGINT AS ps
-  FROM px JOIN im USING (img_id) GROUP BY px.img_id) c USING (img_id)),
-ad AS (SELECT *, CASE WHEN tp = 0 THEN 0E0 ELSE {fm.f_score("tp / CAST(ps AS DOUBLE)", "tp / CAST(f AS DOUBLE)")} END AS adp_fm, {fm.enhanced_alignment("tp", "ps", "f", "n")} AS adp_em FROM ac)
+bn AS (SELECT px.img_id, g, f, n, CASE WHEN p >= least(2 * mean_p, 1) THEN 1 ELSE 0 END AS b FROM px JOIN im USING (img_id)),
+bm AS (SELECT *, avg(b) OVER (PARTITION BY img_id) AS mb FROM bn),
+ad AS (SELECT im.*, tp, ps, CASE WHEN tp = 0 THEN 0E0 ELSE {_f("(tp / CAST(nullif(ps, 0) AS DOUBLE))", "(tp / CAST(nullif(f, 0) AS DOUBLE))")} END AS adp_fm, adp_em
+       FROM im JOIN (SELECT img_id, sum(b * g)::BIGINT AS tp, sum(b)::BIGINT AS ps, {_aligned("b")} AS adp_em FROM bm GROUP BY img_id) USING (img_id))
 """
+# A pixel counts from the threshold that its value reaches on; E is summed over all pixels at each of the thresholds.
 _CURVE = f""",
-hist AS (SELECT img_id, CAST(floor(p * 255) AS INTEGER) AS b, sum(g) AS tp, count(*) AS ps FROM px GROUP BY ALL),
-cc AS (SELECT im.*, k, sum(coalesce(hist.tp, 0)) OVER o ::BIGINT AS tp, sum(coalesce(hist.ps, 0)) OVER o ::BIGINT AS ps
-       FROM im CROSS JOIN (SELECT unnest(range(0, 256)) AS k) ks LEFT JOIN hist ON hist.img_id = im.img_id AND hist.b = 255 - k
-       WINDOW o AS (PARTITION BY im.img_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
-cp AS (SELECT *, tp / CAST(greatest(ps, 1) AS DOUBLE) AS precision, tp / CAST(greatest(f, 1) AS DOUBLE) AS recall FROM cc),
-cv AS (SELECT *, {fm.f_score("precision", "recall")} AS fm, {fm.enhanced_alignment("tp", "ps", "f", "n")} AS em FROM cp)
+tk AS (SELECT unnest(range(0, 256)) AS k),
+cc AS (SELECT px.img_id, k, g, CASE WHEN floor(p * 255) >= 255 - k THEN 1 ELSE 0 END AS b FROM px, tk),
+cm AS (SELECT img_id, k, sum(b * g)::BIGINT AS tp, sum(b)::BIGINT AS ps, avg(b) AS mb FROM cc GROUP BY img_id, k),
+ce_ AS (SELECT img_id, k, g, b, count(*) AS many FROM cc GROUP BY ALL),
+cv AS (SELECT im.*, k, tp, ps, precision, recall, {_f("precision", "recall")} AS fm, em FROM im JOIN (
+  SELECT img_id, k, any_value(tp) AS tp, any_value(ps) AS ps, CASE WHEN any_value(ps) = 0 THEN 0E0 ELSE any_value(tp) / CAST(any_value(ps) AS DOUBLE) END AS precision,
+         CASE WHEN any_value(f) = 0 THEN 0E0 ELSE any_value(tp) / CAST(any_value(f) AS DOUBLE) END AS recall, {_aligned("b").replace("sum(CASE", "sum(many * CASE")} AS em
+  FROM ce_ JOIN cm USING (img_id, k) JOIN (SELECT img_id, f, n FROM im) USING (img_id) GROUP BY img_id, k) USING (img_id))
 """
 _Q = ", ".join(f"avg(p) FILTER (q = {k}) AS x{k}, avg(g) FILTER (q = {k}) AS y{k}, var_samp(p) FILTER (q = {k}) AS vx{k}, var_samp(g) FILTER (q = {k}) AS vy{k}, covar_samp(p, g) FILTER (q = {k}) AS c{k}" for k in range(4))
 _W = ["(cx * cy / CAST(n AS DOUBLE))", "(cy * (w - cx) / CAST(n AS DOUBLE))", "((h - cy) * cx / CAST(n AS DOUBLE))"]
 _W.append(f"(1 - {_W[0]} - {_W[1]} - {_W[2]})")
-_REG = " + ".join(f"{_W[k]} * {fm.similarity(f'x{k}', f'y{k}', f'vx{k}', f'vy{k}', f'c{k}')}" for k in range(4))
+_REG = " + ".join(f"{_W[k]} * {_ssim(k)}" for k in range(4))
 _U = "(f / CAST(n AS DOUBLE))"
 _STRUCTURE = f""",
 ce AS (SELECT img_id, CAST(round_even(sum(g * x) / CAST(nullif(sum(g), 0) AS DOUBLE), 0) + 1 AS INTEGER) AS cx, CAST(round_even(sum(g * y) / CAST(nullif(sum(g), 0) AS DOUBLE), 0) + 1 AS INTEGER) AS cy FROM px GROUP BY img_id),
 qd AS (SELECT px.*, cx, cy, CASE WHEN y < cy THEN 0 ELSE 2 END + CASE WHEN x < cx THEN 0 ELSE 1 END AS q FROM px JOIN ce USING (img_id)),
 qs AS (SELECT img_id, cx, cy, avg(p) FILTER (g = 1) AS m1, stddev_samp(p) FILTER (g = 1) AS s1, avg(1 - p) FILTER (g = 0) AS m0, stddev_samp(1 - p) FILTER (g = 0) AS s0, {_Q} FROM qd GROUP BY img_id, cx, cy),
-so AS (SELECT im.*, {_U} * {fm.object_score("m1", "s1")} + (1 - {_U}) * {fm.object_score("m0", "s0")} AS sm_object, {_REG} AS sm_region FROM im JOIN qs USING (img_id)),
-sm AS (SELECT *, {fm.structure("f", "n", "mean_p", "sm_object", "sm_region")} AS sm FROM so)
+so AS (SELECT im.*, {_U} * {_alike("m1", "s1")} + (1 - {_U}) * {_alike("m0", "s0")} AS sm_object, {_REG} AS sm_region FROM im JOIN qs USING (img_id)),
+sm AS (SELECT *, CASE f WHEN 0 THEN 1 - mean_p WHEN n THEN mean_p ELSE greatest(coalesce((sm_object + sm_region) / 2, 0), 0) END AS sm FROM so)
 """
 _NEAR = """,
 nf AS (SELECT a.img_id, a.pos, arg_min(b.pos, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) * 64 + b.pos) AS np
@@ -64,7 +88,7 @@ et AS (SELECT a.*, b.er AS et FROM ee a JOIN ee b ON a.img_id = b.img_id AND b.p
 ea AS (SELECT a.img_id, a.pos, sum(k * b.et) AS ea FROM et a, kn JOIN et b ON b.img_id = a.img_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.img_id, a.pos),
 ew AS (SELECT et.img_id, g, CASE WHEN g = 1 AND ea < er THEN ea ELSE er END * CASE WHEN g = 1 THEN 1 ELSE 2 - exp(ln(0.5::DOUBLE) / 5 * sqrt(d2)) END AS ew FROM et JOIN ea USING (img_id, pos)),
 wq AS (SELECT img_id, sum(g) - sum(ew) FILTER (g = 1) AS tpw, coalesce(sum(ew) FILTER (g = 0), 0) AS fpw, 1 - avg(ew) FILTER (g = 1) AS r FROM ew GROUP BY img_id),
-wf AS (SELECT im.*, CASE WHEN f = 0 THEN 0E0 ELSE 2 * r * (tpw / (tpw + fpw + {fm.EPS})) / (r + tpw / (tpw + fpw + {fm.EPS}) + {fm.EPS}) END AS wfm FROM im LEFT JOIN wq USING (img_id))
+wf AS (SELECT im.*, CASE WHEN f = 0 THEN 0E0 ELSE 2 * r * (tpw / (tpw + fpw + {_EPS})) / (r + tpw / (tpw + fpw + {_EPS}) + {_EPS}) END AS wfm FROM im LEFT JOIN wq USING (img_id))
 """
 _EDGE = """,
 sobel AS (SELECT * FROM (VALUES (-1,-1,1,1),(-1,0,0,2),(-1,1,-1,1),(0,-1,2,0),(0,1,-2,0),(1,-1,1,-1),(1,0,0,-2),(1,1,-1,-1)) k(dy, dx, kx, ky)),
@@ -86,7 +110,19 @@ sel AS (SELECT * FROM lr WHERE loss < 0.8 * (SELECT avg(loss) FROM lr)),
 pk AS (SELECT px.img_id, pos, CASE WHEN t < 0.4 THEN 0E0 ELSE t END AS z FROM px JOIN sel USING (img_id)),
 pm AS (SELECT img_id, min(z) AS lo, max(z) AS hi FROM pk GROUP BY img_id HAVING max(z) >= 0.4)
 """
-_TAPS = "(VALUES " + ", ".join(f"({k - 15}, {t!r}::DOUBLE)" for k, t in enumerate(attention_taps())) + ") k(d, wt)"
+
+
+def _taps(size: int = 31, reach: float = 4.0) -> str:
+    """One axis of the attention kernel: roots of normal probabilities of equal cells; the two ends lie half a cell beyond the reach."""
+    from statistics import NormalDist
+
+    half = reach + reach / size + 1 / (2 * size)
+    edges = [-half + k * (2 * reach + (2 * reach + 1) / size) / size for k in range(size + 1)]
+    roots = [(NormalDist().cdf(b) - NormalDist().cdf(a)) ** 0.5 for a, b in zip(edges, edges[1:], strict=False)]
+    return "(VALUES " + ", ".join(f"({k - size // 2}, {r / sum(roots)!r}::DOUBLE)" for k, r in enumerate(roots)) + ") k(d, wt)"
+
+
+_TAPS = _taps()
 _PATH = "SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' ELSE '.tif' END AS path FROM pages"
 _R6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -113,6 +149,17 @@ def _resized(corners: bool) -> str:
            (SELECT i, j, {coordinate("i")} AS cy, {coordinate("j")} AS cx FROM (SELECT unnest(range(0, 11)) AS i), (SELECT unnest(range(0, 11)) AS j)))"""
 
 
+def _cycle() -> str:
+    """Two rounds of selection: the second with the teachers that the first has labelled."""
+    again = _BASE.replace("pr AS (SELECT class, arg_min(e, img_id) AS pe FROM v GROUP BY class)", "pr AS (SELECT class, coalesce(arg_min(e, img_id) FILTER (img_id IN (SELECT img_id FROM one)), arg_min(e, img_id)) AS pe FROM v GROUP BY class)")
+    assert again != _BASE
+    second = again.replace("WITH RECURSIVE", f"WITH RECURSIVE one AS (SELECT img_id FROM ({_BASE}{_SELECT} SELECT img_id FROM pm)),", 1)
+    return f"""{second}{_SELECT},
+    two AS (SELECT img_id || '.png' AS name FROM pm), fst AS (SELECT img_id || '.png' AS name FROM one)
+    SELECT name, 'round 2' AS origin FROM two UNION ALL SELECT name, 'round 1' FROM fst WHERE name NOT IN (SELECT name FROM two)
+    UNION ALL SELECT doc_id || '.png', 'source' FROM labels WHERE doc_id || '.png' NOT IN (SELECT name FROM two UNION SELECT name FROM fst)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "prepare_pixels": f"{_BASE} SELECT img_id, pos, round(p, 6) AS p, g FROM px",
     "mae_image": f"{_BASE} SELECT img_id, round(avg(abs(p - g)), 6) AS mae FROM px GROUP BY img_id",
@@ -179,6 +226,20 @@ ORACLE_SQL: dict[str, str] = {
     "batch_zip": "WITH a AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents), b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM labels) SELECT batch, a.first, a.rows, b.first AS target_first, b.rows AS target_rows FROM (SELECT batch, min(doc_id) AS first, count(*) AS rows FROM a GROUP BY batch) a JOIN (SELECT batch, min(doc_id) AS first, count(*) AS rows FROM b GROUP BY batch) b USING (batch)",
     "running_best": "SELECT event_id, value, best_before, value < best_before AS improves FROM (SELECT event_id, value, least(1000.0::DOUBLE, min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS best_before FROM events)",
     "ema_params": f"{_BASE} SELECT img_id, pos, round(0.9996 * pval + (1 - 0.9996) * val, 6) AS v FROM raw",
+    "channel_stretch": f"""{_BASE}, ch AS (SELECT img_id, pos, unnest([0, 1, 2]) AS channel, unnest([pred, gt, 255 - pred]) AS u FROM raw)
+        SELECT img_id, channel, pos, round((u - min(u) OVER w) / (max(u) OVER w - min(u) OVER w + 1e-8), 6) AS v FROM ch WINDOW w AS (PARTITION BY img_id, channel)""",
+    "channel_normalise": f"""{_BASE}, ch AS (SELECT img_id, pos, unnest([0, 1, 2]) AS channel, unnest([pred, gt, 255 - pred]) AS u FROM raw)
+        SELECT img_id, channel, pos, round((u / 255.0::DOUBLE - m) / s, 6) AS v FROM ch JOIN (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456::DOUBLE, 0.224::DOUBLE), (2, 0.406::DOUBLE, 0.225::DOUBLE)) z(channel, m, s) USING (channel)""",
+    "pairing_outcomes": """WITH m AS (SELECT doc_id AS img_id, doc_id % 3 AS h FROM labels WHERE doc_id % 5 > 0), p AS (SELECT doc_id AS img_id, n_chars % 3 AS h FROM documents WHERE doc_id % 7 > 0)
+        SELECT img_id, CASE WHEN p.h IS NULL THEN 'no_prediction' WHEN m.h IS NULL THEN 'no_mask' WHEN m.h = p.h THEN 'paired' ELSE 'resized' END AS outcome FROM m FULL JOIN p USING (img_id)""",
+    "output_selection": f"{_BASE} SELECT img_id, pos, round(CASE WHEN img_id % 2 = 0 THEN val ELSE pval END, 6) AS v FROM raw",
+    "task_settings": """SELECT * FROM (VALUES (0, 'C2C', 'SINet'), (1, 'S2C', 'SINet'), (2, 'S2C', 'SINet-v2'), (3, 'S2C', 'SINet'), (4, 'C2C', 'SINet-v2')) r(run, task, network),
+        LATERAL (SELECT unnest(['epoch', 'batchsize', 'decay_epoch', 'alpha', 'u', 'tau', 'a', 'b', 'c']) AS name, unnest([CASE WHEN network = 'SINet' THEN 40 ELSE 100 END, CASE WHEN network = 'SINet' THEN 16 ELSE 32 END, CASE WHEN network = 'SINet' THEN 30 ELSE 50 END,
+          CASE task WHEN 'S2C' THEN 0.996 ELSE 0.9996 END, CASE WHEN run = 3 THEN 0.9 WHEN task = 'S2C' THEN 0.8 ELSE 1 END, CASE WHEN run = 4 THEN 0.6 WHEN task = 'S2C' THEN 0.4 ELSE 0.5 END, CASE task WHEN 'S2C' THEN 0.9 ELSE 0.7 END, 0.3, 0.5]::DOUBLE[]) AS value)""",
+    "snapshot_copy": "SELECT doc_id AS img_id, 'GT/' || doc_id || '.png' AS path, quality FROM labels",
+    "report_sink": "SELECT dataset, method, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("sm", "wfm", "mae", "adp_em", "mean_em", "max_em", "adp_fm", "mean_fm", "max_fm")) + f" FROM ({_report('dataset, method')})",
+    "log_sink": "SELECT CAST(epoch AS INTEGER) AS epoch, event_id AS step, round(value * epoch, 6) AS loss FROM events, (VALUES (1), (2)) t(epoch) WHERE event_id % 10 = 0",
+    "self_training": _cycle(),
     "ema_series": "WITH z AS (SELECT user_id, value, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ago FROM events) SELECT user_id, round(sum(0.1 * value * power(0.9, ago)), 6) AS ema FROM z GROUP BY user_id",
     "lr_schedule": "SELECT CAST(epoch AS INTEGER) AS epoch, round(power(0.1::DOUBLE, (SELECT sum(e // 50) FROM range(1, epoch + 1) t(e))) * 1e12, 3) AS lr FROM range(1, 101) r(epoch)",
     "grad_clip": f"{_BASE} SELECT img_id, pos, round(least(greatest(val, -0.1), 0.1), 6) AS v FROM raw",

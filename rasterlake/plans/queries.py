@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from rasterlake.operators import manifests, metrics, stencil, training
 from rasterlake.sources import rasters as src
 from rasterlake.sources import sinks
 
+#: Mean and deviation of three channels.
+IMAGENET = ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -301,10 +304,8 @@ def gt_scale(spark, sf):
 
 @query
 def normalise_channels(spark, sf):
-    # ImageNet mean and deviation of three channels.
-    mean, std = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
     df = _pairs(spark, sf)
-    return df.select("img_id", F.posexplode_outer("p").alias("pos", "p")).select("img_id", F.col("pos").cast("long").alias("pos"), *[F.round((F.col("p") - m) / s, 6).alias(f"c{k}") for k, (m, s) in enumerate(zip(mean, std, strict=True))])
+    return df.select("img_id", F.posexplode_outer("p").alias("pos", "p")).select("img_id", F.col("pos").cast("long").alias("pos"), *[F.round((F.col("p") - m) / s, 6).alias(f"c{k}") for k, (m, s) in enumerate(zip(*IMAGENET, strict=True))])
 
 
 @query
@@ -351,8 +352,7 @@ def ema_params(spark, sf):
 @query
 def ema_series(spark, sf):
     """The average over each user's values in order of events."""
-    events = src.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("z"))
-    return events.select("user_id", F.round(training.ema(F.transform("z", lambda v: v["value"]), 0.9, F.lit(0.0)), 6).alias("ema"))
+    return training.series_ema(src.table(spark, sf, "events"), "user_id", "event_id", "value", 0.9).select("user_id", *_r("ema"))
 
 
 @query
@@ -369,3 +369,94 @@ def grad_clip(spark, sf):
 @query
 def log_cadence(spark, sf):
     return src.table(spark, sf, "events").where(F.pmod("event_id", F.lit(10)) == 0).groupBy("event_type").agg(F.count("*").alias("steps"))
+
+
+def _channels(spark, sf):
+    """Three channels: prediction, mask, inverted prediction."""
+    return src.rasters(spark, sf).withColumn("channels", F.array("pred", "gt", F.transform("pred", lambda v: 255 - v)))
+
+
+def _by_channel(df, values):
+    flat = df.select("img_id", F.posexplode(values).alias("channel", "c")).select("img_id", "channel", F.posexplode("c").alias("pos", "v"))
+    return flat.select("img_id", "channel", F.col("pos").cast("long").alias("pos"), *_r("v"))
+
+
+@query
+def channel_stretch(spark, sf):
+    return _by_channel(_channels(spark, sf), stencil.stretch_channels(F.col("channels")))
+
+
+@query
+def channel_normalise(spark, sf):
+    return _by_channel(_channels(spark, sf), stencil.normalise_channels(F.col("channels"), *IMAGENET))
+
+
+@query
+def pairing_outcomes(spark, sf):
+    """Masks without prediction, predictions without mask, and pairs of different sizes are told, not dropped."""
+    masks = src.masks(spark, sf).select("img_id", F.when(F.col("img_id") % 5 > 0, F.col("img_id") % 3).alias("h"))
+    predictions = src.images(spark, sf).select("img_id", F.when(F.col("img_id") % 7 > 0, F.col("n_chars") % 3).alias("h"))
+    return manifests.pairing(masks, predictions, "img_id", ["h"])
+
+
+@query
+def output_selection(spark, sf):
+    """Of two maps the second, of four the fourth."""
+    df = src.teacher_student(spark, sf).withColumn("network", F.when(F.col("img_id") % 2 == 0, "SINet").otherwise("SINet-v2"))
+    zero = F.transform("e", lambda v: v * 0)
+    maps = F.when(F.col("network") == "SINet", F.array(zero, "e")).otherwise(F.array(zero, zero, "e", "proto"))
+    return _long(df.withColumn("v", training.pick_output(maps, F.col("network"))), "v")
+
+
+@query
+def task_settings(spark, sf):
+    """Settings by task and network, and with an explicit one."""
+    runs = [("C2C", "SINet", {}), ("S2C", "SINet", {}), ("S2C", "SINet-v2", {}), ("S2C", "SINet", {"u": 0.9}), ("C2C", "SINet-v2", {"epoch": 7, "tau": 0.6})]
+    rows = [(k, task, network, name, float(v)) for k, (task, network, own) in enumerate(runs) for name, v in training.settings(task, network, **own).items()]
+    return spark.createDataFrame(rows, "run int, task string, network string, name string, value double")
+
+
+@query
+def snapshot_copy(spark, sf):
+    """A snapshot of the source that replaces an older one of the same iteration."""
+    root = f"{manifests.checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    masks = src.masks(spark, sf)
+    manifests.write_snapshot(masks.limit(3), root, 2)
+    return spark.read.parquet(manifests.write_snapshot(masks, root, 2))
+
+
+@query
+def report_sink(spark, sf):
+    """The lines of the text report of each dataset, as the file has them."""
+    root = f"{manifests.checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report_texts(metrics.report(_pairs(spark, sf), "dataset", "method"), root)
+    lines = spark.read.text(f"{root}/*_eval.txt").select(F.split(F.regexp_replace("value", r"[| ]+", " "), " ").alias("c"))
+    return lines.where("c[1] <> 'dataset'").select(F.col("c")[1].alias("dataset"), F.col("c")[2].alias("method"), *[F.col("c")[k + 3].alias(n) for k, n in enumerate(metrics.SCORES)])
+
+
+@query
+def log_sink(spark, sf):
+    """Every tenth step of two epochs, appended to one log."""
+    path = f"{manifests.checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    for epoch in (1, 2):
+        steps = src.table(spark, sf, "events").where(F.pmod("event_id", F.lit(10)) == 0)
+        manifests.append_log(steps.select(F.lit(epoch).alias("epoch"), F.col("event_id").alias("step"), (F.col("value") * epoch).alias("loss")), path)
+    return spark.read.schema("epoch int, step long, loss double").json(path).select("epoch", "step", *_r("loss"))
+
+
+@query
+def self_training(spark, sf):
+    """Two rounds. In the second, the teacher of a class is its first image that the first round has labelled."""
+    base = src.teacher_student(spark, sf)
+
+    def predict(k, snapshot):
+        done = snapshot.where("origin <> 'source'").select("name")
+        named = base.withColumn("name", F.concat(F.col("img_id").cast("string"), F.lit(".png")))
+        again = named.join(done, "name").groupBy("class").agg(F.min_by("e", "img_id").alias("first"))
+        df = named.join(F.broadcast(again), "class", "left").withColumn("proto", F.coalesce("first", "proto"))  # a row for each class
+        df = df.withColumn("s", stencil.stretch(F.col("e"))).withColumn("t", stencil.stretch(F.col("proto")))
+        df = settled(df).withColumn("h", F.lit(src.SIDE)).withColumn("w", F.lit(src.SIDE))
+        return manifests.written(stencil.edge_loss(df).select("name", F.round("loss", 9).alias("loss"), "t"))
+
+    source = src.masks(spark, sf).select(F.concat(F.col("img_id").cast("string"), F.lit(".png")).alias("name"), F.lit("source").alias("origin"))
+    return training.self_training(source, predict, f"{manifests.checkpoint_dir(spark)}/cycle-{uuid.uuid4().hex}", 2, 0.8, 0.4)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.once import settled
+from rasterlake.operators import manifests, stencil
 
 SIDE = 8
 
@@ -90,14 +91,51 @@ def grey_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jp
     return picked.mapInPandas(run, "name string, h int, w int, px array<int>")
 
 
-def file_pairs(spark: SparkSession, pred_root: str, gt_root: str, method: str, dataset: str, suffixes: tuple[str, ...] = (".jpg", ".png", ".tif")) -> DataFrame:
-    """Mask pairs of two folders by file name, in the form of ``rasters``; only pairs of one size.
+def rgb_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jpg", ".png")) -> DataFrame:
+    """``(name, h, w, channels)`` of image files, ``channels`` being red, green and blue as flat arrays, decoded by Spark's own image source.
 
-    ``img_id`` is a hash of the name and ``class`` the name itself.
+    Files that it cannot decode give no row; grey ones have three equal channels, and an alpha channel is not read. Arrow batches, no shuffle.
+    """
+    files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flat = []
+            for data, n in zip(frame["data"], frame["nChannels"], strict=True):
+                px = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).astype(np.int32)
+                flat.append([px[:, 0]] * 3 if n == 1 else [px[:, 2], px[:, 1], px[:, 0]])
+            yield pd.DataFrame({"name": frame["name"], "h": frame["height"], "w": frame["width"], "channels": flat})
+
+    picked = files.select(F.substring_index("image.origin", "/", -1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
+    return picked.mapInPandas(run, "name string, h int, w int, channels array<array<int>>")
+
+
+def file_outcomes(spark: SparkSession, pred_root: str, gt_root: str, suffixes: tuple[str, ...] = (".jpg", ".png", ".tif")) -> DataFrame:
+    """``(name, outcome)`` of every file of two folders (see ``manifests.pairing``); what cannot be decoded counts as missing."""
+
+    def listed(root: str) -> DataFrame:
+        read = grey_files(spark, root, suffixes).select("name", "h", "w")
+        return scan_files(spark, root, suffixes).select("name").join(read, "name", "left")
+
+    gt, pred = listed(gt_root), listed(pred_root)
+    found = manifests.pairing(gt, pred, "name", ["h", "w"])
+    lost = gt.join(pred, "name").where(gt["h"].isNull() & pred["h"].isNull()).select("name", F.lit("not_decoded").alias("outcome"))
+    return found.union(lost)
+
+
+def file_pairs(spark: SparkSession, pred_root: str, gt_root: str, method: str, dataset: str, suffixes: tuple[str, ...] = (".jpg", ".png", ".tif"), classes: list[str] | None = None, nearest: bool = False) -> DataFrame:
+    """Mask pairs of two folders by file name, in the form of ``rasters``.
+
+    A prediction of another size than its mask is resized to it, bilinearly or to the ``nearest`` pixel. Files without a partner give no row: ``file_outcomes``
+    names them. ``img_id`` is a hash of the name; ``class`` is the first of ``classes`` in the name, null if there is none.
     """
     pred, gt = (grey_files(spark, r, suffixes) for r in (pred_root, gt_root))
-    both = gt.withColumnRenamed("px", "gt").join(pred.withColumnRenamed("px", "pred"), ["name", "h", "w"])
-    return both.select(F.xxhash64("name").alias("img_id"), F.lit(method).alias("method"), F.lit(dataset).alias("dataset"), F.col("name").alias("class"), "h", "w", "pred", "gt")
+    both = settled(gt.withColumnRenamed("px", "gt").join(pred.select("name", F.col("h").alias("ph"), F.col("w").alias("pw"), F.col("px").alias("p")), "name"))
+    how = [F.col(c) for c in ("p", "ph", "pw", "h", "w")]
+    other = stencil.resize_nearest(*how) if nearest else F.transform(stencil.resize(*how, False), lambda v: F.floor(v + 0.5).cast("int"))
+    sized = F.when((F.col("ph") == F.col("h")) & (F.col("pw") == F.col("w")), F.col("p")).otherwise(other)
+    of = F.get(manifests.classes_in(F.col("name"), classes), F.lit(0)) if classes else F.lit(None).cast("string")
+    return both.select(F.xxhash64("name").alias("img_id"), F.lit(method).alias("method"), F.lit(dataset).alias("dataset"), of.alias("class"), "h", "w", sized.alias("pred"), "gt")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

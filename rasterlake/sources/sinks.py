@@ -20,8 +20,21 @@ def write_report(report: DataFrame, path: str, dataset: str = "dataset") -> None
     report.write.mode("overwrite").partitionBy(dataset).option("header", True).csv(path)
 
 
+def write_report_texts(report: DataFrame, root: str, dataset: str = "dataset") -> None:
+    """The text table of each dataset in ``<root>/<dataset>_eval.txt``, by Spark's own file system; a null dataset is ``null``."""
+    spark = report.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in sorted({str(r[0]) for r in report.select(F.coalesce(dataset, F.lit("null"))).distinct().collect()}):
+        at = path(f"{root.rstrip('/')}/{name}_eval.txt")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(bytearray((report_text(report.where(F.coalesce(dataset, F.lit("null")) == name)) + "\n").encode()))
+        finally:
+            out.close()
+
+
 def report_text(report: DataFrame) -> str:
-    """The report as a table of text. It is collected: a report has one row for each dataset and method."""
-    rows = [report.columns, *([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in report.collect())]
+    """The report as a table of text, in order of its first columns. It is collected: a report has one row for each dataset and method."""
+    rows = [report.columns, *sorted([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in report.collect())]
     width = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
     return "\n".join("| " + " | ".join(c.ljust(n) for c, n in zip(r, width, strict=True)) + " |" for r in rows)
