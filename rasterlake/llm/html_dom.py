@@ -116,7 +116,7 @@ def parse(html: str | None) -> Node:
     runs: list[str] = []
     linked: list[str] = []
     inline: list[str] = []
-    links = 0
+    links = formulas = 0
 
     def flush() -> None:
         nonlocal runs, linked
@@ -154,14 +154,19 @@ def parse(html: str | None) -> Node:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1]:
+            if m[1] is not None and formulas:
                 runs.append(m[1].replace("&", "&amp;"))
+            elif m[1] is not None:  # elsewhere it is a comment that ends with its first >
+                gt = html.find(">", m.start())
+                at = end if gt < 0 else gt + 1
             continue
         tag = tag.lower()
         if m[2]:
             if tag in INLINE:
                 if tag == "a" and links:
                     links -= 1
+                elif tag == "math" and formulas:
+                    formulas -= 1
                 continue
             if tag == "br":
                 runs.append(" ")
@@ -183,6 +188,8 @@ def parse(html: str | None) -> Node:
         if tag in INLINE:
             if tag == "a":
                 links = 1  # links do not nest
+            elif tag == "math" and not m[4].endswith("/"):
+                formulas += 1
             continue
         if tag in RAW:
             at = _after_raw(html, tag, at, unclosed)

@@ -7,17 +7,23 @@ The trees are trained here, on pages that ``page_maker`` makes with known main t
 
 from __future__ import annotations
 
+import hashlib
+import io
 import random
 import re
+import uuid
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import table
+from rasterlake.llm import html_dom
+from rasterlake.llm.common import shared_dir, table
 from rasterlake.llm.html_dom import Node, parse
 
 #: Attribute tokens and tags that speak for or against main text, in groups.
@@ -187,6 +193,20 @@ class BoostedTrees:
             score += self.value[t][node]
         return self
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, bias=self.bias, feature=self.feature, cut=self.cut, value=self.value, cuts=np.concatenate(self.cuts), sizes=[len(c) for c in self.cuts])
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> BoostedTrees:
+        with np.load(io.BytesIO(raw)) as z:
+            trees, inner = z["feature"].shape
+            out = cls(trees, (inner + 1).bit_length() - 1)
+            out.bias, out.feature, out.cut, out.value = float(z["bias"]), z["feature"], z["cut"], z["value"]
+            out.cuts = np.split(z["cuts"], np.cumsum(z["sizes"])[:-1])
+        return out
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], axis=1).astype(np.uint8)
 
@@ -356,14 +376,33 @@ def trained(pages: int = 1000, seed: int = 1) -> BoostedTrees:
     return BoostedTrees().fit(np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made]))
 
 
+@cache
+def _kept(folder: str) -> BoostedTrees:
+    """The model from the shared folder, fitted and written there by the first session that needs it."""
+    code = hashlib.sha256(b"".join(Path(m).read_bytes() for m in (__file__, html_dom.__file__))).hexdigest()[:24]
+    disk, at = fs.FileSystem.from_uri(folder)
+    path = f"{at}/html-trees-{code}.npz"
+    if disk.get_file_info(path).is_file:
+        with disk.open_input_stream(path) as f:
+            return BoostedTrees.load(f.read())
+    model = trained()
+    disk.create_dir(at)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with disk.open_output_stream(part) as f:
+        f.write(model.dump())
+    disk.move(part, path)  # whole or not at all
+    return model
+
+
 def extract_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None, model: BoostedTrees | None = None) -> DataFrame:
     """Adds ``text``, the main text of each page, and ``n_chars``, its code points.
 
     Null or empty html, and pages without main text, give an empty text. Every row gives one row; input columns
     named like an output are dropped. One narrow pass without a shuffle; the trees (some 20 KB) go with the
-    tasks, and a task holds the nodes of 64 pages at a time.
+    tasks, and a task holds the nodes of 64 pages at a time. Unless ``model`` is given, the trees are those that the first session
+    fitted and left in the shared folder.
     """
-    model = model or trained()
+    model = model or _kept(shared_dir(pages.sparkSession))
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
     source = pages.select(*kept, pages[html].alias("__html"))
     fields = source.schema.fields[:-1]
@@ -379,4 +418,5 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: list[str] | None =
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``; see ``extract_pages`` for null, empty and damaged html and repeated rows."""
     return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])

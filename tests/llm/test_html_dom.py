@@ -50,3 +50,33 @@ def test_damaged_markup_takes_linear_time(piece):
     began = time.process_time()
     parse(piece * 20_000)
     assert time.process_time() - began < 5
+
+
+def test_character_data_is_text_in_formulas_alone():
+    assert _texts("<p>a<![CDATA[hidden]]>b</p><p>c</p>") == ["ab", "c"]
+    assert _texts("<p>a<![CDATA[x > y]]>b</p>") == ["a y]]>b"]
+    assert _texts("<p><math><mi><![CDATA[x > y]]></mi></math>b</p><p>a<![CDATA[z]]>") == ["x > yb", "a"]
+    assert _texts("<p>a<![CDATA[z") == ["a"]
+
+
+def test_model_is_kept_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    model = html_extract.trained()
+    again = html_extract.BoostedTrees.load(model.dump())
+    pages = [html_extract.page_maker(70_000_000 + k)[0] for k in range(20)]
+    assert html_extract.extract(pages, again) == html_extract.extract(pages, model)
+    folder = f"file://{tmp_path}/shared"
+    html_extract._kept.cache_clear()
+    html_extract._kept(folder)
+    assert len(list((tmp_path / "shared").iterdir())) == 1
+    html_extract._kept.cache_clear()
+    monkeypatch.setattr(html_extract, "trained", lambda: 1 / 0)
+    assert html_extract.extract(pages, html_extract._kept(folder)) == html_extract.extract(pages, model)
+    html_extract._kept.cache_clear()
+
+
+def test_repeated_and_very_long_pages(spark):
+    body = "<p>" + "Some words of a long article, and more. " * 20_000 + "</p>"
+    rows = [(1, f"<html><body><article>{body}</article></body></html>", "u", 1), (2, "<p>One line of text, said twice.</p>", "u", 2), (2, "<p>One line of text, said twice.</p>", "u", 2)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, html string, url string, n_chars int")).collect()
+    assert [r.n_chars for r in sorted(got, key=lambda r: r.page_id)][0] == len(" ".join(("Some words of a long article, and more. " * 20_000).split()))
+    assert len({r.text for r in got if r.page_id == 2}) == 1 and len(got) == 3
