@@ -151,9 +151,10 @@ def write_digests(spark: SparkSession) -> None:
 
 def _rules(notice: str = COPYRIGHT_LINE) -> list[tuple[str, str]]:
     """Patterns and what replaces them, in order, on lower-case text. Java and RE2 read all but ``NOTICE`` alike."""
-    plain = [(notice, "\n"), (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")]
-    # A word boundary is a blank here; each rule runs on text with a blank at either end.
-    return [*plain, *((f" {a} ", f" {b} ") for a, b in SAME_SPELLING)]
+    plain = [(notice, "\n"), (r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  ")]
+    # A word boundary is a blank here, and there are two between words, so that neighbours do not share one; they become one at the end.
+    wide = lambda w: " " + w.replace(" ", "  ") + " "
+    return [*plain, *((wide(a), wide(b)) for a, b in SAME_SPELLING), ("  ", " ")]
 
 
 def canonical(text: Column) -> Column:
@@ -168,7 +169,7 @@ def canonical(text: Column) -> Column:
 def canonical_sql(text: str) -> str:
     """The same in DuckDB, but for copyright notices: there, whole lines go (``COPYRIGHT_LINE``)."""
     (line, nl), (marks, blank), *words = _rules()
-    c = f"' ' || regexp_replace(regexp_replace(lower({text}), '{line}', chr(10), 'g'), '{marks}', ' ', 'g') || ' '"
+    c = f"' ' || regexp_replace(regexp_replace(lower({text}), '{line}', chr(10), 'g'), '{marks}', '{blank}', 'g') || ' '"
     for a, b in words:
         c = f"replace({c}, '{a}', '{b}')"
     return f"trim({c})"

@@ -73,3 +73,23 @@ def test_titles_bullets_and_letters(names):
     made += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, Foo\n\n{f(two)}") for f in (str, stars)]
     made += [("Zlib", f"zlib License\n\n(C) 2020 Foo\n\n{zlib}"), ("0BSD", f"BSD Zero Clause License\n\nCopyright (C) 2020 by Foo <a@b.org>\n\n{zero}")]
     assert names([t for _, t in made]) == [k for k, _ in made]
+
+
+def test_neighbouring_spellings_ties_and_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "licence licence whilst wilful sub license sub license licence", "a"), (2, "license, license while willful sublicense sublicense license", "a"), (3, "word " * 400_000, "b"), (3, "word " * 400_000, "b"), (4, licenses.KNOWN_TEXTS[1][1], "c"), (4, licenses.KNOWN_TEXTS[1][1], "c")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, digest string").withColumn("canon_chars", F.lit("x"))
+    got = licenses.scan_licenses(df).collect()
+    by = {k: [r for r in got if r.doc_id == k] for k in (1, 2, 3, 4)}
+    assert by[1][0].digest == by[2][0].digest and by[1][0].canon_chars == len("license license while willful sublicense sublicense license")
+    assert len(by[3]) == 2 and {r.canon_chars for r in by[3]} == {1_999_999} and {r.license for r in by[4]} == {"MIT"} and len(by[4]) == 2
+    known = spark.createDataFrame([(by[1][0].digest, "Z"), (by[1][0].digest, "A"), (None, "N")], "digest string, license string")
+    assert [r.license for r in licenses.scan_licenses(df, known).orderBy("doc_id").collect()] == ["A", "A", None, None, None, None]
+
+
+def test_clauses_that_begin_like_notices_stay(spark):
+    mit = licenses.KNOWN_TEXTS[1][1]
+    rows = [(1, mit + "\n\n(c) Licensee must pay a fee."), (2, mit + "\n\nCopyrighted uses require payment."), (3, "(c) 2020 A Holder\n\n" + mit), (4, mit.replace("subject to", "(c) subject to"))]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1] is None and got[2] is None and got[3] == "MIT"
