@@ -37,3 +37,21 @@ def test_query_writes_files(spark):
     before = set(folder.rglob("*.wacz"))
     rows = warc.op3_warc(spark, "/root/testdata/sf0.001").count()
     assert rows == 50 and set(folder.rglob("*.wacz")) - before
+
+
+def test_long_payloads_and_many_repeats(spark):
+    from rasterlake.llm import warc
+    from pyspark.sql import functions as F
+
+    long = "<p>" + "wörter " * 400_000
+    rows = [(1, "u", long), (2, "u", long), (3, "u", None)] + [(10 + k, f"u{k}", "x" * 1000) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).withColumn("digest", F.lit("d")).withColumn("keep", F.lit(1))
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages, package_bytes=20_000)).collect()}
+    assert len(got) == 303 and got[2].record_type == "response" and got[1].refers_to == 2 and got[1].payload_bytes == len(long.encode())
+    assert [k for k in range(10, 310) if got[k].record_type == "response"] == [309] and {got[k].refers_to for k in range(10, 309)} == {309}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert again == {k: (r.record_type, r.refers_to) for k, r in got.items()}
