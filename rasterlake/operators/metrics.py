@@ -225,9 +225,12 @@ def distance(df: DataFrame) -> DataFrame:
     return df.select("img_id", "g", "h", "w").mapInPandas(run, f"img_id {dict(df.dtypes)['img_id']}, pos long, d2 long, ny long, nx long")
 
 
-def overlaps(df: DataFrame) -> DataFrame:
-    """Dice loss and soft IoU on values over 255 as they come (not prepared); an IoU of nothing over nothing is NULL. Narrow."""
-    p, g = F.transform("pred", lambda v: v / F.lit(255.0)), F.transform("gt", lambda v: v / F.lit(255.0))
+def overlaps(df: DataFrame, top: float = 255.0) -> DataFrame:
+    """Dice loss and soft IoU on values over ``top`` and not prepared; an IoU of nothing over nothing is NULL. Narrow.
+
+    Both are meant for values from 0 to 1: rasters of bytes are divided by 255 here, which is a choice; ``top=1`` takes values as they come.
+    """
+    p, g = F.transform("pred", lambda v: v / F.lit(top)), F.transform("gt", lambda v: v / F.lit(top))
     df = df.withColumn("i", total(F.zip_with(p, g, lambda a, b: a * b))).withColumn("sp", total(p)).withColumn("sg", total(g))
     return df.select(*KEYS, F.expr("1 - 2 * (i + 1) / (sp + sg + 1)").alias("dice_loss"), F.expr("i / nullif(sg + sp - i, 0)").alias("iou"))
 
