@@ -80,3 +80,20 @@ def test_repeated_and_very_long_pages(spark):
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, html string, url string, n_chars int")).collect()
     assert [r.n_chars for r in sorted(got, key=lambda r: r.page_id)][0] == len(" ".join(("Some words of a long article, and more. " * 20_000).split()))
     assert len({r.text for r in got if r.page_id == 2}) == 1 and len(got) == 3
+
+
+LAYOUTS = {
+    "article": '<html><body><header><h1>Daily Post</h1><nav>{nav}</nav></header><main><article><h1>Flood in the valley</h1>{ps}</article></main><aside><h3>Related</h3>{nav}</aside><footer><p>Copyright 2024 Daily Post. All rights reserved.</p></footer></body></html>',
+    "divisions": '<html><body><div id="header"><div class="logo"><a href="/">Daily Post</a></div><div class="menu">{nav}</div></div><div id="wrapper"><div class="post-content"><h1>Flood in the valley</h1>{ps}</div><div id="sidebar"><h3>Popular</h3>{nav}</div></div><div id="footer"><p>Copyright 2024 Daily Post.</p><a href="/p">Privacy</a></div></body></html>',
+    "table": '<html><body><table><tr><td class="nav">{nav}</td><td class="content"><h1>Flood in the valley</h1>{ps}</td></tr></table><div class="footer">Copyright 2024</div></body></html>',
+    "comments": '<html><body><nav>{nav}</nav><div class="entry"><h1>Flood in the valley</h1>{ps}</div><div class="newsletter"><h3>Sign up</h3><p>Get our letter every morning.</p><form><input><button>Go</button></form></div><div id="comments"><h2>2 comments</h2><div class="comment"><b>Ann</b><p>I saw it from my window, it was frightening.</p></div><div class="comment"><b>Bob</b><p>We should build higher walls.</p></div></div><footer>Copyright</footer></body></html>',
+    "section": '<html><body><div class="cookie-banner"><p>We use cookies to make this site better. Read our policy.</p><button>Accept</button></div><section class="story"><h1>Flood in the valley</h1>{ps}<div class="ad">Buy boots now, half price!</div></section><section class="related"><h2>More stories</h2>{nav}</section></body></html>',
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_layouts_written_by_hand(name):
+    said = ["The river rose during the night, and by morning the lower fields were under water.", "Farmers moved their animals to the hills, where the ground was dry, and waited for news from the town.", "Nobody was hurt, the mayor said on Tuesday, but the damage to roads and bridges will take months to repair."]
+    nav = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
+    page = LAYOUTS[name].format(nav=nav, ps="".join(f"<p>{p}</p>" for p in said))
+    assert html_extract.extract([page], html_extract.trained()) == ["\n\n".join(["Flood in the valley", *said])]
