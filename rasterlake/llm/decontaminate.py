@@ -19,7 +19,6 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,29 +34,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def word_keys(ws: list[bytes]) -> np.ndarray:
-    """64-bit names of words."""
-    return np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
-
-
-class _WordHashes(dict):
-    """Hashes of words; forgets them when too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 class ItemAutomaton:
     """Generalised suffix automaton over the words of items, in flat arrays.
 
     A window is ``window`` consecutive words of an item, or all of a shorter one. Words are numbered by their place in
-    the sorted ``vocab`` of 64-bit names, from one. A state is four integers (``link``, ``length``; ``anchor``, the state of the window that
+    ``vocab`` (the words with blanks between), from one. A state is four integers (``link``, ``length``; ``anchor``, the state of the window that
     is a suffix of what the state holds; ``short_at``, the nearest state along the links in which a short item ends), and its
     transitions are a run of ``edge_key`` (state and word) and ``edge_to``. There are at most two states and three
     transitions for each word of the items. ``held`` and ``held_items`` list, for states that hold a whole window or short item, its items.
@@ -69,6 +50,7 @@ class ItemAutomaton:
         self.window, self.names, self.arrays = window, names, arrays
         for name, value in arrays.items():
             setattr(self, name, value)
+        self.number = {w: k for k, w in enumerate(arrays["vocab"].tobytes().split(), 1)}
         self._key = array("q", arrays["edge_key"].astype(np.int64).tobytes())
         self._to, self._link, self._length, self._anchor, self._short = (array("i", arrays[c].astype(np.int32).tobytes()) for c in ("edge_to", "link", "length", "anchor", "short_at"))
         self.of_state: dict[int, list[tuple[int, int]]] = {}
@@ -82,9 +64,9 @@ class ItemAutomaton:
         items = [(i, ws) for i, ws in items if ws]
         names = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(names)}
-        keys = [word_keys(ws) for _, ws in items]
-        vocab = np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
-        texts = [(number[i], (np.searchsorted(vocab, k) + 1).tolist()) for (i, _), k in zip(items, keys, strict=True)]
+        vocab = sorted({w for _, ws in items for w in ws})
+        of_word = {w: k for k, w in enumerate(vocab, 1)}
+        texts = [(number[i], [of_word[w] for w in ws]) for i, ws in items]
         grow = _Growing()
         for _, ids in texts:
             last = 0
@@ -114,7 +96,7 @@ class ItemAutomaton:
         triples = np.array(sorted(held), dtype=np.int64).reshape(-1, 3)
         pairs = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(np.array(ids[:-1], dtype=np.int64) << 32 | np.array(ids[1:], dtype=np.int64) for _, ids in texts if len(ids) > 1)]))
         small = [np.array(x, dtype=np.int32) for x in (link, length, anchor, short_at)]
-        return cls(window, names, dict(zip(cls.FIELDS, [vocab, *small, edges[:, 0], edges[:, 1].astype(np.int32), *(triples[:, k].astype(np.int32) for k in range(3)), pairs], strict=True)))
+        return cls(window, names, dict(zip(cls.FIELDS, [np.frombuffer(b" ".join(vocab), dtype=np.uint8), *small, edges[:, 0], edges[:, 1].astype(np.int32), *(triples[:, k].astype(np.int32) for k in range(3)), pairs], strict=True)))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -128,23 +110,29 @@ class ItemAutomaton:
             names = z["names"].tobytes().decode("utf-8", "surrogatepass").split("\0") if len(arrays["held"]) else []
             return cls(int(z["window"]), names, arrays)
 
-    def scan(self, keys: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit spans (half-open, in words, disjoint, in order) of a text given by ``word_keys``, and the items whose windows occur."""
+    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit spans (half-open, in words, disjoint, in order) of a text given by ``words``, and the items whose windows occur."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        if not len(keys) or not len(self.vocab):
+        if not ws or not self.number:
+            return spans, set()
+        get = self.number.get
+        ids = np.array([get(w, 0) for w in ws], dtype=np.int64)
+        # Unknown words, and two words side by side that no item has side by side, part the text: no window reaches over them.
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
+        long = edge.reshape(-1, 2)[edge[1::2] - edge[::2] >= self.least]
+        if not len(long):
             return spans, set()
-        at = np.minimum(np.searchsorted(self.vocab, keys), len(self.vocab) - 1)
-        ids = np.where(self.vocab[at] == keys, at + 1, 0)
-        # Two words side by side that no item has side by side part the text: no window reaches over them.
-        both = ids[:-1] << 32 | ids[1:]
+        at = np.concatenate([np.arange(a, b) for a, b in long.tolist()])
+        both = ids[at[:-1]] << 32 | ids[at[1:]]
         joined = self.pairs[np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)] == both if len(self.pairs) else np.zeros(len(both), dtype=bool)
-        starts = np.flatnonzero(np.concatenate(([True], ~joined)))
-        ends = np.append(starts[1:], len(ids))
-        keep = (ends - starts >= self.least) & (ids[starts] > 0)
+        first = np.flatnonzero(np.concatenate(([True], ~joined | (np.diff(at) != 1))))
+        sizes = np.diff(np.append(first, len(at)))
+        keep = sizes >= self.least
+        starts, ends = at[first[keep]], at[first[keep]] + sizes[keep]
         key, to, link, length, anchors, shorts, of_state, window = self._key, self._to, self._link, self._length, self._anchor, self._short, self.of_state, self.window
         last = len(key) - 1
-        for begin, end in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
+        for begin, end in zip(starts.tolist(), ends.tolist(), strict=True):
             state = depth = 0
             for at, c in enumerate(ids[begin:end].tolist(), begin):
                 want = state << 32 | c
@@ -302,18 +290,18 @@ def decontaminate(
 
     def scan_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.num_columns - 1)
-        keys = [word_keys(words(t.as_py())) for t in texts]
-        spans: list[list[tuple[int, int]]] = [[] for _ in keys]
-        found: list[set[str]] = [set() for _ in keys]
+        read = [words(t.as_py()) for t in texts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in read]
+        found: list[set[str]] = [set() for _ in read]
         for path in paths:
             auto = _automaton(path, held)
-            for k, ws in enumerate(keys):
+            for k, ws in enumerate(read):
                 here, items = auto.scan(ws)
                 if here:
                     spans[k] = merge_spans(spans[k], here)
                     found[k] |= items
         columns = {
-            "n_words": [len(ws) for ws in keys], "n_hit": [sum(b - a for a, b in s) for s in spans], "spans": [[{"begin": a, "end": b} for a, b in s] for s in spans],
+            "n_words": [len(ws) for ws in read], "n_hit": [sum(b - a for a, b in s) for s in spans], "spans": [[{"begin": a, "end": b} for a, b in s] for s in spans],
             "items": [sorted(f) for f in found], "clean_text": [cut_spans(t.as_py(), s) for t, s in zip(texts, spans, strict=True)] if cut else [],
         }
         return pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(columns[c], t) for c, _, t in out_types], [f.name for f in fields] + [c for c, _, _ in out_types])
