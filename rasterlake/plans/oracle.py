@@ -164,6 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "prepare_pixels": f"{_BASE} SELECT img_id, pos, round(p, 6) AS p, g FROM px",
     "mae_image": f"{_BASE} SELECT img_id, round(avg(abs(p - g)), 6) AS mae FROM px GROUP BY img_id",
     "mae_report": f"{_BASE} SELECT method, round(avg(mae), 6) AS mae, count(*) AS images FROM (SELECT img_id, method, avg(abs(p - g)) AS mae FROM px GROUP BY ALL) GROUP BY method",
+    "mae_stream": f"{_BASE} SELECT method, round(avg(mae), 6) AS mae, count(*) AS images FROM (SELECT img_id, method, avg(abs(p - g)) AS mae FROM px GROUP BY ALL) GROUP BY method",
     "fm_adaptive": f"{_BASE}{_ADAPTIVE} SELECT img_id, tp, ps, {_R6('adp_fm')} FROM ad",
     "em_adaptive": f"{_BASE}{_ADAPTIVE} SELECT img_id, {_R6('adp_em')} FROM ad",
     "pr_curve": f"{_BASE}{_CURVE} SELECT img_id, k, tp, ps, {_R6('precision', 'recall', 'fm')} FROM cv",

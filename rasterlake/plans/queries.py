@@ -12,6 +12,7 @@ from rasterlake.functions.once import settled
 from rasterlake.operators import manifests, metrics, stencil, training
 from rasterlake.sources import rasters as src
 from rasterlake.sources import sinks
+from rasterlake.streaming import evaluate
 
 #: Mean and deviation of three channels.
 IMAGENET = ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225])
@@ -460,3 +461,16 @@ def self_training(spark, sf):
 
     source = src.masks(spark, sf).select(F.concat(F.col("img_id").cast("string"), F.lit(".png")).alias("name"), F.lit("source").alias("origin"))
     return training.self_training(source, predict, f"{manifests.checkpoint_dir(spark)}/cycle-{uuid.uuid4().hex}", 2, 0.8, 0.4)
+
+
+@query
+def mae_stream(spark, sf):
+    """The means by method of a stream of raster pairs, all of it taken in; the stream is an extension."""
+    root = f"{manifests.checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = src.rasters(spark, sf)
+    pairs.repartition(4).write.parquet(f"{root}/in")
+    name = f"scores_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    run = evaluate.mae_stream(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("method", *_r("mae"), "images")
