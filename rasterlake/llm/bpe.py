@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterlake.llm.common import begin_task, holds, table
+
 #: The splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
@@ -216,6 +218,7 @@ class TokenAutomaton:
 
 
 _COMPILED: dict[str, TokenAutomaton] = {}
+holds("bpe", _COMPILED.clear)
 
 
 def automaton(spec: str) -> TokenAutomaton:
@@ -247,6 +250,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, text: str = "text", kee
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{c}` {t}" for c, t, _ in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("bpe")
         auto = automaton(spec.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -279,7 +283,5 @@ def default_tokenizer() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    from rasterlake.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     return encode_documents(docs, default_tokenizer(), keep=["doc_id"], outputs=("ids_sha256", "decoded_sha256"))

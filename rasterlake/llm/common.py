@@ -5,11 +5,29 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def holds(owner: str, release: Callable[[], object]) -> None:
+    """Say how to let go of what ``owner`` keeps in a worker process from one task to the next."""
+    _HELD[owner] = release
+
+
+def begin_task(owner: str) -> None:
+    """Called as a task of ``owner`` begins: its worker lets go of what other operators kept, so that caches of several do not add up."""
+    for other, release in _HELD.items():
+        if other != owner:
+            release()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

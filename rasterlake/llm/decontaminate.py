@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import materialize, shared_dir, table
+from rasterlake.llm.common import begin_task, holds, materialize, shared_dir, table
 
 #: Fixed values of the contract: words after lower-casing A-Z are runs of 0-9, a-z and everything beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -241,6 +241,7 @@ def build_automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "
 
 
 _LOADED: dict[str, ItemAutomaton] = {}
+holds("decontaminate", _LOADED.clear)
 
 
 def _automaton(path: str, held: int) -> ItemAutomaton:
@@ -280,6 +281,7 @@ def decontaminate(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{c} {t}" for c, t, _ in out_types])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("decontaminate")
         for batch in batches:
             # Long texts go in smaller batches, so that what a task holds is bounded by one text and some MB.
             sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)) // 16_000_000

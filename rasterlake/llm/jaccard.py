@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import connected_components, input_partitions, materialize, table
+from rasterlake.llm.common import begin_task, connected_components, holds, input_partitions, materialize, table
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +47,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+holds("jaccard", _HASHES.clear)
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -200,6 +201,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sizes and digests; and shingles that are in several sets of a window of this task, in rows of their own."""
+        begin_task("jaccard")
         names = ["key", *(f.name for f in extra), "n", "digest", "h", "c"]
         window: dict[bytes, np.ndarray] = {}
         held, rest_types = 0, [pa.null()] * (1 + len(extra))
@@ -275,6 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
                 rows_.append((g, False, sid[owner[new[i:j]]].tobytes(), lens[i:j].tobytes(), six[ends[i] : ends[j]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), _ROUTED, strict=True)], schema=_ROUTED)
 
+        begin_task("jaccard")
         for batch in batches:
             seen: dict[bytes, np.ndarray] = {}
             held = 0
@@ -291,6 +294,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the shingles dealt to this partition, those in two sets or more, by set."""
+        begin_task("jaccard")
         sids, lens, blobs, place = [], [], [], []
         for batch in batches:
             heads = batch.column(1)
@@ -339,6 +343,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets that share enough, with their shared shingles and the rare ones among the first."""
+        begin_task("jaccard")
         sids, sizes, head_of, packed, lens, digests = [], [], [], [], [], []
         for batch in batches:
             for head, s, m, b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
@@ -392,6 +397,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within each run of rows of one task; a row ends with its set, its size and keys, and what it is known to be joined to."""
+        begin_task("jaccard")
         now, run = None, []
         for batch in batches:
             for *task, sid, n, blob, known in zip(*(batch.column(x).to_pylist() for x in range(batch.num_columns)), strict=True):

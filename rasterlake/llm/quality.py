@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import materialize, table
+from rasterlake.llm.common import begin_task, materialize, table
 
 #: The classes of bytes whose shares are inputs.
 BYTE_CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n\r", b".", b",", b"!", b"?", b"|", b"#$%&*@~^", b"<>{}[]()=/\\_", b"\"'`;:-+"]
@@ -160,6 +160,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key
     texts = docs.select(docs[key].alias("__key"), docs[text].alias("__text")).join(F.broadcast(chosen), "__key").select("y", "__key", "__text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("quality")
         for batch in batches:
             x = [text_features(v.as_py()).tobytes() for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["y", "__key", "x"])
@@ -171,6 +172,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key
     fields = source.schema.fields[:-1]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("quality")
         for batch in batches:
             x = np.array([text_features(v.as_py()) for v in batch.column(batch.num_columns - 1)], dtype=np.float64).reshape(-1, N_FEATURES)
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
