@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, sharding, warc
+from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, resample, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_licenses": licenses.op9_licenses,
     "op10_chat": chat.op10_chat,
+    "op11_resample": resample.op11_resample,
 }
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op8_embeddings": embeddings.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_resample": resample.OP11_SQL,
 }
