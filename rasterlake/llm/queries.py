@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, resample, sharding, warc
+from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, resample, sanitise, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_chat": chat.op10_chat,
     "op11_resample": resample.op11_resample,
+    "op12_sanitise": sanitise.op12_sanitise,
 }
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_licenses": licenses.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
     "op11_resample": resample.OP11_SQL,
+    "op12_sanitise": sanitise.OP12_SQL,
 }
