@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, resample, sanitise, sharding, warc
+from rasterlake.llm import bpe, chat, decontaminate, embeddings, html_extract, jaccard, licenses, quality, repair, resample, sanitise, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_resample": resample.op11_resample,
     "op12_sanitise": sanitise.op12_sanitise,
+    "op13_repair": repair.op13_repair,
 }
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_chat": chat.OP10_SQL,
     "op11_resample": resample.OP11_SQL,
     "op12_sanitise": sanitise.OP12_SQL,
+    "op13_repair": repair.OP13_SQL,
 }
