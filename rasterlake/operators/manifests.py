@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterlake.sources import catalogue
+
 
 def has_suffix(path: Column, *suffixes: str) -> Column:
     out = F.lit(False)
@@ -114,10 +116,16 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str, iteration: int) -> str:
-    """Replace the snapshot of an iteration, and give its path."""
-    path = f"{root.rstrip('/')}/iteration={iteration}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    """Replace the snapshot of an iteration, and give its path.
+
+    The new files are published once they are complete: a job that dies leaves the former snapshot, and readers of it keep its files.
+    """
+    return catalogue.publish(df, root, f"iteration={iteration}")
+
+
+def read_snapshot(spark: SparkSession, root: str, iteration: int, as_of: int | None = None) -> DataFrame:
+    """The snapshot of an iteration, as published last or up to a version of the catalogue; an error if there is none."""
+    return catalogue.load(spark, root, f"iteration={iteration}", as_of=as_of)
 
 
 def append_log(df: DataFrame, path: str) -> None:

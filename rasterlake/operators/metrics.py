@@ -250,13 +250,13 @@ def raw_mae(df: DataFrame, eps: float = 1e-8) -> DataFrame:
     return df.withColumn("mae", total(F.zip_with(p, g, lambda a, b: F.abs(a - b))) / F.size("pred"))
 
 
-def scored(df: DataFrame) -> DataFrame:
-    """Every score that one prepared image has on its own, and its threshold counts ``ps`` and ``tp``: one pass, no shuffle."""
+def scored(df: DataFrame, *more: str) -> DataFrame:
+    """Every score that one prepared image has on its own, and its threshold counts ``ps`` and ``tp``, beside its keys and ``more`` columns: one pass, no shuffle."""
 
     def score(p: np.ndarray, g: np.ndarray) -> tuple:
         return weighted_f(p, g), structure_parts(p, g)[2], *thresholds(p, g)
 
-    return per_image(with_adaptive(with_mae(df)), [*KEYS, "n", "f", "mae", "adp_fm", "adp_em"], {"wfm": "double", "sm": "double", "ps": "array<long>", "tp": "array<long>"}, score)
+    return per_image(with_adaptive(with_mae(df)), [*dict.fromkeys([*KEYS, *more]), "n", "f", "mae", "adp_fm", "adp_em"], {"wfm": "double", "sm": "double", "ps": "array<long>", "tp": "array<long>"}, score)
 
 
 IMAGE_SCORES = ["sm", "wfm", "mae", "adp_em", "adp_fm"]
@@ -271,10 +271,30 @@ def _nine() -> list[Column]:
     return [*(F.max(c).alias(c) for c in IMAGE_SCORES), F.avg("em").alias("mean_em"), F.max("em").alias("max_em"), F.avg("fm").alias("mean_fm"), F.max("fm").alias("max_fm")]
 
 
+def partial_sums(rows: DataFrame, *by: str) -> DataFrame:
+    """What a report needs of ``scored`` images, in a form that adds up: for each group, 256 rows of counts and sums of both curves, and at the first threshold those of the five scores."""
+    curve = curve_rows(rows, *dict.fromkeys([*KEYS, *by]), *IMAGE_SCORES)
+    first = [F.sum(F.when(F.col("k") == 0, F.col(c))).alias(c) for c in IMAGE_SCORES] + [F.count(F.when(F.col("k") == 0, F.col(c))).alias(f"n_{c}") for c in IMAGE_SCORES]
+    return curve.groupBy(*by, "k").agg(*first, *[F.sum(c).alias(c) for c in ("fm", "em")], F.count("*").alias("images"))
+
+
+def added(parts: DataFrame, *by: str) -> DataFrame:
+    """Any number of ``partial_sums`` as one."""
+    names = [*IMAGE_SCORES, *[f"n_{c}" for c in IMAGE_SCORES], "fm", "em", "images"]
+    return parts.groupBy(*by, "k").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def merged_report(parts: DataFrame, *by: str) -> DataFrame:
+    """The report from any number of ``partial_sums``, in any order."""
+    whole = added(parts, *by)
+    means = [F.try_divide(c, f"n_{c}").alias(c) for c in IMAGE_SCORES] + [F.try_divide(c, "images").alias(c) for c in ("fm", "em")]
+    return whole.select(*by, "k", *means).groupBy(*by).agg(*_nine()).select(*by, *[F.bround(c, 4).alias(c) for c in SCORES])
+
+
 def report_sets(df: DataFrame, *sets: list[str]) -> DataFrame:
     """The reports of several groupings from one pass over pixels; columns that a grouping leaves out are NULL."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    rows = curve_rows(scored(df), *dict.fromkeys([*KEYS, *keys]), *IMAGE_SCORES)
+    rows = curve_rows(scored(df, *keys), *dict.fromkeys([*KEYS, *keys]), *IMAGE_SCORES)
     curve = rows.groupingSets([[F.col(c) for c in (*s, "k")] for s in sets], *keys, "k").agg(F.grouping_id().alias("__set"), *_means())
     return curve.groupBy("__set", *keys).agg(*_nine()).select(*keys, *[F.bround(c, 4).alias(c) for c in SCORES])
 
@@ -285,5 +305,5 @@ def report(df: DataFrame, *by: str) -> DataFrame:
     Maxima and means of curves are taken over the mean curve of the group, and every image counts the same. Pixels are read in
     one narrow pass; the shuffle carries 256 rows for each group and task. A null group is a group.
     """
-    rows = curve_rows(scored(df), *dict.fromkeys([*KEYS, *by]), *IMAGE_SCORES)
+    rows = curve_rows(scored(df, *by), *dict.fromkeys([*KEYS, *by]), *IMAGE_SCORES)
     return rows.groupBy(*by, "k").agg(*_means()).groupBy(*by).agg(*_nine()).select(*by, *[F.bround(c, 4).alias(c) for c in SCORES])

@@ -237,6 +237,13 @@ ORACLE_SQL: dict[str, str] = {
     "task_settings": """SELECT * FROM (VALUES (0, 'C2C', 'SINet'), (1, 'S2C', 'SINet'), (2, 'S2C', 'SINet-v2'), (3, 'S2C', 'SINet'), (4, 'C2C', 'SINet-v2')) r(run, task, network),
         LATERAL (SELECT unnest(['epoch', 'batchsize', 'decay_epoch', 'alpha', 'u', 'tau', 'a', 'b', 'c']) AS name, unnest([CASE WHEN network = 'SINet' THEN 40 ELSE 100 END, CASE WHEN network = 'SINet' THEN 16 ELSE 32 END, CASE WHEN network = 'SINet' THEN 30 ELSE 50 END,
           CASE task WHEN 'S2C' THEN 0.996 ELSE 0.9996 END, CASE WHEN run = 3 THEN 0.9 WHEN task = 'S2C' THEN 0.8 ELSE 1 END, CASE WHEN run = 4 THEN 0.6 WHEN task = 'S2C' THEN 0.4 ELSE 0.5 END, CASE task WHEN 'S2C' THEN 0.9 ELSE 0.7 END, 0.3, 0.5]::DOUBLE[]) AS value)""",
+    "eval_stream": _report("dataset, method"),
+    "snapshot_versions": """SELECT doc_id AS img_id, 'GT/' || doc_id || '.png' AS path, quality, seen FROM labels JOIN (VALUES (1, 'before'), (0, 'after'), (1, 'as of 1')) t(q, seen) ON q = quality""",
+    "checkpoint_catalogue": """WITH e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+        b AS (SELECT *, abs(w[1]) < min(abs(w[1])) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS better FROM e),
+        s AS (SELECT run, 'epoch_' || k AS name, k FROM e WHERE k % 10 = 0 OR k > 45 UNION ALL SELECT run, 'best', max(k) FROM b WHERE better AND run % 2 = 1 GROUP BY run),
+        c AS (SELECT run, name, k, row_number() OVER (PARTITION BY run ORDER BY r) AS place FROM s JOIN (VALUES ('best', 1), ('epoch_50', 2), ('epoch_10', 3)) t(name, r) USING (name))
+        SELECT run, name, k - 1 AS epoch, unnest(range(0, len(w))) AS pos, round(unnest(w), 6) AS w FROM c JOIN e USING (run, k) WHERE place = 1""",
     "snapshot_copy": "SELECT doc_id AS img_id, 'GT/' || doc_id || '.png' AS path, quality FROM labels",
     "report_sink": "SELECT dataset, method, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("sm", "wfm", "mae", "adp_em", "mean_em", "max_em", "adp_fm", "mean_fm", "max_fm")) + f" FROM ({_report('dataset, method')})",
     "log_sink": "SELECT CAST(epoch AS INTEGER) AS epoch, event_id AS step, round(value * epoch, 6) AS loss FROM events, (VALUES (1), (2)) t(epoch) WHERE event_id % 10 = 0",

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions.once import settled
 from rasterlake.operators import manifests, metrics, stencil, training
+from rasterlake.sources import catalogue, sinks
 from rasterlake.sources import rasters as src
-from rasterlake.sources import sinks
 from rasterlake.streaming import evaluate
 
 #: Mean and deviation of three channels.
@@ -422,10 +422,38 @@ def snapshot_copy(spark, sf):
     """A snapshot of the source that replaces an older one of the same iteration."""
     root = f"{manifests.checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     masks = src.masks(spark, sf)
-    manifests.write_snapshot(masks.limit(3), root, 2)
+    manifests.write_snapshot(masks.where("quality = 1"), root, 2)
     return spark.read.parquet(manifests.write_snapshot(masks, root, 2))
 
 
+@query
+def snapshot_versions(spark, sf):
+    """The same iteration before and after it was replaced: readers of the older version keep its files."""
+    root = f"{manifests.checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    masks = src.masks(spark, sf)
+    manifests.write_snapshot(masks.where("quality = 1"), root, 2)
+    old = manifests.read_snapshot(spark, root, 2)
+    manifests.write_snapshot(masks.where("quality = 0"), root, 2)
+    new, again = manifests.read_snapshot(spark, root, 2), manifests.read_snapshot(spark, root, 2, as_of=1)
+    return old.withColumn("seen", F.lit("before")).union(new.withColumn("seen", F.lit("after"))).union(again.withColumn("seen", F.lit("as of 1")))
+
+
+@query
+def checkpoint_catalogue(spark, sf):
+    """What training saves of each run (a run is a class, its epochs the vectors, its error the size of their first element), published, and loaded again: the best, else the fiftieth epoch, else the tenth."""
+    order = Window.partitionBy("run").orderBy("vec_id")
+    v = src.table(spark, sf, "embeddings").select(F.col("label").alias("run"), "vec_id", F.col("embedding").cast("array<double>").alias("weights"))
+    epochs = v.withColumn("epoch", F.row_number().over(order) - 1).withColumn("error", F.abs(F.get("weights", F.lit(0))))
+    # Runs with an even number get no best, so that the others of the candidates are needed.
+    saved = catalogue.due(epochs, "run", "epoch", "error", every=10, all_after=45).where("run % 2 = 1 OR name <> 'best'")
+    root = f"{manifests.checkpoint_dir(spark)}/checkpoints-{uuid.uuid4().hex}"
+    catalogue.publish(saved.join(epochs.select("run", "epoch", "weights"), ["run", "epoch"]), root, "checkpoints")
+    have = catalogue.load(spark, root, "checkpoints")
+    chosen = catalogue.first_available(epochs, have, "run", ["best", "epoch_50", "epoch_10"])
+    rows = have.join(chosen, ["run", "name"]).select("run", "name", F.col("epoch").cast("long").alias("epoch"), F.posexplode("weights").alias("pos", "w"))
+    return rows.select("run", "name", "epoch", F.col("pos").cast("long").alias("pos"), *_r("w"))
+
+
 @query
 def report_sink(spark, sf):
     """The lines of the text report of each dataset, as the file has them."""
@@ -474,3 +502,17 @@ def mae_stream(spark, sf):
     run = evaluate.mae_stream(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("method", *_r("mae"), "images")
+
+
+@query
+def eval_stream(spark, sf):
+    """The report by dataset and method from a stream that stops midway, starts again and brings a third of its images twice."""
+    root = f"{manifests.checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = src.rasters(spark, sf)
+    take = lambda: evaluate.accumulate(spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"), f"{root}/scores", "dataset", "method", availableNow=True)
+    pairs.where("img_id % 3 < 2").write.parquet(f"{root}/in")
+    take().awaitTermination()
+    pairs.where("img_id % 3 > 0").write.mode("append").parquet(f"{root}/in")
+    take().awaitTermination()
+    evaluate.compact(spark, f"{root}/scores", "dataset", "method")
+    return evaluate.results(spark, f"{root}/scores", "dataset", "method")
