@@ -26,11 +26,9 @@ def accumulate(pairs: DataFrame, root: str, *by: str, ids: list[str] | None = No
     ``trigger`` is passed on (``availableNow=True``, ``processingTime="1 minute"``).
     """
     ids = IDS if ids is None else ids
-    if event_time is not None:
-        pairs = pairs.withWatermark(event_time, delay)
     scored = metrics.scored(metrics.prepare(pairs), *dict.fromkeys([*ids, *by, *([event_time] if event_time else [])]))
     # Scores travel, pixels do not: an image of any size is 512 counts here.
-    first = scored.dropDuplicatesWithinWatermark(ids) if event_time else scored.dropDuplicates(ids)
+    first = scored.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(ids) if event_time else scored.dropDuplicates(ids)
 
     def add(batch: DataFrame, number: int) -> None:
         catalogue.publish(metrics.partial_sums(batch, *by), root, f"batch={number}")
