@@ -11,12 +11,13 @@ any length is spread over tasks; only its audit and its repaired turns, which ar
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.functions.once import bound
+from rasterlake.functions.once import bound, settled
 from rasterlake.llm.common import materialize, table
 
 #: The machine: from nothing (0), after a system turn (1), a user turn (2), an assistant turn (3). It may stop at 0 and 3.
@@ -131,8 +132,13 @@ def _transfer(symbols: pd.Series) -> pd.Series:
     return symbols.map(lambda s: known.setdefault(s, [dict(zip(fields, t, strict=True)) for t in transfer(s)]) if s not in known else known[s])
 
 
-def _fold(pieces: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([fold([[(t["entry"], t["exit"], t["cost"], t["rank"], t["audit"]) for t in piece] for piece in p]) for p in pieces], columns=["cost", "audit"])
+def _fold(transfers: pd.Series) -> pd.DataFrame:
+    """Transfers of all pieces of a conversation in one array, with the number of the piece: arrays of arrays of different lengths do not become pandas values."""
+    out = []
+    for conversation in transfers:
+        pieces = groupby(conversation, key=lambda t: t["piece"])
+        out.append(fold([[(t["entry"], t["exit"], t["cost"], t["rank"], t["audit"]) for t in piece] for _, piece in pieces]))
+    return pd.DataFrame(out, columns=["cost", "audit"])
 
 
 def _layout(audit: pd.Series, initials: pd.Series) -> pd.DataFrame:
@@ -179,9 +185,13 @@ def audits(told: DataFrame) -> DataFrame:
     # A turn that two pieces share counts once.
     distinct = bound(known, lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x["turns"]) - shared(n))
     span = F.array_max(F.transform("n", lambda x: x["high"])) - F.array_min(F.transform("n", lambda x: x["low"])) + 1
+    numbered = lambda t, i: F.struct(i.alias("piece"), *[t[c].alias(c) for c in ("entry", "exit", "cost", "rank", "audit")])
+    flat = F.flatten(F.transform("p", lambda x, i: F.transform(x["t"], lambda t: numbered(t, i))))
+    # Arguments of a Python function with lambdas of their own are worked out in a step before it.
+    whole = settled(whole.withColumn("flat", flat))
     out = whole.select(
         "conv", F.coalesce(span - distinct, F.lit(0)).cast("long").alias("gaps"), "blank", "duplicate", "truncated",
-        F.array_join(F.transform("p", lambda x: x["initials"]), "").alias("initials"), F.pandas_udf(_fold, "cost long, audit string")(F.transform("p", lambda x: x["t"])).alias("f"),
+        F.array_join(F.transform("p", lambda x: x["initials"]), "").alias("initials"), F.pandas_udf(_fold, "cost long, audit string")("flat").alias("f"),
     )
     legal = F.length(F.regexp_replace("initials", "(?=su|ua|au).", "")) - F.length("initials")  # less than 0: a legal pair starts at each letter taken away
     illegal = F.greatest(F.length("initials") - 1, F.lit(0)) + legal

@@ -91,6 +91,8 @@ def test_conversations_and_a_hot_one(spark):
     rows += [(99, k // 2, "user" if k % 2 else "assistant", rng.choice([f"t{k}.", "Same.", f"t{k}"])) for k in range(3000)]  # most rows
     rows += [(None, 5, "user", "Hi."), (None, None, "assistant", "Hi.")] + [(77, None, "user", "Copy.")] * 500
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, audit string, symbol int").repartition(7)
+    rows += [(98, 0, "assistant" if k % 2 else "user", "Go on.") for k in range(2)] + [(98, 9, "tool", "")] * 2  # few kinds of rows: transfers of its pieces differ in number
+    df = df.unionByName(spark.createDataFrame([(*r, "x", 1) for r in rows[-4:]], df.schema))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are, pieces stay apart
     try:
         got = {r.conv_id: r for r in repair.repair(df).collect()}
@@ -110,6 +112,19 @@ def test_conversations_and_a_hot_one(spark):
         assert (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, [tuple(t) for t in r.repaired]) == expected(own), conv
 
 
+def test_pieces_with_different_numbers_of_ways(spark):
+    """A piece with system turns has more ways through it than others."""
+    df = spark.createDataFrame([(1, k, "system" if k < 40 else "user" if k % 2 else "assistant", f"Turn {k}.") for k in range(400)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        (row,) = repair.repair(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (row.cost, row.audit) == whole("s" * 40 + "au" * 180) and len(repair.transfer("s" * 10)) != len(repair.transfer("au" * 5))
+
+
 def test_damage(spark):
     rows = [(c, t, r, x) for c, t, r, x in itertools.product([1, None], [*range(40), None], ["user", None], ["A. b!c?", None])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
