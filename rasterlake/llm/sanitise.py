@@ -125,10 +125,10 @@ def _known(a: Column) -> Column:
 
 
 def witnesses(docs: DataFrame, text: str, reach: int, prefix: int) -> DataFrame:
-    """``(entity, key, n, contexts)``: in how many rows a key lies within ``reach`` tokens of an entity, and in how many different surroundings.
+    """``(row, entity, key, context)``, once each: a key that lies within ``reach`` tokens of an entity in a row, and the least of the surroundings it has there.
 
     Keys are terms, prefixes (with ``*``) and the empty string, which is near every entity. Exact copies are rows of their own but share their surroundings.
-    Only what lies around entities moves; counts are summed on the map side, so a hot entity does no harm.
+    Only what lies around entities moves.
     """
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), 0)
 
@@ -141,8 +141,7 @@ def witnesses(docs: DataFrame, text: str, reach: int, prefix: int) -> DataFrame:
     where = lambda t: F.filter(F.transform(t, lambda x, i: F.when(entity(x).isNotNull(), i)), lambda i: i.isNotNull())
     found = docs.select(bound(tokens, lambda t: F.transform(where(t), lambda i: around(t, i))).alias("found"), F.monotonically_increasing_id().alias("row"))
     rows = found.select("row", F.explode_outer("found").alias("f")).where("f IS NOT NULL").select("row", "f.entity", "f.context", F.explode_outer("f.keys").alias("key"))
-    once = rows.groupBy("row", "entity", "key").agg(F.min("context").alias("context"))
-    return once.groupBy("entity", "key").agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts"))
+    return rows.groupBy("row", "entity", "key").agg(F.min("context").alias("context"))
 
 
 def filter_bits(keys: DataFrame) -> list[int]:
@@ -178,9 +177,14 @@ def revealing_terms(docs: DataFrame, text: str = "text", reach: int = 10, prefix
 
     Every row counts, copies too; null and empty texts hold nothing. A corpus without entities, or an empty one, has no revealing terms.
     """
-    seen = materialize(witnesses(docs, text, reach, prefix))
-    entities = seen.where("key = ''").select("entity", F.col("n").alias("n_e"))
-    likely = seen.where((F.col("key") != "") & (F.col("contexts") >= contexts)).select("entity", "key", F.col("n").alias("n_te"))
+    once = materialize(witnesses(docs, text, reach, prefix))
+    # Counts are summed on the map side, so a hot entity or key does no harm. Only keys with enough witnesses are joined.
+    seen = once.where("key <> ''").groupBy("entity", "key").agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
+    entities = once.where("key = ''").groupBy("entity").agg(F.count("*").alias("n_e"))
+    near = once.where("key <> ''").select("row", "key").distinct().groupBy("key").agg(F.count("*").alias("near"))
+    # A key is in at least as many rows as it is near entities in, so keys that many entities share are out before all rows are counted.
+    able = F.col("n") * F.lit(2.0**left) >= F.col("near")
+    likely = materialize(seen.join(near, "key").where(able).select("entity", "key", F.col("n").alias("n_te")))
     counted = key_counts(docs, text, likely.select("key").distinct(), prefix).select("key", F.col("n").alias("n_t"))
     total = docs.count()
     tight = F.col("n_te") * F.lit(2.0**left) >= F.col("n_t")
