@@ -97,6 +97,23 @@ def settings(task: str = "S2C", network: str = "SINet", **explicit: float) -> di
     return {**SETTINGS, **OF_TASK[task], **explicit, **OF_NETWORK[network]}
 
 
+def with_settings(runs: DataFrame, task: str, network: str, explicit: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``settings``, a map from name to value, to a table of runs by the rule of ``settings``. A null in ``explicit`` gives nothing; reading a run of an unknown or null task or network is an error."""
+    explicit = explicit or {}
+    if not set(explicit) <= set(SETTINGS):
+        raise ValueError(f"unknown setting: {sorted(explicit)}")
+    known = F.col(task).isin(*OF_TASK) & F.col(network).isin(*OF_NETWORK)
+    error = F.raise_error(F.concat_ws(" ", F.lit("unknown task or network:"), F.coalesce(F.col(task), F.lit("null")), F.coalesce(F.col(network), F.lit("null"))))
+
+    def value(name: str) -> Column:
+        of_task = F.coalesce(*[F.when(F.col(task) == t, float(own[name])) for t, own in OF_TASK.items() if name in own], F.lit(float(SETTINGS[name])))
+        of_network = [F.when(F.col(network) == n, float(own[name])) for n, own in OF_NETWORK.items() if name in own]
+        return F.coalesce(*of_network, *([explicit[name].cast("double")] if name in explicit else []), of_task)
+
+    made = F.map_from_arrays(F.array(*map(F.lit, SETTINGS)), F.array(*map(value, SETTINGS)))
+    return runs.withColumn("settings", F.when(F.coalesce(known, F.lit(False)), made).otherwise(error.cast("map<string,double>")))
+
+
 def self_training(source: DataFrame, predict: Callable[[int, DataFrame], DataFrame], root: str, rounds: int, u: float, tau: float, key: str = "name") -> DataFrame:
     """The snapshot after ``rounds`` selections: each round's snapshot is the next one's source.
 

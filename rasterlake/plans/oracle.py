@@ -234,9 +234,6 @@ ORACLE_SQL: dict[str, str] = {
     "pairing_outcomes": """WITH m AS (SELECT doc_id AS img_id, doc_id % 3 AS h FROM labels WHERE doc_id % 5 > 0), p AS (SELECT doc_id AS img_id, n_chars % 3 AS h FROM documents WHERE doc_id % 7 > 0)
         SELECT img_id, CASE WHEN p.h IS NULL THEN 'no_prediction' WHEN m.h IS NULL THEN 'no_mask' WHEN m.h = p.h THEN 'paired' ELSE 'resized' END AS outcome FROM m FULL JOIN p USING (img_id)""",
     "output_selection": f"{_BASE} SELECT img_id, pos, round(CASE WHEN img_id % 2 = 0 THEN val ELSE pval END, 6) AS v FROM raw",
-    "task_settings": """SELECT * FROM (VALUES (0, 'C2C', 'SINet'), (1, 'S2C', 'SINet'), (2, 'S2C', 'SINet-v2'), (3, 'S2C', 'SINet'), (4, 'C2C', 'SINet-v2')) r(run, task, network),
-        LATERAL (SELECT unnest(['epoch', 'batchsize', 'decay_epoch', 'alpha', 'u', 'tau', 'a', 'b', 'c']) AS name, unnest([CASE WHEN network = 'SINet' THEN 40 ELSE 100 END, CASE WHEN network = 'SINet' THEN 16 ELSE 32 END, CASE WHEN network = 'SINet' THEN 30 ELSE 50 END,
-          CASE task WHEN 'S2C' THEN 0.996 ELSE 0.9996 END, CASE WHEN run = 3 THEN 0.9 WHEN task = 'S2C' THEN 0.8 ELSE 1 END, CASE WHEN run = 4 THEN 0.6 WHEN task = 'S2C' THEN 0.4 ELSE 0.5 END, CASE task WHEN 'S2C' THEN 0.9 ELSE 0.7 END, 0.3, 0.5]::DOUBLE[]) AS value)""",
     "eval_stream": _report("dataset, method"),
     "snapshot_versions": """SELECT doc_id AS img_id, 'GT/' || doc_id || '.png' AS path, quality, seen FROM labels JOIN (VALUES (1, 'before'), (0, 'after'), (1, 'as of 1')) t(q, seen) ON q = quality""",
     "checkpoint_catalogue": """WITH e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
@@ -249,7 +246,6 @@ ORACLE_SQL: dict[str, str] = {
     "log_sink": "SELECT CAST(epoch AS INTEGER) AS epoch, event_id AS step, round(value * epoch, 6) AS loss FROM events, (VALUES (1), (2)) t(epoch) WHERE event_id % 10 = 0",
     "self_training": _cycle(),
     "ema_series": "WITH z AS (SELECT user_id, value, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ago FROM events) SELECT user_id, round(sum(0.1 * value * power(0.9, ago)), 6) AS ema FROM z GROUP BY user_id",
-    "lr_schedule": "SELECT CAST(epoch AS INTEGER) AS epoch, round(power(0.1::DOUBLE, (SELECT sum(e // 50) FROM range(1, epoch + 1) t(e))) * 1e12, 3) AS lr FROM range(1, 101) r(epoch)",
     "grad_clip": f"{_BASE} SELECT img_id, pos, round(least(greatest(val, -0.1), 0.1), 6) AS v FROM raw",
     "log_cadence": "SELECT event_type, count(*) AS steps FROM events WHERE event_id % 10 = 0 GROUP BY event_type",
 }

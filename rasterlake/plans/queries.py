@@ -356,12 +356,6 @@ def ema_series(spark, sf):
     return training.series_ema(src.table(spark, sf, "events"), "user_id", "event_id", "value", 0.9).select("user_id", *_r("ema"))
 
 
-@query
-def lr_schedule(spark, sf):
-    epochs = spark.range(1, 101).select(F.col("id").cast("int").alias("epoch"))
-    return epochs.select("epoch", F.round(training.learning_rate(F.col("epoch"), 1.0, 0.1, 50) * 1e12, 3).alias("lr"))
-
-
 @query
 def grad_clip(spark, sf):
     return _long(src.teacher_student(spark, sf).withColumn("v", F.transform("e", lambda v: training.clip(v, 0.1))), "v")
@@ -409,14 +403,6 @@ def output_selection(spark, sf):
     return _long(df.withColumn("v", training.pick_output(maps, F.col("network"))), "v")
 
 
-@query
-def task_settings(spark, sf):
-    """Settings by task and network, and with an explicit one."""
-    runs = [("C2C", "SINet", {}), ("S2C", "SINet", {}), ("S2C", "SINet-v2", {}), ("S2C", "SINet", {"u": 0.9}), ("C2C", "SINet-v2", {"epoch": 7, "tau": 0.6})]
-    rows = [(k, task, network, name, float(v)) for k, (task, network, own) in enumerate(runs) for name, v in training.settings(task, network, **own).items()]
-    return spark.createDataFrame(rows, "run int, task string, network string, name string, value double")
-
-
 @query
 def snapshot_copy(spark, sf):
     """A snapshot of the source that replaces an older one of the same iteration."""
