@@ -208,7 +208,8 @@ def _student(spark, sf):
 
 
 def _losses(spark, sf):
-    return stencil.edge_loss(_student(spark, sf)).select("img_id", "class", F.round("loss", 9).alias("loss"), "t", "s")
+    """Losses with the teacher's probabilities, written: the mean and the selection both read them."""
+    return manifests.written(stencil.edge_loss(_student(spark, sf)).select("img_id", "class", F.round("loss", 9).alias("loss"), "t"))
 
 
 @query
@@ -240,7 +241,7 @@ def bce_logits(spark, sf):
 
 @query
 def cls_mean_loss(spark, sf):
-    return _losses(spark, sf).agg(F.round(F.avg("loss"), 6).alias("mean_loss"), F.count("*").alias("images"))
+    return stencil.edge_loss(_student(spark, sf)).select(F.round("loss", 9).alias("loss")).agg(F.round(F.avg("loss"), 6).alias("mean_loss"), F.count("*").alias("images"))
 
 
 @query
@@ -282,9 +283,7 @@ def attn_norm(spark, sf):
 
 @query
 def attn_blur(spark, sf):
-    kernel = metrics.gauss_kernel(7, 5.0).tolist()
-    df = _pairs(spark, sf)
-    return _long(df.withColumn("v", stencil.convolve(F.col("p"), F.col("h"), F.col("w"), kernel)), "v")
+    return _long(stencil.separable_blur(_pairs(spark, sf), "p", "v", metrics.gauss_axis(7, 5.0).tolist()), "v")
 
 
 @query
@@ -444,7 +443,7 @@ def checkpoint_catalogue(spark, sf):
 def report_sink(spark, sf):
     """The lines of the text report of each dataset, as the file has them."""
     root = f"{manifests.checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
-    sinks.write_report_texts(metrics.report(_pairs(spark, sf), "dataset", "method"), root)
+    sinks.write_report_texts(manifests.written(metrics.report(_pairs(spark, sf), "dataset", "method")), root)
     lines = spark.read.text(f"{root}/*_eval.txt").select(F.split(F.regexp_replace("value", r"[| ]+", " "), " ").alias("c"))
     return lines.where("c[1] <> 'dataset'").select(F.col("c")[1].alias("dataset"), F.col("c")[2].alias("method"), *[F.col("c")[k + 3].alias(n) for k, n in enumerate(metrics.SCORES)])
 

@@ -1,6 +1,6 @@
 """Named versions of tables in a folder: written first, then published by one atomic rename.
 
-A version is data in a folder of its own, never changed, and a record in ``log/`` that names it. What is written but not recorded does not exist for readers, and
+A version is data in a folder of its own, never changed, and a record in ``versions/`` that names it. What is written but not recorded does not exist for readers, and
 readers of an older version keep their files until ``retain`` removes it. All goes through Hadoop's file systems, so any store that renames files atomically will do.
 """
 
@@ -23,7 +23,7 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    log, fs = _path(spark, f"{root}/log")
+    log, fs = _path(spark, f"{root}/versions")
     if not fs.exists(log):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(log)]
@@ -43,11 +43,11 @@ def record(spark: SparkSession, root: str, name: str, path: str | None = None, *
     how[0] = keep
     while True:
         version = max(_versions(spark, root), default=0) + 1
-        aside, fs = _path(spark, f"{root}/log/.{uuid.uuid4().hex}")
+        aside, fs = _path(spark, f"{root}/versions/.{uuid.uuid4().hex}")
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps({"version": version, **text}).encode()))
         out.close()
-        final, _ = _path(spark, f"{root}/log/{version:020d}.json")
+        final, _ = _path(spark, f"{root}/versions/{version:020d}.json")
         try:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, final, how)
             return version
@@ -75,7 +75,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """All records as a table; an absent or empty catalogue has none."""
     if not _versions(spark, root.rstrip("/")):
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).json(f"{root.rstrip('/')}/log")
+    return spark.read.schema(RECORD).json(f"{root.rstrip('/')}/versions")
 
 
 def current(records: DataFrame) -> DataFrame:

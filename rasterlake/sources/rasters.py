@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def teacher_student(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(img_id, class, e, proto)``: each vector beside the vector with the smallest id of its label."""
+def teacher_student(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """``(img_id, class, e, proto)``: each vector beside the vector with the smallest id of its label. ``where`` picks images by ``img_id`` and ``class`` as they are read."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.col("label").alias("class"), F.col("embedding").cast("array<double>").alias("e"))
     proto = v.groupBy("class").agg(F.min_by("e", "img_id").alias("proto"))
-    return v.join(proto, "class")
+    return (v if where is None else v.where(where)).join(F.broadcast(proto), "class")  # a row for each class, of which there are a handful; without the hint a hot class would be sorted in one task
 
 
-def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask pairs ``(img_id, method, dataset, class, h, w, pred, gt)`` with values 0 to 255, one row an image."""
-    df = teacher_student(spark, sf_dir).withColumn("low", F.array_min("e")).withColumn("high", F.array_max("e")).withColumn("rule", F.pmod("img_id", F.lit(16)).cast("int"))
+def rasters(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """Mask pairs ``(img_id, method, dataset, class, h, w, pred, gt)`` with values 0 to 255, one row an image.
+
+    A filter on the result is applied after the pixels are made (``settled``); one in ``where`` reaches the files.
+    """
+    df = teacher_student(spark, sf_dir, where).withColumn("low", F.array_min("e")).withColumn("high", F.array_max("e")).withColumn("rule", F.pmod("img_id", F.lit(16)).cast("int"))
     df = settled(df.withColumn("least", F.array_position("e", F.col("low")) - 1).withColumn("most", F.array_position("e", F.col("high")) - 1))
     rule = F.col("rule")
     pred = F.transform("e", lambda v: F.when(rule == 7, 128).otherwise(F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * 255).cast("int")))

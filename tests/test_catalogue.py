@@ -53,7 +53,7 @@ def test_two_writers_get_versions_of_their_own(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue, "_versions", lambda *a: real(*a) if seen else seen.append(1) or [])  # the first look is stale
     assert catalogue.record(spark, root, "b", "data/y/b") == 2
     assert {r.name: r.version for r in catalogue.current(catalogue.listing(spark, root)).collect()} == {"a": 1, "b": 2}
-    assert not [p for p in (tmp_path / "c" / "log").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    assert not [p for p in (tmp_path / "c" / "versions").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
 
 
 def test_retention(spark, tmp_path):
