@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,6 +120,17 @@ class TokenAutomaton:
         self.last: list[int] = [-1]
         self.state_of: dict[tuple, int] = {}
 
+    def _start_again(self, state: int) -> int:
+        """Empty the byte table but for ``state``, and give its new number."""
+        known, done = self.under_way[state], self.last[state]
+        self._empty_table()
+        if state == 0:
+            return 0
+        self.state_of[known] = 1
+        self.under_way.append(known)
+        self.last.append(done)
+        return 1
+
     def _compile(self, state: int, byte: int) -> int:
         """The transition of the byte table from ``state`` by ``byte``."""
         out, done = [], -1
@@ -171,14 +183,20 @@ class TokenAutomaton:
                 state = self.right[state]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path through the automaton that spells ``word``."""
-        if len(self.last) > self.most_states:
-            self._empty_table()
-        state, ends = 0, []
+        """The labels of the one path through the automaton that spells ``word``.
+
+        The byte table is emptied when it is full, in the middle of a word too: a state is what is under way there, which goes on in the new table.
+        """
+        state, ends = 0, array("i")
         table, last = self.table, self.last
         for byte in word:
             after = table.get(state << 8 | byte)
-            state = self._compile(state, byte) if after is None else after
+            if after is None:
+                if len(last) > self.most_states:
+                    state = self._start_again(state)
+                    table, last = self.table, self.last
+                after = self._compile(state, byte)
+            state = after
             ends.append(last[state])
         path, at = [], len(word)
         while at:

@@ -50,6 +50,25 @@ def test_tables_that_are_emptied_give_the_same():
     assert len(narrow.words) <= 2 and all(len(w) <= 3 for w in narrow.words) and len(narrow.last) < 40
 
 
+def test_states_stay_bounded_within_a_word():
+    from tokenizers import Tokenizer
+
+    spec = open(bpe.default_tokenizer(), encoding="utf-8").read()
+    library, auto = Tokenizer.from_str(spec), bpe.TokenAutomaton(spec, states=3000)
+    r = random.Random(2)
+    for n, letters in ((60_000, "abcdefghijklmnopqrstuvwxyz"), (20_000, "etaoinéß日本"), (9000, "=-+/*")):
+        word = "".join(r.choice(letters) for _ in range(n))
+        ids = auto.encode_word(word.encode())
+        assert ids == library.encode(word, add_special_tokens=False).ids
+        assert len(auto.last) <= 3002 and len(auto.table) <= 256 * len(auto.last)
+    for seed in range(40):
+        small = vocabulary(seed, merges=20)
+        narrow, exact = bpe.TokenAutomaton(small, states=2), Tokenizer.from_str(small)
+        for n in range(1, 60):
+            word = "".join(r.choice("abcd") for _ in range(n))
+            assert narrow.encode_word(word.encode()) == exact.encode(word).ids
+
+
 @pytest.mark.parametrize("change", [
     {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}},
     {"model": {"byte_fallback": True}}, {"model": {"end_of_word_suffix": "</w>"}}, {"added_tokens": [{"id": 0, "content": "a", "lstrip": True}]}, {"model": {"type": "Unigram"}},
