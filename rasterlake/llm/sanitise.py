@@ -168,7 +168,7 @@ def key_counts(docs: DataFrame, text: str, keys: DataFrame, prefix: int) -> Data
     test = passes(filter_bits(keys))
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), 0)
     both = lambda t: F.array_distinct(F.concat(t, _known(F.transform(t, lambda x: general(x, prefix)))))
-    found = docs.select(bound(_known(F.transform(tokens, term)), lambda t: F.filter(both(t), test)).alias("keys"))
+    found = docs.select(bound(_known(F.transform(F.array_distinct(tokens), term)), lambda t: F.filter(both(t), test)).alias("keys"))
     return found.select(F.explode_outer("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).join(keys, "key", "left_semi")
 
 
@@ -206,7 +206,7 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     plain = docs.select(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     found = materialize((revealing_terms(docs, text, **settings) if terms is None else terms).select("term", "instead"))
     test = passes(filter_bits(found.select(F.col("term").alias("key"))))
-    near = lambda c: F.exists(F.regexp_extract_all(c, F.lit(TOKEN), 0), lambda t: F.coalesce(test(term(t)), F.lit(False)))
+    near = lambda c: F.exists(F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), 0)), lambda t: F.coalesce(test(term(t)), F.lit(False)))
     hit = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), term(m["value"]).alias("term"))
     hits = F.when(near(F.col("__text")), F.filter(F.transform(located(F.col("__text"), TOKEN), hit), lambda h: F.coalesce(test(h["term"]), F.lit(False))))
     names = [f"k{k}" for k in range(len(keep))]
