@@ -31,14 +31,15 @@ def tensor(channels: Column, h: Column, w: Column) -> Column:
 Step = tuple[list[str], Callable[..., np.ndarray]]
 
 
-def apply(df: DataFrame, outputs: dict[str, Step], drop: list[str] | None = None) -> DataFrame:
-    """Adds a tensor for each of ``outputs``: a function of the arrays (channels, height, width) of the columns named with it. One narrow pass.
+def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[str] | None = None) -> DataFrame:
+    """Adds a tensor for each of ``outputs``: a function of the arrays (channels, height, width) of the columns named with it; for a tuple of names, one that gives as many. One narrow pass.
 
     Null where any of its inputs is; columns of ``drop`` go, and a column of the same name is replaced.
     """
     inputs = list(dict.fromkeys(c for names, _ in outputs.values() for c in names))
-    steps = [([inputs.index(c) for c in names], f) for names, f in outputs.values()]
-    stay = [c for c in df.columns if c not in {*(drop or []), *outputs}]
+    new = [n for key in outputs for n in ((key,) if isinstance(key, str) else key)]
+    steps = [([inputs.index(c) for c in names], f if isinstance(key, tuple) else _single(f), 1 if isinstance(key, str) else len(key)) for key, (names, f) in outputs.items()]
+    stay = [c for c in df.columns if c not in {*(drop or []), *new}]
 
     def arrays(column: pa.StructArray) -> list[np.ndarray | None]:
         c, h, w = (column.field(k).to_pylist() for k in range(3))
@@ -51,16 +52,20 @@ def apply(df: DataFrame, outputs: dict[str, Step], drop: list[str] | None = None
         for batch in batches:
             given = [arrays(batch.column(len(stay) + k)) for k in range(len(inputs))]
             made = []
-            for at, f in steps:
-                rows = zip(*(given[k] for k in at), strict=True)
-                made.append(_packed([None if any(x is None for x in xs) else np.ascontiguousarray(f(*xs), dtype=np.float64) for xs in rows]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *outputs])
+            for at, f, many in steps:
+                got = [(None,) * many if any(x is None for x in xs) else [np.ascontiguousarray(y, dtype=np.float64) for y in f(*xs)] for xs in zip(*(given[k] for k in at), strict=True)]
+                made += [_packed([row[k] for row in got]) for k in range(many)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *new])
 
     types = dict(df.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in stay] + [f"`{c}` {TENSOR}" for c in outputs])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in stay] + [f"`{c}` {TENSOR}" for c in new])
     return df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
 
 
+def _single(f: Callable[..., np.ndarray]) -> Callable[..., tuple]:
+    return lambda *xs: (f(*xs),)
+
+
 def _packed(got: list[np.ndarray | None]) -> pa.StructArray:
     sizes = [0 if g is None else g.size for g in got]
     flat = np.concatenate([np.empty(0), *[g.ravel() for g in got if g is not None]])
@@ -132,14 +137,15 @@ def _partial(x: np.ndarray) -> np.ndarray:
     return np.stack([np.full(len(x), flat.shape[1], float), m, ((flat - m[:, None]) ** 2).sum(axis=1)], axis=1)[:, :, None]
 
 
-def moments(df: DataFrame, parts: dict[str, Step]) -> dict[str, np.ndarray]:
-    """Mean and variance (over all values) of each channel over all images of the tensors that ``parts`` make: by name, a row of two numbers a channel.
+def moments(df: DataFrame, parts: tuple[str, ...], step: Step) -> dict[str, np.ndarray]:
+    """Mean and variance (over all values) of each channel over all images of the tensors that ``step`` makes: by name in ``parts``, a row of two numbers a channel.
 
     Means are merged by their counts, and the sum of squares about the merged mean is that of the images plus that of their means, so nothing cancels. A row for
     each name and channel comes to the driver. Null tensors do not count; without any, there are no moments.
     """
     names = {f"__m{k}": name for k, name in enumerate(parts)}
-    own = apply(df, {m: (parts[n][0], _then(parts[n][1], _partial)) for m, n in names.items()}, df.columns)
+    inputs, make = step
+    own = apply(df, {tuple(names): (inputs, lambda *xs: tuple(map(_partial, make(*xs))))}, df.columns)
     of = "struct<name:string,channel:int,p:array<double>>"
 
     def each(m: str, name: str) -> Column:
@@ -169,19 +175,15 @@ Node = tuple[list[str], Callable[..., np.ndarray], Layer | None]
 Stats = dict[str, np.ndarray]
 
 
-def _then(f: Callable[..., np.ndarray], g: Callable[[np.ndarray], np.ndarray]) -> Callable[..., np.ndarray]:
-    return lambda *xs: g(f(*xs))
-
-
 def _sources(depths: list[dict[str, Node]]) -> list[str]:
     made = {name for depth in depths for name in depth}
     return list(dict.fromkeys(c for depth in depths for inputs, *_ in depth.values() for c in inputs if c not in made))
 
 
-def _through(depths: list[dict[str, Node]], stats: Stats, wanted: str) -> Step:
-    """The sources of a block and the function from them to the node ``wanted``, normalised where ``stats`` has moments; only what it needs is worked out."""
+def _through(depths: list[dict[str, Node]], stats: Stats, wanted: tuple[str, ...]) -> Step:
+    """The sources of a block and the function from them to the nodes ``wanted``, normalised where ``stats`` has moments; only what they need is worked out, and once."""
     nodes = {name: node for depth in depths for name, node in depth.items()}
-    needed, todo = set(), [wanted]
+    needed, todo = set(), list(wanted)
     while todo:
         name = todo.pop()
         if name in nodes and name not in needed:
@@ -191,13 +193,13 @@ def _through(depths: list[dict[str, Node]], stats: Stats, wanted: str) -> Step:
     after = {n: normaliser(stats[n]) for n in needed if n in stats}
     steps = [(name, *nodes[name]) for depth in depths for name in depth if name in needed]
 
-    def run(*xs: np.ndarray) -> np.ndarray:
+    def run(*xs: np.ndarray) -> tuple[np.ndarray, ...]:
         env = dict(zip(sources, xs, strict=True))
         for name, inputs, make, layer in steps:
             x = make(*(env[c] for c in inputs))
             x = x if layer is None else correlate(x, layer[1], layer[0])
             env[name] = after[name](x) if name in after else x
-        return env[wanted]
+        return tuple(env[name] for name in wanted)
 
     return sources, run
 
@@ -207,9 +209,9 @@ def fit(df: DataFrame, depths: list[dict[str, Node]]) -> Stats:
     stats: Stats = {}
     rows = df.select(*_sources(depths))
     for k, depth in enumerate(depths):
-        parts = {name: _through(depths[: k + 1], stats, name) for name, (*_, layer) in depth.items() if layer is not None}
+        parts = tuple(name for name, (*_, layer) in depth.items() if layer is not None)
         if parts:
-            stats |= moments(rows, parts)
+            stats |= moments(rows, parts, _through(depths[: k + 1], stats, parts))
     return stats
 
 
@@ -218,7 +220,7 @@ def block(df: DataFrame, depths: list[dict[str, Node]], outputs: list[str], stat
     if stats is None:
         df = manifests.written(df)
         stats = fit(df, depths)
-    return apply(df, {name: _through(depths, stats, name) for name in outputs})
+    return apply(df, {tuple(outputs): _through(depths, stats, tuple(outputs))})
 
 
 def conv_norm(df: DataFrame, layers: dict[str, Node], stats: Stats | None = None) -> DataFrame:
@@ -287,20 +289,25 @@ def pool(df: DataFrame, column: str, out: str, size: int, stride: int, padding:
     return apply(df, {out: ([column], lambda x: pooled(x, size, stride, padding, how, ceil, count_outside))})
 
 
-def upsampled(x: np.ndarray, factor: int = 2, corners: bool = True) -> np.ndarray:
-    """Bilinear growth of each channel by a factor, corners on corners or not."""
+def resized(x: np.ndarray, height: int, width: int, corners: bool = True) -> np.ndarray:
+    """Bilinear resize of each channel, corners on corners or not (then a smaller size takes the two nearest pixels, without averaging the rest)."""
 
-    def axis(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i = np.arange(factor * n)
-        at = i * (n - 1) / max(factor * n - 1, 1) if corners else np.clip((i + 0.5) / factor - 0.5, 0, n - 1)
+    def axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.arange(m)
+        at = i * (n - 1) / max(m - 1, 1) if corners else np.clip((i + 0.5) * n / m - 0.5, 0, n - 1)
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, n - 1), at - low
 
-    (y0, y1, fy), (x0, x1, fx) = axis(x.shape[1]), axis(x.shape[2])
+    (y0, y1, fy), (x0, x1, fx) = axis(x.shape[1], height), axis(x.shape[2], width)
     rows = x[:, y0] * (1 - fy)[:, None] + x[:, y1] * fy[:, None]
     return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
 
 
+def upsampled(x: np.ndarray, factor: int = 2, corners: bool = True) -> np.ndarray:
+    """Growth of each channel by a factor."""
+    return resized(x, factor * x.shape[1], factor * x.shape[2], corners)
+
+
 #: The numbers of groups that the attention takes.
 GROUPS = (1, 2, 4, 8, 16, 32)
 
@@ -322,22 +329,103 @@ def attention_specs(channels: int, groups: int) -> tuple[Conv, Conv]:
     return square(channels, channels + groups), square(1, channels)
 
 
-def reverse_stage(df: DataFrame, features: str, guidance: str, out: str, blocks: list[tuple[int, Layer, np.ndarray, Layer, np.ndarray]]) -> DataFrame:
-    """Adds ``out``: the guidance after ``1 - sigmoid`` of it went through the attention ``blocks`` (groups, mixing layer and bias, scoring layer and bias) one after another.
+#: Groups, mixing layer and bias, scoring layer and bias of one attention.
+Attention = tuple[int, Layer, np.ndarray, Layer, np.ndarray]
 
-    There is no normalisation in the blocks, so all is narrow. Other numbers of groups than ``GROUPS`` are an error.
-    """
+
+def _checked(blocks: list[Attention]) -> list[Attention]:
     for groups, *_ in blocks:
         if groups not in GROUPS:
             raise ValueError(f"{groups} groups are not supported")
+    return blocks
+
+
+def _reversed(x: np.ndarray, y: np.ndarray, blocks: list[Attention]) -> np.ndarray:
+    y = 1 - sigmoid(y)
+    for groups, *more in blocks:
+        x, y = attend(x, y, groups, *more)
+    return y
+
+
+def reverse_stage(df: DataFrame, features: str, guidance: str, out: str, blocks: list[Attention]) -> DataFrame:
+    """Adds ``out``: the guidance after ``1 - sigmoid`` of it went through the attention ``blocks`` one after another.
+
+    There is no normalisation in the blocks, so all is narrow. Other numbers of groups than ``GROUPS`` are an error.
+    """
+    blocks = _checked(blocks)
+    return apply(df, {out: ([features, guidance], lambda x, y: _reversed(x, y, blocks))})
+
+
+def guided_cascade(df: DataFrame, levels: list[str], map_: str, outputs: list[str], stages: list[list[Attention]], shrink: int = 4) -> DataFrame:
+    """Adds the maps that a coarse map becomes on its way up through ``levels`` of features, which double in size from first to last; one of ``outputs`` for each level.
+
+    The map is resized to ``1/shrink`` of its size, which must be that of the first level. At each level it is refined by a reverse stage, added to what came in, and
+    grown twice for the next. Corners are not on corners. Narrow.
+    """
+    stages = [_checked(blocks) for blocks in stages]
+
+    def climb(y: np.ndarray, *xs: np.ndarray) -> tuple[np.ndarray, ...]:
+        y, out = resized(y, y.shape[1] // shrink, y.shape[2] // shrink, False), []
+        for x, blocks in zip(xs, stages, strict=True):
+            y = upsampled(y, 2, False) if out else y
+            y = y + _reversed(x, y, blocks)
+            out.append(y)
+        return tuple(out)
+
+    return apply(df, {tuple(outputs): ([map_, *levels], climb)})
+
+
+def rectified(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, 0)
 
-    def stage(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        y = 1 - sigmoid(y)
-        for groups, *block in blocks:
-            x, y = attend(x, y, groups, *block)
-        return y
 
-    return apply(df, {out: ([features, guidance], stage)})
+def bottleneck_specs(inp: int, planes: int, out: int, stride: int = 1) -> dict[str, Conv]:
+    """Layers of a bottleneck: a point, a square at ``stride``, a point, and a point for what is added."""
+    return {"in": Conv(planes, inp), "mid": square(planes, planes, stride=stride), "out": Conv(out, planes), "skip": Conv(out, inp, stride=stride)}
+
+
+def bottleneck(df: DataFrame, column: str, out: str, layers: dict[str, Layer], stats: Stats | None = None) -> DataFrame:
+    """Adds ``out``: the rectified sum of three layers (rectified between them) and of ``column``, through its own layer if ``layers`` has one."""
+    chain = [{"in": ([column], same, layers["in"])}, {"mid": (["in"], rectified, layers["mid"])}, {"out": (["mid"], rectified, layers["out"])}]
+    skip = "skip" if "skip" in layers else column
+    if skip == "skip":
+        chain[0]["skip"] = ([column], same, layers["skip"])
+    return block(df, [*chain, {out: (["out", skip], lambda a, b: np.maximum(a + b, 0), None)}], [out], stats)
+
+
+def split_specs(inp: int, width: int, out: int, stride: int = 1, scale: int = 4) -> dict[str, Conv]:
+    """Layers of a split block: a point to ``scale`` groups of ``width`` channels, a square for each group but the last, a point, and a point for what is added."""
+    return {"in": Conv(width * scale, inp), **{f"s{k}": square(width, width, stride=stride) for k in range(scale - 1)}, "out": Conv(out, width * scale), "skip": Conv(out, inp)}
+
+
+def split_block(df: DataFrame, column: str, out: str, layers: dict[str, Layer], stats: Stats | None = None) -> DataFrame:
+    """Adds ``out`` of a split residual block: groups of channels go through squares, each but the first with the result of the one before added, and are joined again.
+
+    With a ``skip`` layer it is the first of a stage: groups go on their own, the last is averaged over 3 by 3, and what is added is averaged (at the stride) and
+    convolved. Without, the last group is joined as it is, and ``column`` is added.
+    """
+    first = "skip" in layers
+    squares = sorted(n for n in layers if n[0] == "s" and n[1:].isdigit())
+    width, stride = layers["s0"][0].inp, layers["s0"][0].stride
+    part = lambda a, k: rectified(a)[k * width : (k + 1) * width]
+
+    def take(k: int) -> Node:
+        if k == 0 or first:
+            return ["in"], lambda a: part(a, k), layers[f"s{k}"]
+        return [f"s{k - 1}", "in"], lambda p, a: rectified(p) + part(a, k), layers[f"s{k}"]
+
+    def join(a: np.ndarray, *done: np.ndarray) -> np.ndarray:
+        last = part(a, len(squares))
+        return np.concatenate([*map(rectified, done), pooled(last, 3, stride, 1, "mean") if first else last])
+
+    depths: list[dict[str, Node]] = [{"in": ([column], same, layers["in"])}]
+    if first:
+        depths[0]["skip"] = ([column], lambda x: pooled(x, stride, stride, 0, "mean", True, False), layers["skip"])
+        depths.append({n: take(k) for k, n in enumerate(squares)})
+    else:
+        depths += [{n: take(k)} for k, n in enumerate(squares)]
+    depths += [{"out": (["in", *squares], join, layers["out"])}, {out: (["out", "skip" if first else column], lambda a, b: np.maximum(a + b, 0), None)}]
+    return block(df, depths, [out], stats)
 
 
 def decoder_specs(channels: int, search: bool = False) -> dict[str, Conv]:

@@ -82,6 +82,47 @@ def group_reversal(spark, sf):
     return _long(layers.reverse_stage(df, "x", "y", "out", blocks), "out")
 
 
+def _cascade_layers() -> dict[str, tuple[int, Conv]]:
+    """Layers of three stages over two channels, in one group and in two."""
+    out, k = {}, 0
+    for stage in range(3):
+        for groups in (1, 2):
+            mix, score = layers.attention_specs(2, groups)
+            for name, spec in (("mix", mix), ("mix_bias", Conv(2, 1)), ("score", score), ("score_bias", Conv(1, 1))):
+                out[f"{name}{stage}{groups}"] = (k, spec)
+                k += 1
+    return out
+
+
+@query
+def guided_cascade(spark, sf):
+    """A map of the finest size, shrunk and refined on its way up through features of three sizes."""
+    made = _layers(spark, sf, _cascade_layers())
+    stages = [[(g, made[f"mix{k}{g}"], made[f"mix_bias{k}{g}"][1].ravel(), made[f"score{k}{g}"], made[f"score_bias{k}{g}"][1].ravel()) for g in (1, 2)] for k in range(3)]
+    guide = src.teacher_student(spark, sf).select("img_id", layers.tensor(F.array("e"), F.lit(src.SIDE), F.lit(src.SIDE)).alias("y"))
+    names = ["a", "b", "c"]
+    df = layers.guided_cascade(_tensors(spark, sf).join(guide, "img_id"), ["quarter", "half", "x"], "y", names, stages)
+    both = df.select("img_id", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("t")) for n in names])).alias("s"))
+    return _long(both.select("img_id", "s.level", "s.t"), "t", "level")
+
+
+@query
+def bottleneck(spark, sf):
+    """A bottleneck at stride 2."""
+    made = _layers(spark, sf, {name: (k, spec) for k, (name, spec) in enumerate(layers.bottleneck_specs(2, 2, 4, 2).items())})
+    return _long(layers.bottleneck(_tensors(spark, sf).select("img_id", "x"), "x", "y", made), "y")
+
+
+@query
+def split_stage(spark, sf):
+    """A split block at stride 2 that begins a stage, and one after it."""
+    first = {name: (k, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2, 2).items())}
+    after = {name: (k + 8, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2).items())}
+    df = layers.split_block(_tensors(spark, sf).select("img_id", "x"), "x", "y", _layers(spark, sf, first))
+    second = _layers(spark, sf, after)
+    return _long(layers.split_block(df, "y", "z", {n: w for n, w in second.items() if n != "skip"}), "z")
+
+
 def _decoder(spark, sf, neighbours: bool, search: bool) -> DataFrame:
     numbered = {name: (k, spec) for k, (name, spec) in enumerate(layers.decoder_specs(2, search).items())}
     made = _layers(spark, sf, {**numbered, "bias": (10, Conv(1, 1))})
@@ -224,6 +265,60 @@ def _reversal_sql() -> str:
     return _steps(steps, "y3", base="")
 
 
+def _shrunk(t: str, side: int, to: int) -> str:
+    """Corners not on corners; also grows."""
+    axis = f"(SELECT i, k, sum(f) AS f FROM (SELECT i, unnest([floor(p), least(floor(p) + 1, {side - 1})]) AS k, unnest([1 - p + floor(p), p - floor(p)]) AS f FROM (SELECT i, least(greatest((i + 0.5) * {side} / {to}::DOUBLE - 0.5, 0), {side - 1}) AS p FROM range({to}) r(i))) GROUP BY i, k)"
+    return f"(SELECT img_id, c, a.i AS y, b.i AS x, sum(v * a.f * b.f) AS v FROM {t} t JOIN {axis} a ON a.k = t.y JOIN {axis} b ON b.k = t.x GROUP BY ALL)"
+
+
+def _cascade_sql() -> str:
+    numbered = _cascade_layers()
+    conv = lambda t, name, key, side: _conv(t, *numbered[f"{name}{key}"], side, bias=numbered[f"{name}_bias{key}"][0])
+    steps = {"e0": "(SELECT img_id, 0 AS c, y, x, val AS v FROM px)", "g0": _shrunk("e0", 8, 2)}
+    for stage, (side, features) in enumerate(((2, "qt"), (4, "hf"), (8, "xt"))):
+        if stage:
+            steps[f"g{stage}"] = _shrunk(f"o{stage - 1}", side // 2, side)
+        f, y = features, f"y{stage}0"
+        steps[y] = f"(SELECT img_id, c, y, x, 1 - 1 / (1 + exp(-v)) AS v FROM g{stage})"
+        for groups in (1, 2):
+            n, key = 2 // groups, f"{stage}{groups}"
+            joined = f"(SELECT img_id, c + c // {n} AS c, y, x, v FROM {f} UNION ALL SELECT img_id, (r.j + 1) * {n + 1} - 1 AS c, y, x, v FROM {y}, range({groups}) r(j))"
+            steps[f"f{key}"] = f"(SELECT img_id, c, y, x, a.v + greatest(b.v, 0) AS v FROM {f} a JOIN {conv(joined, 'mix', key, side)} b USING (img_id, c, y, x))"
+            steps[f"y{key}"] = f"(SELECT img_id, c, y, x, a.v + b.v AS v FROM {y} a JOIN {conv(f'f{key}', 'score', key, side)} b USING (img_id, c, y, x))"
+            f, y = f"f{key}", f"y{key}"
+        steps[f"o{stage}"] = f"(SELECT img_id, c, y, x, a.v + b.v AS v FROM {y} a JOIN g{stage} b USING (img_id, c, y, x))"
+    head = _steps(steps, "o0").rpartition(" SELECT img_id, CAST(c AS INT)")[0]
+    return head + " UNION ALL ".join(f" SELECT img_id, '{n}' AS level, CAST(c AS INT) AS c, CAST(y * {side} + x AS BIGINT) AS pos, round(v, 4) AS v FROM o{k}" for k, (n, side) in enumerate((("a", 2), ("b", 4), ("c", 8))))
+
+
+_RELU = lambda t: f"(SELECT img_id, c, y, x, greatest(v, 0) AS v FROM {t})"
+_SUM = lambda a, b: f"(SELECT img_id, c, y, x, greatest(a.v + b.v, 0) AS v FROM {a} a JOIN {b} b USING (img_id, c, y, x))"
+_PART = lambda t, k: f"(SELECT img_id, c - {2 * k} AS c, y, x, v FROM {t} WHERE c BETWEEN {2 * k} AND {2 * k + 1})"
+
+
+def _bottleneck_sql() -> str:
+    n = {name: (k, spec) for k, (name, spec) in enumerate(layers.bottleneck_specs(2, 2, 4, 2).items())}
+    steps = {"a": _RELU(_norm(_conv("xt", *n["in"]))), "b": _RELU(_norm(_conv("a", *n["mid"]))), "d": _norm(_conv("b", *n["out"], 4)), "e": _norm(_conv("xt", *n["skip"]))}
+    return _steps(steps, _SUM("d", "e"), 4)
+
+
+def _split_sql() -> str:
+    one = {name: (k, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2, 2).items())}
+    two = {name: (k + 8, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2).items())}
+    conv = lambda t, at, side: _norm(_conv(t, *at, side))
+    steps = {"a": _RELU(conv("xt", one["in"], 8)), **{f"s{k}": _RELU(conv(_PART("a", k), one[f"s{k}"], 8)) for k in range(3)}}
+    steps["l"] = _pooled(_PART("a", 3), 8, 3, 2, 1, "sum", 4, " / 9")
+    steps["o"] = conv(_cat(("s0", 2), ("s1", 2), ("s2", 2), ("l", 2)), one["out"], 4)
+    steps["k"] = conv(_pooled("xt", 8, 2, 2, 0, "avg", 4), one["skip"], 4)
+    steps["z"] = _SUM("o", "k")
+    steps["b"] = _RELU(conv("z", two["in"], 4))
+    steps["t0"] = _RELU(conv(_PART("b", 0), two["s0"], 4))
+    for k in (1, 2):
+        steps[f"t{k}"] = _RELU(conv(f"(SELECT img_id, c, y, x, a.v + b.v AS v FROM t{k - 1} a JOIN {_PART('b', k)} b USING (img_id, c, y, x))", two[f"s{k}"], 4))
+    steps["p"] = conv(_cat(("t0", 2), ("t1", 2), ("t2", 2), (_PART("b", 3), 2)), two["out"], 4)
+    return _steps(steps, _SUM("p", "z"), 4)
+
+
 def _decoder_sql(neighbours: bool, search: bool) -> str:
     numbered = {name: (k, spec) for k, (name, spec) in enumerate(layers.decoder_specs(2, search).items())}
     one = lambda name, t, side: _norm(_conv(t, *numbered[name], side))
@@ -256,6 +351,9 @@ ORACLE_SQL: dict[str, str] = {
     "conv_strided": _steps({"a": f"(SELECT img_id, c, y, x, greatest(v, 0) AS v FROM {_norm(_conv('xt', 0, layers.square(2, 2, 7, 1, 2)))})"}, _pooled("a", 4, 3, 2, 1, "max", 2), 2),
     "receptive_field": _receptive_sql(),
     "group_reversal": _reversal_sql(),
+    "guided_cascade": _cascade_sql(),
+    "bottleneck": _bottleneck_sql(),
+    "split_stage": _split_sql(),
     "decoder_search": _decoder_sql(False, True),
     "decoder_identify": _decoder_sql(False, False),
     "decoder_neighbours": _decoder_sql(True, False),

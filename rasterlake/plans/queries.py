@@ -494,7 +494,7 @@ def eval_stream(spark, sf):
     """The report by dataset and method from a stream that stops midway, starts again and brings a third of its images twice."""
     root = f"{manifests.checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     pairs = src.rasters(spark, sf)
-    take = lambda: evaluate.accumulate(spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"), f"{root}/scores", "dataset", "method", availableNow=True)
+    take = lambda: evaluate.accumulate(spark.readStream.schema(pairs.schema).parquet(f"{root}/in"), f"{root}/scores", "dataset", "method", availableNow=True)
     pairs.where("img_id % 3 < 2").write.parquet(f"{root}/in")
     take().awaitTermination()
     pairs.where("img_id % 3 > 0").write.mode("append").parquet(f"{root}/in")

@@ -165,6 +165,80 @@ def test_decoder_by_layers(spark, neighbours):
     assert all(np.allclose(a, b, atol=1e-7) for a, b in zip(got, want, strict=True))
 
 
+def norm_all(conv):
+    flat = np.concatenate([x.reshape(len(x), -1) for x in conv], axis=1)
+    return [(x - flat.mean(1)[:, None, None]) / np.sqrt(flat.var(1) + 1e-5)[:, None, None] for x in conv]
+
+
+def relu(xs):
+    return [np.maximum(x, 0) for x in xs]
+
+
+@pytest.mark.parametrize("stride", [1, 2])
+def test_bottleneck_by_layers(spark, stride):
+    images = [RNG.normal(size=(4, 6, 8)), RNG.normal(size=(4, 4, 2)), RNG.normal(size=(4, 7, 5))]
+    made = {n: (s, RNG.normal(size=(s.out, s.inp, *s.size))) for n, s in layers.bottleneck_specs(4, 2, 4, stride).items()}
+    if stride == 1:
+        del made["skip"]
+    step = lambda n, xs: norm_all([naive_conv(x, made[n][1], made[n][0]) for x in xs])
+    deep = step("out", relu(step("mid", relu(step("in", images)))))
+    want = relu([a + b for a, b in zip(deep, step("skip", images) if stride > 1 else images, strict=True)])
+    got = back(layers.bottleneck(frame(spark, images), "x", "y", made), "y")
+    assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_split_block_by_layers(spark, first):
+    images = [RNG.normal(size=(5, 6, 7)), RNG.normal(size=(5, 4, 4))]
+    stride = 2 if first else 1
+    made = {n: (s, RNG.normal(size=(s.out, s.inp, *s.size))) for n, s in layers.split_specs(5, 3, 5, stride).items() if first or n != "skip"}
+    step = lambda n, xs: norm_all([naive_conv(x, made[n][1], made[n][0]) for x in xs])
+    parts = [np.split(x, 4) for x in relu(step("in", images))]
+    done, before = [], None
+    for k in range(3):
+        own = [p[k] for p in parts]
+        before = relu(step(f"s{k}", own if first or before is None else [a + b for a, b in zip(before, own, strict=True)]))
+        done.append(before)
+    last = [naive_pool(p[3], 3, stride, 1, "mean", False, True) if first else p[3] for p in parts]
+    deep = step("out", [np.concatenate(x) for x in zip(*done, last, strict=True)])
+    skip = step("skip", [naive_pool(x, stride, stride, 0, "mean", True, False) for x in images]) if first else images
+    want = relu([a + b for a, b in zip(deep, skip, strict=True)])
+    got = back(layers.split_block(frame(spark, images), "x", "y", made), "y")
+    assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(got, want, strict=True))
+
+
+def test_guided_cascade_by_stages(spark):
+    sizes, images, maps = ((2, 3), (4, 6), (8, 12)), [], []
+    for _ in range(2):
+        images.append([RNG.normal(size=(4, *s)) for s in sizes])
+        maps.append(RNG.normal(size=(1, 8, 12)))
+
+    def attention(groups):
+        mix, score = layers.attention_specs(4, groups)
+        return groups, (mix, RNG.normal(size=(4, 4 + groups, 3, 3)) / 6), RNG.normal(size=4), (score, RNG.normal(size=(1, 4, 3, 3)) / 6), RNG.normal(size=1)
+
+    stages = [[attention(g) for g in (1, 2, 4)] for _ in sizes]
+    df = frame(spark, maps).withColumnRenamed("x", "map")
+    for k in range(3):
+        df = df.join(frame(spark, [i[k] for i in images]).withColumnRenamed("x", f"l{k}"), "k")
+    out = layers.guided_cascade(df, ["l0", "l1", "l2"], "map", ["a", "b", "c"], stages)
+    got = {n: back(out, n) for n in "abc"}
+    for i, (levels, m) in enumerate(zip(images, maps, strict=True)):
+        y = layers.resized(m, 2, 3, False)
+        for k, n in enumerate("abc"):
+            y = layers.upsampled(y, 2, False) if k else y
+            x, z = levels[k], 1 - 1 / (1 + np.exp(-y))
+            for groups, (ms, mw), mb, (ss, sw), sb in stages[k]:
+                joined = np.concatenate([p for c in np.split(x, groups) for p in (c, z)])
+                x = x + np.maximum(naive_conv(joined, mw, ms, mb), 0)
+                z = z + naive_conv(x, sw, ss, sb)
+            y = y + z
+            assert np.allclose(got[n][i], y)
+    assert np.allclose(layers.resized(np.arange(8.0).reshape(1, 1, 8), 1, 2, False), [1.5, 5.5])
+    with pytest.raises(ValueError, match="not supported"):
+        layers.guided_cascade(df, ["l0"], "map", ["a"], [[(5, *attention(1)[1:])]])
+
+
 def test_augmentation_is_the_same_on_every_run_and_partitioning(spark):
     images = [RNG.normal(size=(3, 6, 5)) for _ in range(40)] + [None, np.full((3, 2, 2), 7.0), np.full((3, 1, 1), -2.0)]
     df = frame(spark, images)
@@ -245,6 +319,8 @@ FULL = {
     "receptive_field": lambda df: layers.receptive_field(df, "x", "y", made(layers.receptive_specs(3, 2))),
     "reverse_stage": lambda df: layers.reverse_stage(df.withColumn("g", layers.tensor(F.array(F.slice("x.v", 1, SIDE * SIDE)), F.lit(SIDE), F.lit(SIDE))), "x", "g", "y", [(1, made({"m": layers.attention_specs(3, 1)[0]})["m"], np.zeros(3), made({"m": layers.attention_specs(3, 1)[1]})["m"], np.zeros(1))]),
     "decode": lambda df: layers.decode(pyramid(df), "quarter", "half", "x", "y", made(layers.decoder_specs(3)), np.zeros(1), True),
+    "bottleneck": lambda df: layers.bottleneck(df, "x", "y", made(layers.bottleneck_specs(3, 4, 8, 2))),
+    "split_block": lambda df: layers.split_block(df, "x", "y", made(layers.split_specs(3, 2, 8, 2))),
     "pool": lambda df: layers.pool(df, "x", "y", 3, 2, 1),
     "augment": lambda df: layers.augment(df, "x", "weak", "y", "id", 3),
 }
