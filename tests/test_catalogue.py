@@ -150,3 +150,29 @@ def test_stream_scores_before_it_shuffles(spark, tmp_path):
     plan = q._jsq.explainInternal(False)
     exchange = plan.index("Exchange")
     assert "MapInArrow" in plan[exchange:] and "pred" not in plan[:exchange]
+
+
+def test_sums_of_any_split_add_up(spark):
+    pairs = metrics.prepare(rasters.rasters(spark, SF, "img_id < 90"))
+    want = {(r["class"], r.method): tuple(r) for r in metrics.report(pairs, "class", "method").collect()}
+    parts = [metrics.partial_sums(metrics.scored(pairs.where(f"img_id % 7 IN ({k}, {k + 1})")), "class", "method") for k in (0, 2, 4)]
+    parts.append(metrics.partial_sums(metrics.scored(pairs.where("img_id % 7 = 6")), "class", "method"))
+    whole = parts[0].union(parts[1]).union(metrics.added(parts[2].union(parts[3]), "class", "method"))
+    got = {(r["class"], r.method): tuple(r) for r in metrics.merged_report(whole, "class", "method").collect()}
+    assert got == want and len(got) > 10
+    assert metrics.merged_report(whole.limit(0), "class").count() == 0
+
+
+def test_merge_replaces_names_at_once(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    for k in range(4):
+        catalogue.publish(spark.range(k, k + 1), root, f"batch={k}")
+    before = catalogue.load_all(spark, root, "batch=")
+    catalogue.merge(spark, root, "batch=", lambda df: df.coalesce(1))
+    assert values(before) == values(catalogue.load_all(spark, root, "batch=")) == [0, 1, 2, 3]
+    assert sorted(r.name for r in catalogue.current(catalogue.listing(spark, root)).collect()) == ["batch=2", "batch=3"]
+    catalogue.publish(spark.range(30, 31), root, "batch=3")  # the newest is repeated
+    assert values(catalogue.load_all(spark, root, "batch=")) == [0, 1, 2, 30]
+    catalogue.merge(spark, root, "other", lambda df: df)
+    catalogue.publish(spark.range(9, 10), root, "batch=0")  # a replaced name may come again
+    assert values(catalogue.load_all(spark, root, "batch=")) == [0, 1, 2, 9, 30]
