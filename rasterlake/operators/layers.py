@@ -1,6 +1,6 @@
 """Building blocks of the networks as operators on tensors: a tensor is ``struct<c:int,h:int,w:int,v:array<double>>``, its values channel by channel, row by row.
 
-What an image decides alone is NumPy on Arrow batches and moves nothing. Batch normalisation needs moments over all images: each image gives its own count, mean and sum
+What an image decides alone is NumPy on Arrow batches and moves nothing; images of one size are worked on together. Batch normalisation needs moments over all images: each image gives its own count, mean and sum
 of squares about it for every channel, and only those are shuffled. Convolved tensors, several times the input, are never written: a block is fitted depth by depth, each time from
 its input through the layers whose moments are known.
 """
@@ -31,10 +31,15 @@ def tensor(channels: Column, h: Column, w: Column) -> Column:
 Step = tuple[list[str], Callable[..., np.ndarray]]
 
 
-def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[str] | None = None) -> DataFrame:
-    """Adds a tensor for each of ``outputs``: a function of the arrays (channels, height, width) of the columns named with it; for a tuple of names, one that gives as many. One narrow pass.
+#: Values of an input that are worked on together at most, unless one image has more.
+TOGETHER = 1 << 18
 
-    Null where any of its inputs is; columns of ``drop`` go, and a column of the same name is replaced.
+
+def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[str] | None = None, alone: bool = False) -> DataFrame:
+    """Adds a tensor for each of ``outputs``: a function of the arrays of the columns named with it; for a tuple of names, one that gives as many. One narrow pass.
+
+    Arrays are (images, channels, height, width), of images whose inputs have the same sizes; ``alone`` leaves the first axis out and takes one image at a time. Null where any input is;
+    columns of ``drop`` go, and a column of the same name is replaced.
     """
     inputs = list(dict.fromkeys(c for names, _ in outputs.values() for c in names))
     new = [n for key in outputs for n in ((key,) if isinstance(key, str) else key)]
@@ -53,7 +58,11 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
             given = [arrays(batch.column(len(stay) + k)) for k in range(len(inputs))]
             made = []
             for at, f, many in steps:
-                got = [(None,) * many if any(x is None for x in xs) else [np.ascontiguousarray(y, dtype=np.float64) for y in f(*xs)] for xs in zip(*(given[k] for k in at), strict=True)]
+                got: list = [(None,) * many] * batch.num_rows
+                for rows, xs in _groups([given[k] for k in at], 1 if alone else TOGETHER):
+                    ys = [np.asarray(y, dtype=np.float64) for y in f(*((x[0] for x in xs) if alone else xs))]
+                    for n, row in enumerate(rows):
+                        got[row] = ys if alone else [y[n] for y in ys]
                 made += [_packed([row[k] for row in got]) for k in range(many)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *new])
 
@@ -62,6 +71,19 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
     return df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
 
 
+def _groups(columns: list[list[np.ndarray | None]], together: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows without nulls whose arrays have the same sizes, and their arrays stacked."""
+    alike: dict[tuple, list[int]] = {}
+    for row, xs in enumerate(zip(*columns, strict=True)):
+        if not any(x is None for x in xs):
+            alike.setdefault(tuple(x.shape for x in xs), []).append(row)
+    for shapes, rows in alike.items():
+        n = max(1, together // max(1, *(int(np.prod(s)) for s in shapes)))
+        for at in range(0, len(rows), n):
+            part = rows[at : at + n]
+            yield part, [np.stack([c[r] for r in part]) for c in columns]
+
+
 def _single(f: Callable[..., np.ndarray]) -> Callable[..., tuple]:
     return lambda *xs: (f(*xs),)
 
@@ -117,24 +139,25 @@ def read_weights(table: DataFrame, specs: dict[str, Conv]) -> dict[str, Layer]:
 
 
 def correlate(x: np.ndarray, w: np.ndarray, spec: Conv, bias: np.ndarray | None = None) -> np.ndarray:
-    """Correlation of all channels with each kernel, zeros outside: one matrix product a tap."""
+    """Correlation of all channels with each kernel, zeros outside: one matrix product a tap. Axes before the channels stay as they are."""
     (ph, pw), (kh, kw), d, s = spec.padding, spec.size, spec.dilation, spec.stride
-    if x.shape[0] != spec.inp:
-        raise ValueError(f"{x.shape[0]} channels where {spec.inp} are expected")
-    p = np.pad(x, ((0, 0), (ph, ph), (pw, pw)))
-    h, wd = (p.shape[1] - d * (kh - 1) - 1) // s + 1, (p.shape[2] - d * (kw - 1) - 1) // s + 1
-    out = np.zeros((spec.out, h, wd))
+    if x.shape[-3] != spec.inp:
+        raise ValueError(f"{x.shape[-3]} channels where {spec.inp} are expected")
+    p = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(ph, ph), (pw, pw)])
+    h, wd = (p.shape[-2] - d * (kh - 1) - 1) // s + 1, (p.shape[-1] - d * (kw - 1) - 1) // s + 1
+    out = 0.0
     for i in range(kh):
         for j in range(kw):
-            out += np.tensordot(w[:, :, i, j], p[:, i * d : i * d + (h - 1) * s + 1 : s, j * d : j * d + (wd - 1) * s + 1 : s], 1)
+            out = out + np.tensordot(p[..., i * d : i * d + (h - 1) * s + 1 : s, j * d : j * d + (wd - 1) * s + 1 : s], w[:, :, i, j], ((-3,), (1,)))
+    out = np.moveaxis(out, -1, -3)
     return out if bias is None else out + bias[:, None, None]
 
 
 def _partial(x: np.ndarray) -> np.ndarray:
     """Count, mean and sum of squared deviations of each channel."""
-    flat = x.reshape(len(x), -1)
-    m = flat.mean(axis=1)
-    return np.stack([np.full(len(x), flat.shape[1], float), m, ((flat - m[:, None]) ** 2).sum(axis=1)], axis=1)[:, :, None]
+    flat = x.reshape(*x.shape[:-2], -1)
+    m = flat.mean(axis=-1)
+    return np.stack([np.full(m.shape, flat.shape[-1], float), m, ((flat - m[..., None]) ** 2).sum(axis=-1)], axis=-1)[..., None]
 
 
 def moments(df: DataFrame, parts: tuple[str, ...], step: Step) -> dict[str, np.ndarray]:
@@ -233,7 +256,8 @@ def same(x: np.ndarray) -> np.ndarray:
 
 
 def concat(*xs: np.ndarray) -> np.ndarray:
-    return np.concatenate(xs)
+    """Channels of all, one after another."""
+    return np.concatenate(xs, axis=-3)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -266,22 +290,21 @@ def pooled(x: np.ndarray, size: int, stride: int, padding: int = 0, how: str = "
 
     ``ceil`` adds a window that starts inside and ends beyond the edge; what lies beyond the padding never counts.
     """
-    c, h, w = x.shape
+    h, w = x.shape[-2:]
     count = [max(0, -((size - n - 2 * padding) // stride) if ceil else (n + 2 * padding - size) // stride) + 1 for n in (h, w)]
     if ceil:  # the last window must start inside
         count = [k - ((k - 1) * stride >= n + padding) for k, n in zip(count, (h, w), strict=True)]
     reach = [max((k - 1) * stride + size, n + 2 * padding) for k, n in zip(count, (h, w), strict=True)]
-    fill = -np.inf if how == "max" else 0.0
-    p = np.full((c, *reach), fill)
-    p[:, padding : padding + h, padding : padding + w] = x
+    p = np.full((*x.shape[:-2], *reach), -np.inf if how == "max" else 0.0)
+    p[..., padding : padding + h, padding : padding + w] = x
     inside = np.zeros(reach)
     inside[padding : padding + h, padding : padding + w] = 1
     if count_outside:
         inside[: h + 2 * padding, : w + 2 * padding] = 1
-    parts = [(slice(None), *(slice(o, o + (k - 1) * stride + 1, stride) for o, k in zip(at, count, strict=True))) for at in np.ndindex(size, size)]
+    parts = [(..., *(slice(o, o + (k - 1) * stride + 1, stride) for o, k in zip(at, count, strict=True))) for at in np.ndindex(size, size)]
     if how == "max":
         return np.maximum.reduce([p[s] for s in parts])
-    return np.add.reduce([p[s] for s in parts]) / np.add.reduce([inside[s[1:]] for s in parts])
+    return np.add.reduce([p[s] for s in parts]) / np.add.reduce([inside[s] for s in parts])
 
 
 def pool(df: DataFrame, column: str, out: str, size: int, stride: int, padding: int = 0, how: str = "max", ceil: bool = False, count_outside: bool = True) -> DataFrame:
@@ -298,14 +321,14 @@ def resized(x: np.ndarray, height: int, width: int, corners: bool = True) -> np.
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, n - 1), at - low
 
-    (y0, y1, fy), (x0, x1, fx) = axis(x.shape[1], height), axis(x.shape[2], width)
-    rows = x[:, y0] * (1 - fy)[:, None] + x[:, y1] * fy[:, None]
-    return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
+    (y0, y1, fy), (x0, x1, fx) = axis(x.shape[-2], height), axis(x.shape[-1], width)
+    rows = x[..., y0, :] * (1 - fy)[:, None] + x[..., y1, :] * fy[:, None]
+    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
 
 
 def upsampled(x: np.ndarray, factor: int = 2, corners: bool = True) -> np.ndarray:
     """Growth of each channel by a factor."""
-    return resized(x, factor * x.shape[1], factor * x.shape[2], corners)
+    return resized(x, factor * x.shape[-2], factor * x.shape[-1], corners)
 
 
 #: The numbers of groups that the attention takes.
@@ -314,9 +337,9 @@ GROUPS = (1, 2, 4, 8, 16, 32)
 
 def interleaved(x: np.ndarray, y: np.ndarray, groups: int) -> np.ndarray:
     """Groups of the channels of ``x``, each followed by the guidance ``y``."""
-    if groups not in GROUPS or len(x) % groups:
-        raise ValueError(f"{groups} groups of {len(x)} channels are not supported")
-    return np.concatenate([part for chunk in np.split(x, groups) for part in (chunk, y)])
+    if groups not in GROUPS or x.shape[-3] % groups:
+        raise ValueError(f"{groups} groups of {x.shape[-3]} channels are not supported")
+    return concat(*(part for chunk in np.split(x, groups, axis=-3) for part in (chunk, y)))
 
 
 def attend(x: np.ndarray, y: np.ndarray, groups: int, mix: Layer, mix_bias: np.ndarray, score: Layer, score_bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +388,7 @@ def guided_cascade(df: DataFrame, levels: list[str], map_: str, outputs: list[st
     stages = [_checked(blocks) for blocks in stages]
 
     def climb(y: np.ndarray, *xs: np.ndarray) -> tuple[np.ndarray, ...]:
-        y, out = resized(y, y.shape[1] // shrink, y.shape[2] // shrink, False), []
+        y, out = resized(y, y.shape[-2] // shrink, y.shape[-1] // shrink, False), []
         for x, blocks in zip(xs, stages, strict=True):
             y = upsampled(y, 2, False) if out else y
             y = y + _reversed(x, y, blocks)
@@ -407,7 +430,7 @@ def split_block(df: DataFrame, column: str, out: str, layers: dict[str, Layer],
     first = "skip" in layers
     squares = sorted(n for n in layers if n[0] == "s" and n[1:].isdigit())
     width, stride = layers["s0"][0].inp, layers["s0"][0].stride
-    part = lambda a, k: rectified(a)[k * width : (k + 1) * width]
+    part = lambda a, k: rectified(a[..., k * width : (k + 1) * width, :, :])
 
     def take(k: int) -> Node:
         if k == 0 or first:
@@ -416,7 +439,7 @@ def split_block(df: DataFrame, column: str, out: str, layers: dict[str, Layer],
 
     def join(a: np.ndarray, *done: np.ndarray) -> np.ndarray:
         last = part(a, len(squares))
-        return np.concatenate([*map(rectified, done), pooled(last, 3, stride, 1, "mean") if first else last])
+        return concat(*map(rectified, done), pooled(last, 3, stride, 1, "mean") if first else last)
 
     depths: list[dict[str, Node]] = [{"in": ([column], same, layers["in"])}]
     if first:
@@ -498,7 +521,7 @@ def augment(df: DataFrame, column: str, weak: str, strong: str, key: str, seed:
         x = turned(x, d)
         return blur3(autocontrast(x) if d[0, 0, 1] < contrast else x, d[0, 0, 2])
 
-    return apply(settled(drawn), {weak: ([column, "__draws"], turned), strong: ([column, "__draws"], view)}, ["__draws"])
+    return apply(settled(drawn), {weak: ([column, "__draws"], turned), strong: ([column, "__draws"], view)}, ["__draws"], alone=True)
 
 
 def remap(have: DataFrame, want: DataFrame, key: str, tags: tuple[str, ...] = ("_1", "_2")) -> DataFrame:
