@@ -1,6 +1,6 @@
 """Building blocks of the networks as operators on tensors: a tensor is ``struct<c:int,h:int,w:int,v:array<double>>``, its values channel by channel, row by row.
 
-What an image decides alone is NumPy on Arrow batches and moves nothing; images of one size are worked on together. Batch normalisation needs moments over all images: each image gives its own count, mean and sum
+What an image decides alone is NumPy on slices of Arrow batches and moves nothing; images of one size in a slice are worked on together. Batch normalisation needs moments over all images: each image gives its own count, mean and sum
 of squares about it for every channel, and only those are shuffled. Convolved tensors, several times the input, are never written: a block is fitted depth by depth, each time from
 its input through the layers whose moments are known.
 """
@@ -31,8 +31,8 @@ def tensor(channels: Column, h: Column, w: Column) -> Column:
 Step = tuple[list[str], Callable[..., np.ndarray]]
 
 
-#: Values of an input that are worked on together at most, unless one image has more.
-TOGETHER = 1 << 18
+#: Values of all inputs that are worked on together at most, unless one image has more: a worker holds what is made of so many, however long its batches are.
+TOGETHER = 1 << 16
 
 
 def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[str] | None = None, alone: bool = False) -> DataFrame:
@@ -53,24 +53,41 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
         ok = column.is_valid().to_pylist()
         return [flat[at[i] : at[i + 1]].reshape(c[i], h[i], w[i]) if ok[i] else None for i in range(len(column))]
 
+    def worked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        given = [arrays(batch.column(len(stay) + k)) for k in range(len(inputs))]
+        made = []
+        for at, f, many in steps:
+            got: list = [(None,) * many] * batch.num_rows
+            for rows, xs in _groups([given[k] for k in at], 1 if alone else TOGETHER):
+                ys = [np.asarray(y, dtype=np.float64) for y in f(*((x[0] for x in xs) if alone else xs))]
+                for n, row in enumerate(rows):
+                    got[row] = ys if alone else [y[n] for y in ys]
+            made += [_packed([row[k] for row in got]) for k in range(many)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *new])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = [arrays(batch.column(len(stay) + k)) for k in range(len(inputs))]
-            made = []
-            for at, f, many in steps:
-                got: list = [(None,) * many] * batch.num_rows
-                for rows, xs in _groups([given[k] for k in at], 1 if alone else TOGETHER):
-                    ys = [np.asarray(y, dtype=np.float64) for y in f(*((x[0] for x in xs) if alone else xs))]
-                    for n, row in enumerate(rows):
-                        got[row] = ys if alone else [y[n] for y in ys]
-                made += [_packed([row[k] for row in got]) for k in range(many)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *new])
+            for at, n in _slices([batch.column(len(stay) + k) for k in range(len(inputs))], TOGETHER):
+                yield worked(batch.slice(at, n))
+            del batch  # or it would be held while the next is read
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     types = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in stay] + [f"`{c}` {TENSOR}" for c in new])
     return df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
 
 
+def _slices(columns: list[pa.StructArray], together: int) -> Iterator[tuple[int, int]]:
+    """First row and length of runs of rows that hold ``together`` values in all columns at most, or are one row. No rows are one empty run."""
+    sizes = np.sum([np.diff(c.field(3).offsets.to_numpy()) for c in columns], axis=0)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes) or not at:
+        end = max(at + 1, int(np.searchsorted(ends, together + (ends[at - 1] if at else 0), "right")))
+        yield at, end - at
+        at = end
+
+
 def _groups(columns: list[list[np.ndarray | None]], together: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Rows without nulls whose arrays have the same sizes, and their arrays stacked."""
     alike: dict[tuple, list[int]] = {}
@@ -312,6 +329,19 @@ def pool(df: DataFrame, column: str, out: str, size: int, stride: int, padding:
     return apply(df, {out: ([column], lambda x: pooled(x, size, stride, padding, how, ceil, count_outside))})
 
 
+def pyramid(df: DataFrame, column: str, outputs: list[str], size: int = 2, stride: int = 2, padding: int = 0, how: str = "max") -> DataFrame:
+    """Adds a tensor for each of ``outputs``: ``column`` pooled once, twice and so on. One narrow pass, as each further one in a stage takes a Python worker more for each task."""
+
+    def levels(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        out = []
+        for _ in outputs:
+            x = pooled(x, size, stride, padding, how)
+            out.append(x)
+        return tuple(out)
+
+    return apply(df, {tuple(outputs): ([column], levels)})
+
+
 def resized(x: np.ndarray, height: int, width: int, corners: bool = True) -> np.ndarray:
     """Bilinear resize of each channel, corners on corners or not (then a smaller size takes the two nearest pixels, without averaging the rest)."""
 

@@ -34,11 +34,14 @@ def _layers(spark, sf, numbered: dict[str, tuple[int, Conv]]) -> dict[str, layer
 
 
 def _tensors(spark, sf) -> DataFrame:
-    """``img_id``, a tensor ``x`` of prediction and mask, its maxima over 2 by 2 (``half``) and 4 by 4 (``quarter``)."""
+    """``img_id`` and a tensor ``x`` of prediction and mask."""
     df = metrics.prepare(src.rasters(spark, sf))
-    df = df.select("img_id", layers.tensor(F.array("p", F.transform("g", lambda g: g.cast("double"))), F.col("h"), F.col("w")).alias("x"))
-    df = layers.pool(df, "x", "half", 2, 2)
-    return layers.pool(df, "half", "quarter", 2, 2)
+    return df.select("img_id", layers.tensor(F.array("p", F.transform("g", lambda g: g.cast("double"))), F.col("h"), F.col("w")).alias("x"))
+
+
+def _pyramid(spark, sf) -> DataFrame:
+    """``_tensors`` with maxima over 2 by 2 (``half``) and 4 by 4 (``quarter``)."""
+    return layers.pyramid(_tensors(spark, sf), "x", ["half", "quarter"])
 
 
 def _long(df: DataFrame, column: str, *keep: str, places: int = 4) -> DataFrame:
@@ -49,14 +52,14 @@ def _long(df: DataFrame, column: str, *keep: str, places: int = 4) -> DataFrame:
 @query
 def conv_norm(spark, sf):
     """Three channels from two by kernels of 3 by 3, normalised over all images."""
-    df = _tensors(spark, sf).drop("half", "quarter")
+    df = _pyramid(spark, sf).drop("half", "quarter")
     return _long(layers.conv_norm(df, {"y": (["x"], layers.same, _layers(spark, sf, {"y": (0, layers.square(3, 2))})["y"])}), "y")
 
 
 @query
 def conv_strided(spark, sf):
     """The head of a backbone: kernels of 7 by 7 at stride 2, normalised, rectified, maxima over 3 by 3 at stride 2."""
-    df = _tensors(spark, sf).drop("half", "quarter")
+    df = _pyramid(spark, sf).drop("half", "quarter")
     df = layers.conv_norm(df, {"y": (["x"], layers.same, _layers(spark, sf, {"y": (0, layers.square(2, 2, 7, 1, 2))})["y"])})
     return _long(layers.apply(df, {"z": (["y"], lambda y: layers.pooled(np.maximum(y, 0), 3, 2, 1))}), "z")
 
@@ -64,7 +67,7 @@ def conv_strided(spark, sf):
 @query
 def receptive_field(spark, sf):
     made = _layers(spark, sf, {name: (k, spec) for k, (name, spec) in enumerate(layers.receptive_specs(2, 2).items())})
-    return _long(layers.receptive_field(_tensors(spark, sf).drop("half", "quarter"), "x", "y", made), "y")
+    return _long(layers.receptive_field(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", made), "y")
 
 
 @query
@@ -101,7 +104,7 @@ def guided_cascade(spark, sf):
     stages = [[(g, made[f"mix{k}{g}"], made[f"mix_bias{k}{g}"][1].ravel(), made[f"score{k}{g}"], made[f"score_bias{k}{g}"][1].ravel()) for g in (1, 2)] for k in range(3)]
     guide = src.teacher_student(spark, sf).select("img_id", layers.tensor(F.array("e"), F.lit(src.SIDE), F.lit(src.SIDE)).alias("y"))
     names = ["a", "b", "c"]
-    df = layers.guided_cascade(_tensors(spark, sf).join(guide, "img_id"), ["quarter", "half", "x"], "y", names, stages)
+    df = layers.guided_cascade(_pyramid(spark, sf).join(guide, "img_id"), ["quarter", "half", "x"], "y", names, stages)
     both = df.select("img_id", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("t")) for n in names])).alias("s"))
     return _long(both.select("img_id", "s.level", "s.t"), "t", "level")
 
@@ -110,7 +113,7 @@ def guided_cascade(spark, sf):
 def bottleneck(spark, sf):
     """A bottleneck at stride 2."""
     made = _layers(spark, sf, {name: (k, spec) for k, (name, spec) in enumerate(layers.bottleneck_specs(2, 2, 4, 2).items())})
-    return _long(layers.bottleneck(_tensors(spark, sf).select("img_id", "x"), "x", "y", made), "y")
+    return _long(layers.bottleneck(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", made), "y")
 
 
 @query
@@ -118,7 +121,7 @@ def split_stage(spark, sf):
     """A split block at stride 2 that begins a stage, and one after it."""
     first = {name: (k, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2, 2).items())}
     after = {name: (k + 8, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2).items())}
-    df = layers.split_block(_tensors(spark, sf).select("img_id", "x"), "x", "y", _layers(spark, sf, first))
+    df = layers.split_block(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", _layers(spark, sf, first))
     second = _layers(spark, sf, after)
     return _long(layers.split_block(df, "y", "z", {n: w for n, w in second.items() if n != "skip"}), "z")
 
@@ -126,7 +129,7 @@ def split_stage(spark, sf):
 def _decoder(spark, sf, neighbours: bool, search: bool) -> DataFrame:
     numbered = {name: (k, spec) for k, (name, spec) in enumerate(layers.decoder_specs(2, search).items())}
     made = _layers(spark, sf, {**numbered, "bias": (10, Conv(1, 1))})
-    return _long(layers.decode(_tensors(spark, sf), "quarter", "half", "x", "out", made, made["bias"][1].ravel(), neighbours, "x" if search else None), "out")
+    return _long(layers.decode(_pyramid(spark, sf), "quarter", "half", "x", "out", made, made["bias"][1].ravel(), neighbours, "x" if search else None), "out")
 
 
 @query
@@ -147,8 +150,8 @@ def decoder_neighbours(spark, sf):
 @query
 def pooling_stages(spark, sf):
     """Maxima and means over 3 by 3 at stride 2, and means at stride 3 whose last window goes beyond the edge."""
-    df = _tensors(spark, sf)
-    df = layers.pool(layers.pool(layers.pool(df, "x", "a", 3, 2, 1), "x", "b", 3, 2, 1, "mean"), "x", "m", 3, 3, 0, "mean", True, False)
+    ways = {"a": (3, 2, 1), "b": (3, 2, 1, "mean"), "m": (3, 3, 0, "mean", True, False)}
+    df = layers.apply(_tensors(spark, sf), {tuple(ways): (["x"], lambda x: tuple(layers.pooled(x, *how) for how in ways.values()))})
     both = df.select("img_id", F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(c).alias("t")) for n, c in (("max", "a"), ("mean", "b"), ("beyond", "m"))])).alias("s"))
     return _long(both.select("img_id", "s.stage", "s.t"), "t", "stage", places=6)
 

@@ -1,10 +1,11 @@
 import time
+import weakref
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import layers, training
+from rasterlake.operators import layers, manifests, training
 from rasterlake.operators.layers import Conv
 from rasterlake.plans import networks
 
@@ -21,6 +22,55 @@ def test_every_query_has_sql():
     assert set(networks.QUERIES) == set(networks.ORACLE_SQL)
 
 
+def test_a_worker_keeps_the_results_of_one_slice(spark):
+    """However many images a batch of Arrow has (here all of them), nothing that was made of earlier slices is held when the next is worked on."""
+    images, before = 9000, []
+
+    def make(x):
+        alive = sum(made() is not None for made in before)
+        y = x[:, :1] * 0 + alive
+        before.append(weakref.ref(y))
+        return y
+
+    df = spark.range(0, images, 1, 1).select(F.col("id").alias("k"), layers.tensor(F.array(*[F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i * 1.0)] * 2), F.lit(8), F.lit(8)).alias("x"))
+    rows = layers.apply(df, {"y": (["x"], make)}).agg(F.count("y.v").alias("n"), F.max(F.array_max("y.v")).alias("alive")).first()
+    assert rows.n == images and rows.alive == 0
+
+
+def test_slices_cover_all_rows():
+    sizes = [0, 3, 9, 2, 2, 2, 0, 0, 50, 4, 6]
+    column = layers._packed([None if n == 0 else np.ones((1, 1, n)) for n in sizes])
+    assert list(layers._slices([column], 6)) == [(0, 2), (2, 1), (3, 5), (8, 1), (9, 1), (10, 1)]
+    assert list(layers._slices([column, column], 6)) == [(0, 2), (2, 1), (3, 1), (4, 1), (5, 3), (8, 1), (9, 1), (10, 1)]
+    assert list(layers._slices([column.slice(3, 4)], 6)) == [(0, 4)] and list(layers._slices([column.slice(0, 0)], 6)) == [(0, 1)]
+    for at, n in layers._slices([column], 6):
+        part = column.slice(at, n)
+        assert [None if x is None else x["v"] for x in part.to_pylist()] == [None if s == 0 else [1.0] * s for s in sizes[at : at + n]]
+
+
+@pytest.mark.parametrize(("name", "passes"), [("decoder_identify", 1), ("decoder_search", 1)])
+def test_python_passes_of_a_stage(spark, monkeypatch, name, passes):
+    """Each pass of a stage has a worker of its own for each task: the pyramid is one."""
+    seen, written = [], manifests.written
+
+    def count(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return written(df)
+
+    monkeypatch.setattr(manifests, "written", count)
+    df = networks.QUERIES[name](spark, SF)
+    assert seen[0] == passes and set(seen[1:]) == {1}
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_pyramid(spark):
+    images = [RNG.normal(size=(2, 8, 12)), None, RNG.normal(size=(1, 4, 5))]
+    df = layers.pyramid(frame(spark, images), "x", ["a", "b"])
+    want = layers.pool(layers.pool(frame(spark, images), "x", "a", 2, 2), "a", "b", 2, 2)
+    for name in ("a", "b"):
+        assert all((a is None and b is None) or (a == b).all() for a, b in zip(back(df, name), back(want, name), strict=True))
+
+
 def frame(spark, arrays, **more):
     rows = [(k, None if a is None else [c.ravel().tolist() for c in a], 1 if a is None else a.shape[1], 1 if a is None else a.shape[2]) for k, a in enumerate(arrays)]
     df = spark.createDataFrame(rows, "k long, c array<array<double>>, h int, w int").repartition(3)
