@@ -52,14 +52,14 @@ def _long(df: DataFrame, column: str, *keep: str, places: int = 4) -> DataFrame:
 @query
 def conv_norm(spark, sf):
     """Three channels from two by kernels of 3 by 3, normalised over all images."""
-    df = _pyramid(spark, sf).drop("half", "quarter")
+    df = _tensors(spark, sf)
     return _long(layers.conv_norm(df, {"y": (["x"], layers.same, _layers(spark, sf, {"y": (0, layers.square(3, 2))})["y"])}), "y")
 
 
 @query
 def conv_strided(spark, sf):
     """The head of a backbone: kernels of 7 by 7 at stride 2, normalised, rectified, maxima over 3 by 3 at stride 2."""
-    df = _pyramid(spark, sf).drop("half", "quarter")
+    df = _tensors(spark, sf)
     df = layers.conv_norm(df, {"y": (["x"], layers.same, _layers(spark, sf, {"y": (0, layers.square(2, 2, 7, 1, 2))})["y"])})
     return _long(layers.apply(df, {"z": (["y"], lambda y: layers.pooled(np.maximum(y, 0), 3, 2, 1))}), "z")
 
@@ -67,7 +67,7 @@ def conv_strided(spark, sf):
 @query
 def receptive_field(spark, sf):
     made = _layers(spark, sf, {name: (k, spec) for k, (name, spec) in enumerate(layers.receptive_specs(2, 2).items())})
-    return _long(layers.receptive_field(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", made), "y")
+    return _long(layers.receptive_field(_tensors(spark, sf), "x", "y", made), "y")
 
 
 @query
@@ -113,7 +113,7 @@ def guided_cascade(spark, sf):
 def bottleneck(spark, sf):
     """A bottleneck at stride 2."""
     made = _layers(spark, sf, {name: (k, spec) for k, (name, spec) in enumerate(layers.bottleneck_specs(2, 2, 4, 2).items())})
-    return _long(layers.bottleneck(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", made), "y")
+    return _long(layers.bottleneck(_tensors(spark, sf), "x", "y", made), "y")
 
 
 @query
@@ -121,7 +121,7 @@ def split_stage(spark, sf):
     """A split block at stride 2 that begins a stage, and one after it."""
     first = {name: (k, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2, 2).items())}
     after = {name: (k + 8, spec) for k, (name, spec) in enumerate(layers.split_specs(2, 2, 2).items())}
-    df = layers.split_block(_pyramid(spark, sf).drop("half", "quarter"), "x", "y", _layers(spark, sf, first))
+    df = layers.split_block(_tensors(spark, sf), "x", "y", _layers(spark, sf, first))
     second = _layers(spark, sf, after)
     return _long(layers.split_block(df, "y", "z", {n: w for n, w in second.items() if n != "skip"}), "z")
 

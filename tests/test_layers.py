@@ -48,9 +48,9 @@ def test_slices_cover_all_rows():
         assert [None if x is None else x["v"] for x in part.to_pylist()] == [None if s == 0 else [1.0] * s for s in sizes[at : at + n]]
 
 
-@pytest.mark.parametrize(("name", "passes"), [("decoder_identify", 1), ("decoder_search", 1), ("decoder_neighbours", 1)])
+@pytest.mark.parametrize(("name", "passes"), [("decoder_identify", 1), ("decoder_search", 1), ("decoder_neighbours", 1), ("receptive_field", 0), ("bottleneck", 0)])
 def test_python_passes_of_a_stage(spark, monkeypatch, name, passes):
-    """Each pass of a stage has a worker of its own for each task: the pyramid is one."""
+    """Each pass of a stage has a worker of its own for each task: the pyramid is one, and a block without it is written without any."""
     seen, written = [], manifests.written
 
     def count(df):
