@@ -45,6 +45,8 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
     new = [n for key in outputs for n in ((key,) if isinstance(key, str) else key)]
     steps = [([inputs.index(c) for c in names], f if isinstance(key, tuple) else _single(f), 1 if isinstance(key, str) else len(key)) for key, (names, f) in outputs.items()]
     stay = [c for c in df.columns if c not in {*(drop or []), *new}]
+    sent = [*stay, *(c for c in inputs if c not in stay)]  # each once, even if it is an input and stays
+    places = [sent.index(c) for c in inputs]
 
     def arrays(column: pa.StructArray) -> list[np.ndarray | None]:
         c, h, w = (column.field(k).to_pylist() for k in range(3))
@@ -54,7 +56,7 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
         return [flat[at[i] : at[i + 1]].reshape(c[i], h[i], w[i]) if ok[i] else None for i in range(len(column))]
 
     def worked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        given = [arrays(batch.column(len(stay) + k)) for k in range(len(inputs))]
+        given = [arrays(batch.column(k)) for k in places]
         made = []
         for at, f, many in steps:
             got: list = [(None,) * many] * batch.num_rows
@@ -63,18 +65,20 @@ def apply(df: DataFrame, outputs: dict[str | tuple[str, ...], Step], drop: list[
                 for n, row in enumerate(rows):
                     got[row] = ys if alone else [y[n] for y in ys]
             made += [_packed([row[k] for row in got]) for k in range(many)]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(stay))), *made], [*stay, *new])
+        every = pa.array(np.arange(batch.num_rows))
+        kept = [batch.column(k).take(every) for k in range(len(stay))]  # copies: a slice would hold its whole batch while the next is read
+        return pa.RecordBatch.from_arrays([*kept, *made], [*stay, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in _slices([batch.column(len(stay) + k) for k in range(len(inputs))], TOGETHER):
+            for at, n in _slices([batch.column(k) for k in places], TOGETHER):
                 yield worked(batch.slice(at, n))
             del batch  # or it would be held while the next is read
         pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     types = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in stay] + [f"`{c}` {TENSOR}" for c in new])
-    return df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
 
 
 def _slices(columns: list[pa.StructArray], together: int) -> Iterator[tuple[int, int]]:

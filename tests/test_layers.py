@@ -2,6 +2,7 @@ import time
 import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,30 @@ def test_a_worker_keeps_the_results_of_one_slice(spark):
     assert rows.n == images and rows.alive == 0
 
 
+def test_a_batch_is_sent_once_and_not_held_by_its_results(spark, monkeypatch):
+    """An input that stays is one column of a batch, not two; what is given back shares no memory with the batch, which could not be freed while the next is read."""
+    df, caught = frame(spark, [RNG.normal(size=(2, 4, 4)), None]), {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.update(run=run, sent=self.columns))
+    layers.apply(df, {"y": (["x"], layers.same)})
+    assert caught["sent"] == ["k", "x"]
+    layers.apply(df.withColumn("z", F.col("x")), {"y": (["x", "z"], np.add), "w": (["z"], layers.same)}, ["x"])
+    assert caught["sent"] == ["k", "z", "x"]
+    n = 1500  # three slices
+    x, z = ([None if k % 7 == r else np.full((2, 8, 8), k + r * 0.5) for k in range(n)] for r in (0, 1))
+    given = {"k": pa.array(range(n)), "x": layers._packed(x), "z": layers._packed(z)}
+    batch = pa.RecordBatch.from_arrays([given[c] for c in caught["sent"]], caught["sent"])
+    taken = [(b.address, b.address + b.size) for c in batch.columns for b in buffers(c)]
+    done = list(caught["run"](iter([batch])))
+    assert len(done) > 2 and not any(low < b.address + b.size and b.address < high for d in done for c in d.columns for b in buffers(c) for low, high in taken)
+    got = pa.Table.from_batches(done).to_pydict()
+    assert list(got) == ["k", "z", "y", "w"] and got["k"] == list(range(n)) and got["z"] == got["w"] == given["z"].to_pylist()
+    assert [None if y is None else y["v"][0] for y in got["y"]] == [None if k % 7 < 2 else 2 * k + 0.5 for k in range(n)]
+
+
+def buffers(column):
+    return [b for b in column.buffers() if b is not None and b.size]
+
+
 def test_slices_cover_all_rows():
     sizes = [0, 3, 9, 2, 2, 2, 0, 0, 50, 4, 6]
     column = layers._packed([None if n == 0 else np.ones((1, 1, n)) for n in sizes])
